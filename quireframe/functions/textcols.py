@@ -157,8 +157,13 @@ def parse_page_range(spec: Column, total: Column) -> Column:
     def expand(part: Column) -> Column:
         lo = F.regexp_extract(part, r"^(\d+)(?:\s*-\s*\d+)?$", 1)
         hi = F.regexp_extract(part, r"^(\d+)\s*-\s*(\d+)$", 2)
-        a = F.least(F.substring(F.regexp_replace(lo, "^0+(?=.)", ""), 1, 12).try_cast("long"), F.lit(10**9))
-        b = F.coalesce(F.least(F.substring(F.regexp_replace(hi, "^0+(?=.)", ""), 1, 12).try_cast("long"), F.lit(10**9)), a)
+
+        def number(digits: Column) -> Column:
+            n = F.regexp_replace(digits, "^0+(?=.)", "")
+            return F.when(F.length(n) > 9, F.lit(10**9)).otherwise(n.try_cast("int")).cast("long")
+
+        a = number(lo)
+        b = F.coalesce(number(hi), a)
         first = F.greatest(F.least(a, b), F.lit(1))
         last = F.least(F.greatest(a, b), total.cast("long"))
         return F.when(a.isNull() | (first > last), F.array().cast("array<bigint>")).otherwise(F.sequence(first, last))

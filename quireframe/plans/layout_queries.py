@@ -18,18 +18,18 @@ def run_table(spark, sf_dir: str) -> DataFrame:
 def column_runs(spark, sf_dir: str) -> DataFrame:
     """The same words in two narrow columns: lines 20..39 of a page stand to the right of lines 0..19."""
     r = run_table(spark, sf_dir)
-    shrunk = F.lit(72.0) + (F.col("x") - 72.0) * 0.45 + F.when(F.col("line_in_page") >= 20, F.lit(260.0)).otherwise(F.lit(0.0))
-    y = F.lit(770.0) - 16.0 * (F.col("line_in_page") % 20)
+    shrunk = F.lit(72.0) + (F.col("x") - 72.0) * 0.2 + F.when(F.col("line_in_page") >= 20, F.lit(350.0)).otherwise(F.lit(0.0))
+    y = F.lit(770.0) - 3.2 * (F.col("line_in_page") % 20)
     return (
-        r.withColumn("x", shrunk).withColumn("y", y).withColumn("w", F.col("w") * 0.45).withColumn("e", F.col("x")).withColumn("f", F.col("y"))
-        .withColumn("size_eff_pt", F.col("size_pt") * 0.45).withColumn("h", F.col("size_eff_pt")).withColumn("a", F.lit(0.45))
+        r.withColumn("x", shrunk).withColumn("y", y).withColumn("w", F.col("w") * 0.2).withColumn("e", F.col("x")).withColumn("f", F.col("y"))
+        .withColumn("size_eff_pt", F.col("size_pt") * 0.2).withColumn("h", F.col("size_eff_pt")).withColumn("a", F.lit(0.2))
     )
 
 
 COLS = RUNS + r""",
-cr AS (SELECT doc_id, page_index, line, line_in_page, slot, text, size_pt * 0.45::DOUBLE AS em,
-       72.0::DOUBLE + (x - 72.0::DOUBLE) * 0.45::DOUBLE + CASE WHEN line_in_page >= 20 THEN 260.0::DOUBLE ELSE 0.0::DOUBLE END AS x,
-       770.0::DOUBLE - 16.0::DOUBLE * (line_in_page % 20) AS y, w * 0.45::DOUBLE AS w FROM runs),
+cr AS (SELECT doc_id, page_index, line, line_in_page, slot, text, size_pt * 0.2::DOUBLE AS em,
+       72.0::DOUBLE + (x - 72.0::DOUBLE) * 0.2::DOUBLE + CASE WHEN line_in_page >= 20 THEN 350.0::DOUBLE ELSE 0.0::DOUBLE END AS x,
+       770.0::DOUBLE - 3.2::DOUBLE * (line_in_page % 20) AS y, w * 0.2::DOUBLE AS w FROM runs),
 cl AS (SELECT doc_id, page_index, line, min(line_in_page) AS lp, min(em) AS size_pt, min(y) AS y, min(x) AS x0, max(x + w) AS x1, string_agg(text, ' ' ORDER BY slot) AS text
        FROM cr GROUP BY doc_id, page_index, line),
 cp AS (SELECT *, lag(y) OVER p AS py, lag(size_pt) OVER p AS ps, lag(x0) OVER p AS px0, lag(x1) OVER p AS px1 FROM cl WINDOW p AS (PARTITION BY doc_id, page_index ORDER BY lp)),
@@ -105,9 +105,11 @@ def line_of_run(spark, sf_dir):
     f"""WITH {LINES} SELECT doc_id, page_index, count(*) AS n_lines, CAST(sum(n_words) AS BIGINT) AS n_runs FROM lines GROUP BY doc_id, page_index""",
 )
 def merge_segments(spark, sf_dir):
-    """Every odd word is written after the page's even ones, so each line comes back only by merging its pieces."""
+    """The second half of every line is written after all first halves, so a line comes back only by merging."""
     runs = run_table(spark, sf_dir)
-    late = runs.withColumn("run_id", F.col("run_id") + F.when(F.col("slot") >= 6, F.lit(1000)).otherwise(F.lit(0)))
+    second = F.col("slot") >= 6
+    late = runs.withColumn("run_id", F.col("run_id") + F.when(second, F.lit(1000)).otherwise(F.lit(0)))
+    late = late.withColumn("x", F.col("x") - F.when(second, F.col("size_pt") * 0.1).otherwise(F.lit(0.0))).withColumn("e", F.col("x"))
     m = L.segment_runs(late)
     return m.groupBy("doc_id", "page_index").agg(F.count_distinct("line_id").alias("n_lines"), F.count(F.lit(1)).alias("n_runs"))
 
