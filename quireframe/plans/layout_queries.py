@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quireframe.operators import lines as L
 from quireframe.operators import structure as S
 from quireframe.plans.registry import LINES, RUNS, query
+from quireframe.session import checkpointed
 from quireframe.sources import layout
 from quireframe.sources.tables import load_spread
 
@@ -231,7 +232,7 @@ rendered AS (SELECT doc_id, page_index, line_in_page, level, size_pt, CASE WHEN
 
 def _rendered(spark, sf_dir) -> DataFrame:
     docs = load_spread(spark, sf_dir, "documents", "doc_id")
-    pieces = S.read_pages(layout.runs(docs))
+    pieces = checkpointed(S.read_pages(layout.runs(docs)))
     return S.render_markdown(pieces, S.body_font_size(pieces), layout.page_meta(docs))
 
 
@@ -290,7 +291,7 @@ FROM jj GROUP BY doc_id, page_index""",
 def to_markdown(spark, sf_dir):
     docs = load_spread(spark, sf_dir, "documents", "doc_id")
     pages = layout.page_meta(docs)
-    pieces = S.read_pages(layout.runs(docs))
+    pieces = checkpointed(S.read_pages(layout.runs(docs)))
     return S.to_markdown(S.render_markdown(pieces, S.body_font_size(pieces), pages), pages)
 
 

@@ -8,6 +8,7 @@ from quireframe.functions.textcols import parse_page_range
 from quireframe.operators import outline as O
 from quireframe.operators import pages as P
 from quireframe.plans.registry import LINES, PAGE_META, PAGE_META_ONLY, RUNS, query
+from quireframe.session import checkpointed
 from quireframe.sources import layout
 from quireframe.sources.tables import load, load_spread
 
@@ -29,9 +30,9 @@ SRC = "doc_id || ':' || page_index"
 
 @query(
     "u01_insert_document",
-    f"""WITH {COUNTS}, ins AS (SELECT lb.doc_id, lb.doc_id + 1 AS src, quality AS at, np.n FROM lb JOIN np ON np.doc_id = lb.doc_id + 1)
-SELECT p.doc_id, CAST(CASE WHEN page_index >= at THEN page_index + n ELSE page_index END AS INTEGER) AS page_index, rotation, p.{SRC} AS src_page FROM (SELECT p.*, at, n FROM page_meta p LEFT JOIN ins ON p.doc_id = ins.doc_id) p
-UNION ALL SELECT ins.doc_id, CAST(page_index + at AS INTEGER), rotation, p.{SRC} FROM page_meta p JOIN ins ON p.doc_id = ins.src""".replace("p.doc_id || ':' || page_index", "p.doc_id || ':' || p.page_index"),
+    f"""WITH {COUNTS}, ins AS (SELECT lb.doc_id, lb.doc_id + 1 AS src, quality AS cut, np.n FROM lb JOIN np ON np.doc_id = lb.doc_id + 1)
+SELECT p.doc_id, CAST(CASE WHEN page_index >= cut THEN page_index + n ELSE page_index END AS INTEGER) AS page_index, rotation, p.{SRC} AS src_page FROM (SELECT p.*, cut, n FROM page_meta p LEFT JOIN ins ON p.doc_id = ins.doc_id) p
+UNION ALL SELECT ins.doc_id, CAST(page_index + cut AS INTEGER), rotation, p.{SRC} FROM page_meta p JOIN ins ON p.doc_id = ins.src""".replace("p.doc_id || ':' || page_index", "p.doc_id || ':' || p.page_index"),
 )
 def insert_document(spark, sf_dir):
     ins = labels(spark, sf_dir).select("doc_id", (F.col("doc_id") + 1).alias("src_doc"), F.col("quality").alias("at"))
@@ -200,8 +201,9 @@ def headings(spark, sf_dir):
 
 
 def outline_table(spark, sf_dir):
+    """The outline, written once to the checkpoint folder because every edit reads it several times."""
     o = O.outline_from_headings(headings(spark, sf_dir), max_level=3)
-    return o.select("doc_id", "path", "title", "page_index", "y_pt", F.lit(None).cast("string").alias("action"))
+    return checkpointed(o.select("doc_id", "path", "title", "page_index", "y_pt", F.lit(None).cast("string").alias("action")))
 
 
 def dotted(c):

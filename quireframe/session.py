@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "quireframe", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -34,3 +34,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: for a table that several branches of a plan read.
+
+    Unlike a cache or a local checkpoint it survives the loss of executors.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
