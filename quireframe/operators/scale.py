@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SUMMARY = "_carry"
+SUMMARY = "__carry"
 
 
 def _join_summary(rows: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
@@ -26,38 +26,38 @@ def _join_summary(rows: DataFrame, summary: DataFrame, on: list[str]) -> DataFra
 def row_number(df: DataFrame, keys: list[str], chunk: str, order: list, out: str) -> DataFrame:
     """``row_number() over (partition by keys order by chunk, order)``."""
     local = df.withColumn(out, F.row_number().over(W.partitionBy(*keys, chunk).orderBy(*order)))
-    per = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
+    per = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn(SUMMARY, F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    per = per.withColumn(SUMMARY, F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     return _join_summary(local, per, [*keys, chunk]).withColumn(out, (F.col(out) + F.col(SUMMARY)).cast("long")).drop(SUMMARY)
 
 
 def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, value: Column, out: str, exclusive: bool = False) -> DataFrame:
     """Running sum in (chunk, order); ``exclusive`` leaves the current row out."""
     w = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
-    df = df.withColumn("_v", value)
-    local = df.withColumn(out, F.coalesce(F.sum("_v").over(w), F.lit(0)))
-    per = df.groupBy(*keys, chunk).agg(F.sum("_v").alias("_n"))
+    df = df.withColumn("__v", value)
+    local = df.withColumn(out, F.coalesce(F.sum("__v").over(w), F.lit(0)))
+    per = df.groupBy(*keys, chunk).agg(F.sum("__v").alias("__n"))
     before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn(SUMMARY, F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return _join_summary(local, per, [*keys, chunk]).withColumn(out, F.col(out) + F.col(SUMMARY)).drop(SUMMARY, "_v")
+    per = per.withColumn(SUMMARY, F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return _join_summary(local, per, [*keys, chunk]).withColumn(out, F.col(out) + F.col(SUMMARY)).drop(SUMMARY, "__v")
 
 
 def running_max(df: DataFrame, keys: list[str], chunk: str, order: list, values: dict[str, Column], exclusive: bool = False) -> DataFrame:
     """Running maximum of each of ``values`` in (chunk, order), nulls skipped; structs compare field by field."""
     w = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
     for k, v in values.items():
-        df = df.withColumn(f"_v_{k}", v)
+        df = df.withColumn(f"__v_{k}", v)
     local = df
     for k in values:
-        local = local.withColumn(k, F.max(f"_v_{k}").over(w))
-    per = df.groupBy(*keys, chunk).agg(*[F.max(f"_v_{k}").alias(f"_n_{k}") for k in values])
+        local = local.withColumn(k, F.max(f"__v_{k}").over(w))
+    per = df.groupBy(*keys, chunk).agg(*[F.max(f"__v_{k}").alias(f"__n_{k}") for k in values])
     before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    per = per.select(*keys, chunk, *[F.max(f"_n_{k}").over(before).alias(f"_c_{k}") for k in values])
+    per = per.select(*keys, chunk, *[F.max(f"__n_{k}").over(before).alias(f"__c_{k}") for k in values])
     res = _join_summary(local, per, [*keys, chunk])
     for k in values:
-        res = res.withColumn(k, F.greatest(k, f"_c_{k}"))
-    return res.drop(*[f"_c_{k}" for k in values], *[f"_v_{k}" for k in values])
+        res = res.withColumn(k, F.greatest(k, f"__c_{k}"))
+    return res.drop(*[f"__c_{k}" for k in values], *[f"__v_{k}" for k in values])
 
 
 def lag(df: DataFrame, keys: list[str], chunk: str, order: list[str], values: dict[str, str], back: bool = True) -> DataFrame:
@@ -65,17 +65,17 @@ def lag(df: DataFrame, keys: list[str], chunk: str, order: list[str], values: di
     desc = [F.col(c) if back else F.col(c).desc() for c in order]
     w = W.partitionBy(*keys, chunk).orderBy(*desc)
     src = F.struct(*[F.col(c) for c in values.values()])
-    local = df.withColumn("_p", F.lag(src).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    local = df.withColumn("__p", F.lag(src).over(w)).withColumn("__first", F.row_number().over(w) == 1)
     edge = F.struct(*order)
-    per = df.groupBy(*keys, chunk).agg((F.max_by if back else F.min_by)(src, edge).alias("_e"))
+    per = df.groupBy(*keys, chunk).agg((F.max_by if back else F.min_by)(src, edge).alias("__e"))
     cw = W.partitionBy(*keys).orderBy(F.col(chunk) if back else F.col(chunk).desc())
-    per = per.withColumn(SUMMARY, F.lag("_e").over(cw)).drop("_e")
+    per = per.withColumn(SUMMARY, F.lag("__e").over(cw)).drop("__e")
     res = _join_summary(local, per, [*keys, chunk])
-    prev = F.when(F.col("_first"), F.col(SUMMARY)).otherwise(F.col("_p"))
-    res = res.withColumn("_prev", prev)
+    prev = F.when(F.col("__first"), F.col(SUMMARY)).otherwise(F.col("__p"))
+    res = res.withColumn("__prev", prev)
     for new, old in values.items():
-        res = res.withColumn(new, F.col("_prev")[old])
-    return res.drop("_p", "_first", SUMMARY, "_prev")
+        res = res.withColumn(new, F.col("__prev")[old])
+    return res.drop("__p", "__first", SUMMARY, "__prev")
 
 
 def islands(df: DataFrame, keys: list[str], chunk: str, order: list, starts: Column, out: str) -> DataFrame:

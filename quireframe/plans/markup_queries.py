@@ -48,7 +48,7 @@ def text_under_markup(spark, sf_dir):
     "j02_annotation_at_point",
     f"""WITH {RUNS}, hl AS (SELECT doc_id, page_index, min(x) AS rx, min(y) AS ry, max(x + w) AS x1, max(y + h) AS y1 FROM runs WHERE line_in_page = 3 AND slot BETWEEN 2 AND 5 GROUP BY doc_id, page_index),
 an AS (SELECT doc_id, page_index, 0 AS idx, rx, ry, x1, y1 FROM hl UNION ALL SELECT doc_id, page_index, 1, rx + (x1 - rx) / 2, ry, x1, y1 FROM hl UNION ALL SELECT doc_id, page_index, 2, rx, ry - 40, x1, ry - 20 FROM hl)
-SELECT r.doc_id, r.page_index, r.run_id AS point_id, max(idx) AS annot_index FROM runs r JOIN an a ON r.doc_id = a.doc_id AND r.page_index = a.page_index AND r.x + r.w / 2 BETWEEN a.rx AND a.x1 AND r.y + 1 BETWEEN a.ry AND a.y1 GROUP BY ALL""",
+SELECT r.doc_id, r.page_index, r.run_id AS point_id, max(idx) AS annot_index FROM runs r JOIN an a ON r.doc_id = a.doc_id AND r.page_index = a.page_index AND r.x + r.w / 2 + 0.013 BETWEEN a.rx AND a.x1 AND r.y + 1 BETWEEN a.ry AND a.y1 GROUP BY ALL""",
 )
 def annotation_at_point(spark, sf_dir):
     """Three marks per page (a highlight, a note over its right half, an underline below); every word's foot is a point."""
@@ -67,7 +67,7 @@ def annotation_at_point(spark, sf_dir):
         mark(2, "underline", rx, low, rw, F.lit(20.0), F.array(G.rect_quad(rx, low, rw, F.lit(20.0)))),
     )
     annots = h.select("doc_id", "page_index", F.explode(marks).alias("m")).select("doc_id", "page_index", "m.*")
-    points = r.select("doc_id", "page_index", F.col("run_id").alias("point_id"), (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + 1).alias("py"))
+    points = r.select("doc_id", "page_index", F.col("run_id").alias("point_id"), (F.col("x") + F.col("w") / 2 + 0.013).alias("px"), (F.col("y") + 1).alias("py"))
     return A.annotation_at_point(points, annots)
 
 
