@@ -14,7 +14,7 @@ def wrap_words(docs: DataFrame, width_pt: float, size_pt: float, pitch_em: float
     d = docs.withColumn("_atoms", F.expr(f"""flatten(transform({words}, w -> transform(sequence(0, greatest(cast(ceil(length(w) / {cap}.0D) as int) - 1, 0)),
         k -> struct(substr(w, k * {cap} + 1, {cap}) as t, k > 0 as glued))))"""))
     d = d.withColumn("_starts", F.expr(f"""aggregate(sequence(1, greatest(size(_atoms), 1)), named_struct('used', 0, 'starts', cast(array() as array<int>)),
-        (s, i) -> transform(array(length(_atoms[i - 1].t)), n -> transform(array(if(s.used > 0 and not _atoms[i - 1].glued, 1, 0)), gap ->
+        (s, i) -> transform(array(length(get(_atoms, i - 1).t)), n -> transform(array(if(s.used > 0 and not get(_atoms, i - 1).glued, 1, 0)), gap ->
             if(s.used = 0 or s.used + gap + n > {cap}, named_struct('used', n, 'starts', concat(s.starts, array(i))), named_struct('used', s.used + gap + n, 'starts', s.starts)))[0])[0],
         s -> s.starts)"""))
     line = """transform(_starts, (b, k) -> struct(k as line_no, array_join(transform(slice(_atoms, b, coalesce(get(_starts, k + 1), size(_atoms) + 1) - b),
@@ -28,7 +28,7 @@ def paginate(docs: DataFrame, height_pt: float, items: str = "items") -> DataFra
     A page is filled until the next item does not fit.  A break is ignored on an empty page; an item kept with the next
     moves on if both do not fit; on a new page inside a table the header's height is taken first.
     """
-    i, nxt = f"{items}[k - 1]", f"get({items}, k)"
+    i, nxt = f"get({items}, k - 1)", f"get({items}, k)"
     need = f"if({i}.keep_next and {nxt} is not null, {i}.height + {nxt}.height, {i}.height)"
     d = docs.withColumn("_p", F.expr(f"""aggregate(sequence(1, greatest(size({items}), 1)), named_struct('page', 0, 'used', 0.0D, 'pages', cast(array() as array<int>)),
         (s, k) -> transform(array(s.used > 0 and ({i}.page_break or s.used + {need} > {height_pt}D)), turn ->

@@ -137,24 +137,47 @@ def _fuse(seg, run_id, v, em, u0, u1, theta, scale, hidden):
     return ids[owner[place]]
 
 
-_IDS = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("segment_id", "line_id")])
+def _reading(line, run_id, u0, rtl, classes):
+    """Per run: its place in reading order (-1 on a line without right-to-left text), the line's base direction, and
+    whether the order was verified; an unverified line keeps its visual order."""
+    n = len(line)
+    place, base, sure = np.full(n, -1), np.zeros(n, int), np.ones(n, bool)
+    if classes is None:
+        return place, base, sure
+    for k in np.unique(line[rtl]):
+        members = np.flatnonzero(line == k)
+        members = members[np.lexsort((run_id[members], u0[members]))]
+        kinds = [classes[m] for m in members]
+        order = bidi.logical_order(kinds, bidi.base_of(kinds))
+        sure[members] = order is not None
+        base[members] = bidi.base_of(kinds)
+        place[members[list(order if order is not None else range(len(members)))]] = np.arange(len(members))
+    return place, base, sure
+
+
+_INTS = T.ArrayType(T.IntegerType())
+_IDS = T.StructType([T.StructField(c, _INTS) for c in ("segment_id", "line_id", "place", "base")] + [T.StructField("sure", T.ArrayType(T.BooleanType()))])
 
 
 @F.pandas_udf(_IDS)
-def _page_ids(run_id: pd.Series, stretch: pd.Series, v: pd.Series, em: pd.Series, u0: pd.Series, u1: pd.Series, theta: pd.Series, scale: pd.Series, hidden: pd.Series) -> pd.DataFrame:
+def _page_ids(run_id: pd.Series, stretch: pd.Series, v: pd.Series, em: pd.Series, u0: pd.Series, u1: pd.Series, theta: pd.Series, scale: pd.Series, hidden: pd.Series, rtl: pd.Series, classes: pd.Series) -> pd.DataFrame:
     out = []
-    for page in zip(run_id, stretch, v, em, u0, u1, theta, scale, hidden):
+    for *page, kinds in zip(run_id, stretch, v, em, u0, u1, theta, scale, hidden, rtl, classes):
         if page[0] is None:
-            out.append((None, None))
+            out.append((None,) * 5)
             continue
-        rid, st, *rest = (np.asarray(a) for a in page)
+        rid, st, *rest, right = (np.asarray(a) for a in page)
         seg = _segments(rid, st, rest[0], rest[1])
-        out.append((seg, _fuse(seg, rid, *rest)))
-    return pd.DataFrame(out, columns=["segment_id", "line_id"])
+        line = _fuse(seg, rid, *rest)
+        out.append((seg, line, *_reading(line, rid, rest[2], right.astype(bool), kinds)))
+    return pd.DataFrame(out, columns=_IDS.names)
 
 
 def segment_runs(runs: DataFrame) -> DataFrame:
-    """Runs that hold text, with metrics, ``segment_id`` and ``line_id`` (each named after its first run id)."""
+    """Runs that hold text, with metrics, ``segment_id`` and ``line_id`` (each named after its first run id).
+
+    On lines with right-to-left text ``place`` is the run's position in reading order, elsewhere it is -1.
+    """
     m = run_metrics(runs.filter(F.col("text") != "")).withColumn("em", F.col("size_eff_pt"))
     stream = W.partitionBy(*PAGE).orderBy("run_id")
     m = m.select(*PAGE, "run_id", *METRICS, *CARRIED, F.struct(*METRICS, "text").alias("_q"))
@@ -170,17 +193,17 @@ def segment_runs(runs: DataFrame) -> DataFrame:
     near = F.expr(f"""exists(transform(array(array_sort(transform(filter(rs, r -> not r.joined), r -> r.v))),
         vs -> exists(zip_with(slice(vs, 2, greatest(size(vs) - 1, 0)), slice(vs, 1, greatest(size(vs) - 1, 0)), (hi, lo) -> hi - lo),
                      d -> d <= {BAND_HIGH}D * array_max(transform(rs, r -> r.em)))), hit -> hit)""")
-    pages = pages.withColumn("fold", F.expr("exists(rs, r -> r.mixed or r.theta_deg <> 0)") | near)
+    pages = pages.withColumn("rtl", F.transform("rs", lambda r: bidi.has_rtl(r["text"])))
+    pages = pages.withColumn("fold", F.expr("exists(rs, r -> r.mixed or r.theta_deg <> 0) or exists(rtl, t -> t)") | near)
     args = [F.expr(f"if(fold, transform(rs, r -> r.{c}), null)") for c in ("run_id", "stretch", "v", "em", "u_start", "u_end", "theta_deg", "scale", "invisible")]
-    pages = pages.withColumn("ids", _page_ids(*args))
-    tagged = F.transform("rs", lambda r, k: F.struct(
-        F.coalesce(F.get(F.col("ids.segment_id"), k), r["stretch"]).alias("segment_id"),
-        F.coalesce(F.get(F.col("ids.line_id"), k), r["stretch"]).alias("line_id"),
-        r.alias("r"),
-    ))
+    classes = F.when(F.exists("rtl", lambda t: t), F.transform("rs", lambda r: bidi.text_class(r["text"])))
+    pages = pages.withColumn("ids", _page_ids(*args, F.col("rtl"), classes))
+    plain = {"segment_id": lambda r: r["stretch"], "line_id": lambda r: r["stretch"], "place": lambda r: F.lit(-1), "base": lambda r: F.lit(0), "sure": lambda r: F.lit(True)}
+    tagged = F.transform("rs", lambda r, k: F.struct(*[F.coalesce(F.get(F.col(f"ids.{c}"), k), other(r)).alias(c) for c, other in plain.items()], r.alias("r")))
+    # A Python step forgets how its input was partitioned, so the rows are put back by page once, for all that follows.
     return pages.select(*PAGE, F.explode(tagged).alias("t")).select(
-        *PAGE, "t.segment_id", "t.line_id", *[F.col(f"t.r.{c}").alias(c) for c in ("run_id", *METRICS, *CARRIED)]
-    )
+        *PAGE, *[f"t.{c}" for c in plain], *[F.col(f"t.r.{c}").alias(c) for c in ("run_id", *METRICS, *CARRIED)]
+    ).repartition(*PAGE)
 
 
 def _box(runs: str) -> str:
@@ -200,13 +223,10 @@ def lines(runs: DataFrame) -> DataFrame:
     (span_no, start, end, text, font_name, size_eff_pt, color, x, y, w, h).
     """
     seg = segment_runs(runs)
-    item = F.struct("u_start", "run_id", "theta_deg", *CARRIED)
-    g = seg.groupBy(*PAGE, "line_id").agg(F.array_sort(F.collect_list(item)).alias("vis"))
-    g = g.withColumn("rtl", F.exists("vis", lambda r: bidi.has_rtl(r["text"])))
-    # Only lines with right-to-left text are reordered; the rest pass a null through the Arrow function.
-    classes = F.when(F.col("rtl"), F.transform("vis", lambda r: bidi.text_class(r["text"])))
-    g = g.withColumn("classes", classes).withColumn("order", bidi.logical_order_udf("classes"))
-    g = g.withColumn("read", F.when(F.col("order").isNotNull(), F.transform("order", lambda k: F.get("vis", k))).otherwise(F.col("vis")))
+    item = F.struct("u_start", "run_id", "theta_deg", "place", *CARRIED)
+    g = seg.groupBy(*PAGE, "line_id").agg(F.array_sort(F.collect_list(item)).alias("vis"), F.max("base").alias("base"), F.min("sure").alias("sure"))
+    g = g.withColumn("rtl", F.col("vis")[0]["place"] >= 0)
+    g = g.withColumn("read", F.expr("if(rtl, transform(array_sort(transform(vis, r -> struct(r.place as place, r as r))), s -> s.r), vis)"))
 
     def lead(r: Column, k: Column) -> Column:
         prev = F.get(F.col("read"), k - 1)
@@ -218,13 +238,15 @@ def lines(runs: DataFrame) -> DataFrame:
         return (k == 0) | ~((prev["font_name"] == r["font_name"]) & (prev["size_eff_pt"] == r["size_eff_pt"]) & (prev["color"] == r["color"]))
 
     g = g.withColumn("led", F.transform("read", lambda r, k: F.struct(lead(r, k).alias("lead"), F.coalesce(opens_span(r, k), F.lit(True)).alias("opens"), r.alias("r"))))
-    # Running offsets and span numbers: prefixes of a line, which is short.
-    g = g.withColumn("placed", F.expr("""transform(led, (t, k) -> struct(
+    # Running offsets and span numbers, in one walk along the line.
+    g = g.withColumn("_at", F.expr("""aggregate(led,
+        named_struct('pos', 0, 'span', 0, 'out', cast(array() as array<struct<start:int,end:int,span_no:int>>)),
+        (s, t) -> named_struct('pos', s.pos + length(t.lead) + length(t.r.text), 'span', s.span + int(t.opens),
+            'out', array_append(s.out, named_struct('start', s.pos + length(t.lead), 'end', s.pos + length(t.lead) + length(t.r.text), 'span_no', s.span + int(t.opens)))),
+        s -> s.out)"""))
+    g = g.withColumn("placed", F.expr("""zip_with(led, _at, (t, a) -> struct(
         t.r.run_id as run_id, t.r.text as text, t.r.font_name as font_name, t.r.size_eff_pt as size_eff_pt, t.r.color as color, t.r.x as x, t.r.y as y, t.r.w as w, t.r.h as h,
-        if(t.opens, '', t.lead) as lead,
-        length(array_join(transform(slice(led, 1, k), p -> p.lead || p.r.text), '')) + length(t.lead) as start,
-        length(array_join(transform(slice(led, 1, k), p -> p.lead || p.r.text), '')) + length(t.lead) + length(t.r.text) as end,
-        size(filter(slice(led, 1, k + 1), p -> p.opens)) as span_no))"""))
+        if(t.opens, '', t.lead) as lead, a.start as start, a.end as end, a.span_no as span_no))"""))
     span = f"""transform(array(filter(placed, p -> p.span_no = s)), rs -> struct(
         s as span_no, array_min(transform(rs, r -> r.start)) as start, array_max(transform(rs, r -> r.end)) as end,
         array_join(transform(rs, r -> r.lead || r.text), '') as text,
@@ -238,8 +260,8 @@ def lines(runs: DataFrame) -> DataFrame:
         F.transform("vis", lambda r: r["run_id"]).alias("run_ids"),
         F.expr(_box("vis")).alias("_b"),
         first["e"].alias("origin_x"), first["f"].alias("origin_y"), angle.alias("angle_deg"),
-        F.when(F.col("rtl") & (bidi.base_direction(F.col("classes")) == 1), "rtl").otherwise("ltr").alias("direction"),
-        "rtl", F.col("order").isNotNull().alias("_ok"),
+        F.when(F.col("base") == 1, "rtl").otherwise("ltr").alias("direction"),
+        "rtl", "sure",
         F.array_max(F.transform("vis", lambda r: r["size_eff_pt"])).alias("size_pt"),
         F.transform("placed", lambda p: F.struct(p["run_id"].alias("run_id"), p["start"].alias("start"), p["end"].alias("end"), p["span_no"].alias("span_no"))).alias("runs"),
         "spans",
@@ -247,10 +269,14 @@ def lines(runs: DataFrame) -> DataFrame:
     notice = (
         F.when(~F.col("rtl"), None)
         .when(bidi.has_arabic(F.col("text")), "arabic")
-        .when((F.size("run_ids") > 1) | ~F.col("_ok"), "mixed")
+        .when((F.size("run_ids") > 1) | ~F.col("sure"), "mixed")
         .when(F.col("angle_deg") != 0, "rotated")
     )
-    return g.select(*PAGE, "line_id", "text", "run_ids", "_b.x", "_b.y", "_b.w", "_b.h", "origin_x", "origin_y", "angle_deg", "direction", notice.alias("notice"), "size_pt", "runs", "spans")
+    line = F.struct(
+        "line_id", "text", "run_ids", "_b.x", "_b.y", "_b.w", "_b.h", "origin_x", "origin_y", "angle_deg", "direction", notice.alias("notice"), "size_pt", "runs", "spans"
+    )
+    # The one-element explode keeps a later filter on the text from being pushed down and the whole line built twice.
+    return g.select(*PAGE, F.explode(F.array(line)).alias("l")).select(*PAGE, "l.*")
 
 
 def union_box(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -53,7 +53,7 @@ def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 def md_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, line_no, line, prev_line, next_line, code (inside a fence), fence (opens or closes one)."""
     d = with_lines(docs, text)
-    row = F.expr("""transform(lines, (l, i) -> struct(i as line_no, l as line, if(i > 0, lines[i - 1], null) as prev_line, get(lines, i + 1) as next_line,
+    row = F.expr("""transform(lines, (l, i) -> struct(i as line_no, l as line, get(lines, i - 1) as prev_line, get(lines, i + 1) as next_line,
         exists(fenced, s -> i > s.from and i < s.to) as code, exists(fenced, s -> i = s.from or i = s.to) as fence))""")
     return d.select("doc_id", F.explode(row).alias("r")).select("doc_id", "r.*")
 
@@ -116,9 +116,13 @@ def md_tasks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def trim_url(u: Column) -> Column:
     """Closing punctuation does not belong to a bare address, nor does a closing bracket it did not open."""
-    cut = F.regexp_replace(u, r"""[.,:;!?'"*_~]+$""", "")
-    unopened = F.endswith(cut, F.lit(")")) & (F.length(F.regexp_replace(cut, r"[^(]", "")) < F.length(F.regexp_replace(cut, r"[^)]", "")))
-    return F.when(unopened, F.regexp_replace(cut, r"""[).,:;!?'"*_~]+$""", "")).otherwise(cut)
+    tail = F.length(F.regexp_extract(u, r"""[).,:;!?'"*_~]+$""", 0))
+
+    def step(s: Column, _: Column) -> Column:
+        unopened = F.endswith(s, F.lit(")")) & (F.length(F.regexp_replace(s, r"[^(]", "")) < F.length(F.regexp_replace(s, r"[^)]", "")))
+        return F.when(unopened | s.rlike(r"""[.,:;!?'"*_~]$"""), F.left(s, F.length(s) - 1)).otherwise(s)
+
+    return F.when(tail > 0, F.aggregate(F.sequence(F.lit(1), tail), u, step)).otherwise(u)
 
 
 def md_links(docs: DataFrame, text: str = "text") -> DataFrame:

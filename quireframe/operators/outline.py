@@ -73,9 +73,9 @@ def edit_outline(outline: DataFrame, edits: DataFrame) -> DataFrame:
             F.max(F.expr("path = target")).alias("_found"),
             F.count_if(F.expr(f"size(path) = size(target) and {under}")).alias("_sib"),
             F.count_if(F.expr("size(path) = size(target) + 1 and slice(path, 1, size(target)) = target")).alias("_kids"),
-            F.count_if(F.expr(f"size(path) = size(target) + 1 and {under} and path[size(target) - 1] = element_at(target, -1) - 1")).alias("_prev_kids"),
-            F.max(F.expr(f"if(size(path) >= size(target) and {under} and path[size(target) - 1] = element_at(target, -1), size(path) - size(target), 0)")).alias("_height"),
-            F.max(F.expr(f"if(size(path) >= size(target) and {under} and path[size(target) - 1] > element_at(target, -1), size(path) - size(target) + 1, 0)")).alias("_later_height"),
+            F.count_if(F.expr(f"size(path) = size(target) + 1 and {under} and get(path, size(target) - 1) = element_at(target, -1) - 1")).alias("_prev_kids"),
+            F.max(F.expr(f"if(size(path) >= size(target) and {under} and get(path, size(target) - 1) = element_at(target, -1), size(path) - size(target), 0)")).alias("_height"),
+            F.max(F.expr(f"if(size(path) >= size(target) and {under} and get(path, size(target) - 1) > element_at(target, -1), size(path) - size(target) + 1, 0)")).alias("_later_height"),
         )
     )
     e = edits.join(facts, "doc_id")
@@ -93,7 +93,7 @@ def edit_outline(outline: DataFrame, edits: DataFrame) -> DataFrame:
     j = outline.join(e.select("doc_id", "op", "target", F.col("title").alias("_title"), F.col("page").alias("_page"), "_kids", "_prev_kids"), "doc_id", "left")
     # k: the node's position among the target's siblings, where it stands at or below that level
     j = j.withColumn("_n", F.size("target")).withColumn("_i", F.element_at("target", -1))
-    j = j.withColumn("_k", F.expr(f"if(size(path) >= _n and {under}, path[_n - 1], null)"))
+    j = j.withColumn("_k", F.expr(f"if(size(path) >= _n and {under}, get(path, _n - 1), null)"))
     j = j.withColumn("_in", F.expr("coalesce(_k = _i, false)"))
     j = j.filter(~((F.coalesce(F.col("op"), F.lit("")) == "delete") & F.col("_in")))
     at = "concat(slice(path, 1, _n - 1), array({k}), slice(path, _n + 1, size(path)))"
@@ -107,10 +107,10 @@ def edit_outline(outline: DataFrame, edits: DataFrame) -> DataFrame:
         when op = 'move_down' and _k = _i + 1 then {at.format(k='_k - 1')}
         when op = 'indent' and _k = _i then concat(slice(path, 1, _n - 1), array(_i - 1, int(_prev_kids)), slice(path, _n + 1, size(path)))
         when op = 'indent' and _k > _i then {at.format(k='_k - 1')}
-        when op = 'outdent' and _k = _i then concat(slice(path, 1, _n - 2), array(target[_n - 2] + 1), slice(path, _n + 1, size(path)))
-        when op = 'outdent' and _k > _i then concat(slice(path, 1, _n - 2), array(target[_n - 2] + 1, int(_kids) + _k - _i - 1), slice(path, _n + 1, size(path)))
-        when op = 'outdent' and size(path) >= _n - 1 and slice(path, 1, _n - 2) = slice(target, 1, _n - 2) and path[_n - 2] > target[_n - 2]
-            then concat(slice(path, 1, _n - 2), array(path[_n - 2] + 1), slice(path, _n, size(path)))
+        when op = 'outdent' and _k = _i then concat(slice(path, 1, greatest(_n - 2, 0)), array(get(target, _n - 2) + 1), slice(path, _n + 1, size(path)))
+        when op = 'outdent' and _k > _i then concat(slice(path, 1, greatest(_n - 2, 0)), array(get(target, _n - 2) + 1, int(_kids) + _k - _i - 1), slice(path, _n + 1, size(path)))
+        when op = 'outdent' and size(path) >= _n - 1 and slice(path, 1, greatest(_n - 2, 0)) = slice(target, 1, greatest(_n - 2, 0)) and get(path, _n - 2) > get(target, _n - 2)
+            then concat(slice(path, 1, greatest(_n - 2, 0)), array(get(path, _n - 2) + 1), slice(path, _n, size(path)))
         else path end""")
     exact = F.col("path") == F.col("target")
     j = j.withColumn("_new", new_path)

@@ -117,7 +117,7 @@ def reading_elements(blocked: DataFrame) -> DataFrame:
         coalesce(get(groups, cast(array_position(transform(by_block, m -> m.block_id), u.block_id) as int) - 1), u.block_id),
         coalesce(get(rows, cast(array_position(transform(loose, l -> l.line_id), u.line_id) as int) - 1), array_min(transform(filter(loose, l -> l.y = u.y), l -> l.line_id))))"""
     p = p.select(*PAGE, F.explode(F.expr(f"transform(us, u -> struct(u as u, {element} as element_id))")).alias("t"))
-    return p.select(*PAGE, "t.u.*", "t.element_id")
+    return p.select(*PAGE, "t.u.*", "t.element_id").repartition(*PAGE)
 
 
 def reading_order(units: DataFrame) -> DataFrame:

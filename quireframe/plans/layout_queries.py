@@ -148,7 +148,7 @@ def detect_columns(spark, sf_dir):
     return e.filter("block_units >= 2 and line_id = block_id").select("doc_id", "page_index", "block_id", F.col("element_id").alias("column_group"))
 
 
-@query("w04_reading_rows")
+@query("w04_reading_rows", f"WITH {LINES} SELECT doc_id, page_index, CAST(line_in_page * 12 AS INTEGER) AS line_id, CAST((line_in_page % 20) * 12 AS INTEGER) AS row_id FROM lines")
 def reading_rows(spark, sf_dir):
     """Cells of a two-column table: every line is moved a little off its neighbour's baseline, so rows must be clustered."""
     r = run_table(spark, sf_dir)

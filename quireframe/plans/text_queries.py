@@ -97,9 +97,9 @@ def md_html_tags(spark, sf_dir):
     return load_spread(spark, sf_dir, "pages", "page_id").select("page_id", M.html_tag_count(F.col("html")).cast("long").alias("tags"))
 
 
-@query("x15_decode_entities", "SELECT page_id, md5(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&amp;', '&') || 'é&nope;&#0;→') AS digest FROM pages WHERE NOT regexp_matches(html, '&(#|lt;|gt;|quot;|nbsp;|euro;|laquo;|raquo;|mdash;|ndash;|hellip;|apos;)')")
+@query("x15_decode_entities", "SELECT page_id, md5(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&') || 'é&nope;&#0;→') AS digest FROM pages")
 def decode_entities(spark, sf_dir):
-    p = load_spread(spark, sf_dir, "pages", "page_id").filter(~F.col("html").rlike("&(#|lt;|gt;|quot;|nbsp;|euro;|laquo;|raquo;|mdash;|ndash;|hellip;|apos;)"))
+    p = load_spread(spark, sf_dir, "pages", "page_id")
     return p.select("page_id", F.md5(M.decode_entities(F.concat("html", F.lit("&#xE9;&nope;&#0;&rarr;")))).alias("digest"))
 
 
