@@ -34,4 +34,4 @@ def paginate(docs: DataFrame, height_pt: float, items: str = "items") -> DataFra
         (s, k) -> transform(array(s.used > 0 and ({i}.page_break or s.used + {need} > {height_pt}D)), turn ->
             named_struct('page', s.page + if(turn, 1, 0), 'used', if(turn, {i}.height + coalesce({i}.header, 0.0D), s.used + {i}.height), 'pages', concat(s.pages, array(s.page + if(turn, 1, 0)))))[0],
         s -> s.pages)"""))
-    return d.filter(F.size(items) > 0).select("doc_id", F.posexplode("_p").alias("item", "page"))
+    return d.filter(F.size(items) > 0).select("doc_id", F.posexplode(F.transform("_p", lambda p: p + 0)).alias("item", "page"))

@@ -87,9 +87,10 @@ def md_tables(docs: DataFrame, text: str = "text") -> DataFrame:
     d = with_lines(docs, text)
     stop = f"trim(l) = '' or l rlike {_sql(FENCE)} or l rlike {_sql(HEADING)} or l rlike {_sql(QUOTE)}"
     d = d.withColumn("_stops", F.expr(f"filter(transform(lines, (l, i) -> if({stop}, i, null)), i -> i is not null)"))
-    d = d.withColumn("_heads", F.expr(f"""filter(transform(lines, (l, i) -> if(not exists(fenced, s -> i >= s.from and i <= s.to) and contains(l, '|') and get(lines, i + 1) rlike '^[ \\\\t|:-]*-[ \\\\t|:-]*$' and contains(get(lines, i + 1), '|'),
-        struct(i as i, {_cells('l')} as header, {_cells('get(lines, i + 1)')} as delim), null)), t -> t is not null and size(t.header) = size(t.delim) and forall(t.delim, c -> c rlike '^:?-+:?$'))"""))
-    d = d.select("doc_id", "lines", "_stops", F.explode("_heads").alias("t"))
+    heads = F.expr(f"""filter(transform(lines, (l, i) -> if(not exists(fenced, s -> i >= s.from and i <= s.to) and contains(l, '|') and get(lines, i + 1) rlike '^[ \\\\t|:-]*-[ \\\\t|:-]*$' and contains(get(lines, i + 1), '|'),
+        struct(i as i, {_cells('l')} as header, {_cells('get(lines, i + 1)')} as delim), null)), t -> t is not null and size(t.header) = size(t.delim) and forall(t.delim, c -> c rlike '^:?-+:?$'))""")
+    # Exploded as an expression: on a column of its own Spark would infer a size filter and push it below the split.
+    d = d.select("doc_id", "lines", "_stops", F.explode(heads).alias("t"))
     d = d.withColumn("_end", F.expr("coalesce(array_min(filter(_stops, s -> s > t.i + 1)), size(lines))"))
     align = "transform(t.delim, c -> if(startswith(c, ':'), if(endswith(c, ':'), 'center', 'left'), if(endswith(c, ':'), 'right', 'none')))"
     row = f"transform(array(coalesce({_cells('l')}, array(trim(l)))), cs -> transform(sequence(1, size(t.delim)), k -> coalesce(get(cs, k - 1), '')))[0]"

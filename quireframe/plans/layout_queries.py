@@ -153,7 +153,7 @@ def reading_rows(spark, sf_dir):
     """Cells of a two-column table: every line is moved a little off its neighbour's baseline, so rows must be clustered."""
     r = run_table(spark, sf_dir)
     y = F.lit(770.0) - 40.0 * (F.col("line_in_page") % 20) - F.when(F.col("line_in_page") >= 20, 1.5).otherwise(0.0)
-    x = F.lit(72.0) + (F.col("x") - 72.0) * 0.45 + F.when(F.col("line_in_page") >= 20, 400.0).otherwise(0.0)
+    x = F.lit(72.0) + (F.col("x") - 72.0) * 0.45 + F.when(F.col("line_in_page") >= 20, 2000.0).otherwise(0.0)
     cells = r.withColumn("x", x).withColumn("y", y).withColumn("w", F.col("w") * 0.45).withColumn("e", F.col("x")).withColumn("f", F.col("y")).withColumn("a", F.lit(0.45)).withColumn("size_eff_pt", F.col("size_pt") * 0.45)
     e = S.reading_elements(S.reading_blocks(S.reading_units(L.lines(cells))))
     return e.filter("block_units = 1").select("doc_id", "page_index", "line_id", F.col("element_id").alias("row_id"))
