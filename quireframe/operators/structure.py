@@ -175,9 +175,8 @@ def body_font_size(pieces: DataFrame) -> DataFrame:
     """doc_id, body_pt: the size that carries most characters; on a tie, the one met first."""
     first = F.struct("page_index", "row_no", "piece_no")
     per = pieces.groupBy("doc_id", "size_eff_pt").agg(F.sum(F.greatest(F.lit(1), F.length("text"))).alias("chars"), F.min(first).alias("first"))
-    most = per.groupBy("doc_id").agg(F.max("chars").alias("top"))
-    hit = per.join(most, "doc_id").filter("chars = top")
-    return hit.groupBy("doc_id").agg(F.min_by("size_eff_pt", "first").alias("body_pt"))
+    best = F.struct("chars", *[-F.col(f"first.{c}") for c in ("page_index", "row_no", "piece_no")])
+    return per.groupBy("doc_id").agg(F.max_by("size_eff_pt", best).alias("body_pt"))
 
 
 def render_markdown(pieces: DataFrame, body: DataFrame, page_table: DataFrame) -> DataFrame:
