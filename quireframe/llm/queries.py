@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quireframe.llm import mixing, near_dedup, personal_data, pieces, quality_rules
+from quireframe.llm import ball_tree, mixing, near_dedup, personal_data, pieces, quality_kernel, quality_rules, suffix_dedup, token_files, url_filters
 from quireframe.llm.tables import source
 
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,20 +22,40 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(source(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(source(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(source(spark, sf_dir, "pages"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(source(spark, sf_dir, "documents"))
 
 
+def op6_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_kernel.score(source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(source(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL)))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(source(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), end=2))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(source(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, source(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_near_dedup, op5_personal_data, op7_pieces, op10_quality_rules)
+    f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_suffix_dedup, op4_url_filters, op5_personal_data, op6_quality_kernel, op7_pieces, op8_token_files, op9_top_k, op10_quality_rules)
 }
-ORACLES: dict[str, str] = {"op1_mixing": mixing.sql()}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.sql(), "op9_top_k": ball_tree.sql()}
