@@ -102,14 +102,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Shares go back to the documents by a hash of id, source and text; repeated rows have one hash and share evenly.
     """
-    d = docs.withColumn("share_id", F.xxhash64("doc_id", "source", "text"))
-    s = mix(d, carry=("share_id",), **options).groupBy("share_id").agg(F.max("size").alias("share_size"), F.floor(F.sum("taken") / F.count("*")).cast("long").alias("share"))
-    got = d.join(stored(s.where("share > 0"), "shares"), "share_id")
-    got = got.withColumn("share_whole", F.expr("CAST(share DIV share_size AS INT)")).withColumn("share_copy", F.explode(F.sequence(F.lit(0), F.col("share_whole"))))
-    left = F.col("share") - F.col("share_whole") * F.col("share_size")
-    got = got.withColumn("share_left", F.when(F.col("share_copy") < F.col("share_whole"), F.col("share_size")).otherwise(left)).where("share_left > 0")
-    part = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "), F.lit(1), F.col("share_left").cast("int")), " ")
-    got = got.withColumn("text", F.when(F.col("share_left") < F.col("share_size"), part).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return got.select(*docs.columns)
+    share_id = F.xxhash64("doc_id", "source", "text").alias("share_id")
+    s = mix(docs.select("doc_id", "source", "text", share_id), carry=("share_id",), **options).groupBy("share_id").agg(F.max("size").alias("size"), F.floor(F.sum("taken") / F.count("*")).cast("long").alias("share"))
+    got = docs.select(F.struct("*").alias("doc"), share_id).join(stored(s.where("share > 0"), "shares"), "share_id")
+    got = got.withColumn("whole", F.expr("CAST(share DIV size AS INT)")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    got = got.withColumn("left", F.when(F.col("copy") < F.col("whole"), F.col("size")).otherwise(F.col("share") - F.col("whole") * F.col("size"))).where("left > 0")
+    words = F.split(F.trim(F.regexp_replace("doc.text", r"[\x20\x09-\x0D]+", " ")), " ")
+    text = F.when(F.col("left") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("left").cast("int")), " ")).otherwise(F.col("doc.text"))
+    got = got.withColumn("mixed_text", text)
+    new = {"text": F.col("mixed_text"), "n_chars": F.coalesce(F.length("mixed_text").cast("long"), F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return got.select(*[(new[c].alias(c) if c in new else F.col("doc")[c].alias(c)) for c in docs.columns])

@@ -200,14 +200,12 @@ def sanitised(docs: DataFrame) -> DataFrame:
     kinds = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("put")))
     terms = F.transform(F.coalesce("added", F.array().cast("array<struct<start:int,end:int,drop:boolean>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["drop"], "").otherwise("<TERM>").alias("put")))
     f = stored(f.select("row", F.array_sort(F.concat(kinds, terms)).alias("puts")), "puts")
-    rows = docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    got = rows.join(f, "row", "left")
+    got = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")).join(f, "row", "left")
     # pieces between replaced spans: a span that begins inside the one before it is merged into it
     merge = lambda s, p: F.when(p["start"] < s["at"], F.struct(F.greatest(s["at"], p["end"]).alias("at"), s["out"].alias("out"))).otherwise(
-        F.struct(p["end"].alias("at"), F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, p["start"] - s["at"]), p["put"]).alias("out")))
-    finish = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    text = F.when(F.col("puts").isNull(), F.col("text")).otherwise(F.aggregate("puts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), merge, finish))
-    got = got.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return got.select(*docs.columns)
+        F.struct(p["end"].alias("at"), F.concat(s["out"], F.substring(F.col("doc.text"), s["at"] + 1, p["start"] - s["at"]), p["put"]).alias("out")))
+    finish = lambda s: F.concat(s["out"], F.substring(F.col("doc.text"), s["at"] + 1, F.length("doc.text")))
+    text = F.when(F.col("puts").isNull(), F.col("doc.text")).otherwise(F.aggregate("puts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), merge, finish))
+    got = got.withColumn("clean_text", text)
+    new = {"text": F.col("clean_text"), "n_chars": F.coalesce(F.length("clean_text").cast("long"), F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return got.select(*[(new[c].alias(c) if c in new else F.col("doc")[c].alias(c)) for c in docs.columns])
