@@ -34,9 +34,16 @@ def escape_hidden_chars(c: Column) -> Column:
 
 def is_allowed_url(url: Column) -> Column:
     """An absolute address with an allowed scheme, and for the web schemes a host."""
-    u = F.trim(url)
-    web = u.rlike("(?i)^https?:")
-    return F.coalesce(u.rlike(ALLOWED) & (~web | (u.rlike(AUTHORITY) & ~_authority(u).rlike(r"[\s<>^|%]"))), F.lit(False))
+    u = bare_url(url)
+    place = F.regexp_replace(_authority(u), "^.*@", "")
+    port = F.regexp_extract(place, r":([0-9]*)$", 1)
+    good = place.rlike(r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]\s<>^|%]+)(:[0-9]*)?$") & ((port == "") | (F.regexp_replace(port, "^0+(?=.)", "").try_cast("int") <= 65535))
+    return F.coalesce(u.rlike(ALLOWED) & (~u.rlike("(?i)^https?:") | F.coalesce(good, F.lit(False))), F.lit(False))
+
+
+def bare_url(url: Column) -> Column:
+    """As an address is read: no control characters or blanks around it, no tabs and line ends inside."""
+    return F.translate(F.regexp_replace(url, r"^[\x{0}-\x{20}]+|[\x{0}-\x{20}]+$", ""), "\t\n\r", "")
 
 
 def allowed_url(url: Column) -> Column:
@@ -48,7 +55,7 @@ def _authority(u: Column) -> Column:
 
 
 def url_host(url: Column, punycode: bool = True) -> Column:
-    host = F.lower(F.regexp_replace(F.regexp_replace(_authority(F.trim(url)), "^.*@", ""), ":[0-9]*$", ""))
+    host = F.lower(F.regexp_replace(F.regexp_replace(_authority(bare_url(url)), "^.*@", ""), ":[0-9]*$", ""))
     if not punycode:
         return host
     odd = host.rlike(r"[^\x{0}-\x{7F}]")
@@ -57,7 +64,7 @@ def url_host(url: Column, punycode: bool = True) -> Column:
 
 def mail_domains(url: Column) -> Column:
     """Domains of a mailto address; null if there is no address or one of them is not a plain domain."""
-    path = F.regexp_replace(F.regexp_extract(F.trim(url), r"(?i)^mailto:([^?#]*)", 1), r"\+", "%2B")
+    path = F.regexp_replace(F.regexp_extract(bare_url(url), r"(?i)^mailto:([^?#]*)", 1), r"\+", "%2B")
     addresses = F.filter(F.transform(F.split(F.try_url_decode(path), ","), lambda a: F.trim(a)), lambda a: a != "")
     domains = F.transform(addresses, lambda a: F.lower(F.regexp_extract(a, r"@([^@]*)$", 1)))
     bad = F.exists(domains, lambda d: (d == "") | d.rlike(r"[\s/?#@:\\%]") | d.rlike(HIDDEN))
@@ -66,7 +73,7 @@ def mail_domains(url: Column) -> Column:
 
 def link_decision(url: Column, skipped_domain: Column | None = None) -> Column:
     """struct<action, reason, domain, shown, hidden>.  ``skipped_domain``: the user asked not to be warned for it."""
-    u = F.trim(url)
+    u = bare_url(url)
     mail = u.rlike("(?i)^mailto:")
     creds = _authority(u).contains("@") & ~_authority(u).rlike("^:?@")
     domains = mail_domains(u)

@@ -160,7 +160,7 @@ def parse_page_range(spec: Column, total: Column) -> Column:
 
         def number(digits: Column) -> Column:
             n = F.regexp_replace(digits, "^0+(?=.)", "")
-            return F.when(F.length(n) > 9, F.lit(10**9)).otherwise(n.try_cast("int")).cast("long")
+            return F.when(F.length(n) > 18, F.lit(2**62)).otherwise(n.try_cast("long"))  # more digits than any page count has
 
         a = number(lo)
         b = F.coalesce(number(hi), a)

@@ -100,16 +100,26 @@ def match_boxes_in_line(boxes: DataFrame, line_boxes: DataFrame) -> DataFrame:
 
 def shift_markups(marks: DataFrame, zones: DataFrame) -> DataFrame:
     """zones(doc_id, page_index, zl, zb, zr, zt, u_from, em, dx, dy): quads centred in a moved zone, and not starting well
-    before the edit, move with it; the rectangle becomes the hull of all quads.  One zone per page."""
-    j = marks.select(*PAGE, "annot_index", F.posexplode("quads").alias("k", "q")).join(zones, PAGE, "left")
+    before the edit, move with it; the rectangle becomes the hull of all quads.
+
+    Starts are measured along the text's axis, where zones have ``cos`` and ``sin`` (else along x).  A page may have several
+    zones: a quad moves by the sum of those it lies in.  Where marks have a ``subtype``, only markups of text move.
+    """
+    for c, value in (("cos", 1.0), ("sin", 0.0)):
+        zones = zones if c in zones.columns else zones.withColumn(c, F.lit(value))
+    text_mark = F.col("subtype").isin("Highlight", "Underline", "StrikeOut") if "subtype" in marks.columns else F.lit(True)
+    j = marks.select(*PAGE, "annot_index", text_mark.alias("_text"), F.posexplode("quads").alias("k", "q")).join(zones, PAGE, "left")
     cx = (F.col("q")[0] + F.col("q")[2] + F.col("q")[4] + F.col("q")[6]) / 4
     cy = (F.col("q")[1] + F.col("q")[3] + F.col("q")[5] + F.col("q")[7]) / 4
-    u_min = F.least(F.col("q")[0], F.col("q")[2], F.col("q")[4], F.col("q")[6])
+    u_min = F.least(*[F.col("q")[k] * F.col("cos") + F.col("q")[k + 1] * F.col("sin") for k in (0, 2, 4, 6)])
     moved = F.coalesce(
         cx.between(F.col("zl") - 0.5, F.col("zr") + 0.5) & cy.between(F.col("zb") - 0.5, F.col("zt") + 0.5) & (u_min >= F.col("u_from") - 1.5 * F.col("em")), F.lit(False)
     )
-    new = F.when(moved, F.transform("q", lambda v, k: v + F.when(k % 2 == 0, F.col("dx")).otherwise(F.col("dy")))).otherwise(F.col("q"))
-    j = j.select(*PAGE, "annot_index", "k", moved.alias("moved"), new.alias("q"))
+    moved = moved & F.col("_text")
+    j = j.groupBy(*PAGE, "annot_index", "k").agg(
+        F.first("q").alias("q"), F.max(moved).alias("moved"), F.sum(F.when(moved, F.col("dx")).otherwise(0)).alias("dx"), F.sum(F.when(moved, F.col("dy")).otherwise(0)).alias("dy"))
+    new = F.when(F.col("moved"), F.transform("q", lambda v, k: v + F.when(k % 2 == 0, F.col("dx")).otherwise(F.col("dy")))).otherwise(F.col("q"))
+    j = j.select(*PAGE, "annot_index", "k", "moved", new.alias("q"))
     xs, ys = F.array(*[F.col("q")[k] for k in (0, 2, 4, 6)]), F.array(*[F.col("q")[k] for k in (1, 3, 5, 7)])
     return j.groupBy(*PAGE, "annot_index").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("quads"), F.count_if("moved").alias("moved"),
@@ -131,19 +141,45 @@ def select_comments(annots: DataFrame) -> DataFrame:
     return annots.filter(~sub.isin("Link", "Popup", "Widget") & (always | (F.col("text") != ""))).withColumn("kind", kind)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _edit_targets(count: pd.Series, ops: pd.Series, at: pd.Series) -> pd.Series:
+    """What each edit of a page means: the annotation's first index, count + k for the k-th one added, -1 for none."""
+
+    def page(n, names, indexes):
+        live, out = list(range(n)), []
+        added = n
+        for op, i in zip(names, indexes):
+            if op == "add":
+                live.append(added)
+                out.append(added)
+                added += 1
+            elif i is None or i != i or not 0 <= i < len(live):
+                out.append(-1)
+            else:
+                out.append(live.pop(int(i)) if op == "remove" else live[int(i)])
+        return out
+
+    return pd.Series([page(*p) for p in zip(count, ops, at)])
+
+
 def edit_annotations(annots: DataFrame, edits: DataFrame) -> DataFrame:
     """edits(doc_id, page_index, seq, op, annot_index, kind, text, author): op is add, set_text or remove.
 
-    Per page: texts are set (a blank one clears), removed ones go and later indexes close up, added ones follow.
+    Edits of a page take effect one after the other, by ``seq``: a removal closes up the indexes for those that follow, an
+    added annotation comes last, a blank text clears.  An index that is not there (any more) changes nothing.
     """
+    size = annots.groupBy(*PAGE).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    e = edits.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "annot_index", "kind", "text", "author"))).alias("_e"))
+    e = e.join(size, PAGE, "left").withColumn("_t", _edit_targets(F.coalesce("_n", F.lit(0)), F.expr("transform(_e, e -> e.op)"), F.expr("transform(_e, e -> cast(e.annot_index as int))")))
+    e = e.select(*PAGE, F.posexplode("_e").alias("_k", "_e"), "_t").select(*PAGE, "_k", "_e.op", "_e.kind", "_e.text", "_e.author", F.element_at("_t", F.col("_k") + 1).alias("annot_index"))
     keys = [*PAGE, "annot_index"]
-    change = edits.filter(F.col("op") != "add").groupBy(*keys).agg(F.max(F.col("op") == "remove").alias("_gone"), F.max_by("text", "seq").alias("_text"), F.max(F.col("op") == "set_text").alias("_set"))
-    j = annots.join(change, keys, "left").filter(~F.coalesce("_gone", F.lit(False)))
-    j = j.withColumn("text", F.when(F.coalesce("_set", F.lit(False)), normalize_note(F.col("_text"))).otherwise(F.col("text"))).withColumn("_new", F.lit(0)).withColumn("_seq", F.col("annot_index").cast("long"))
-    cols = [*PAGE, "kind", "text", "author", "_new", "_seq"]
-    add = edits.filter(F.col("op") == "add").withColumn("_new", F.lit(1)).withColumn("_seq", F.col("seq").cast("long")).withColumn("text", normalize_note(F.col("text")))
-    both = j.select(cols).unionByName(add.select(cols))
-    return both.select(*PAGE, (F.row_number().over(W.partitionBy(*PAGE).orderBy("_new", "_seq")) - 1).alias("annot_index"), "kind", "text", "author")
+    change = e.filter("op <> 'add' and annot_index >= 0").groupBy(*keys).agg(
+        F.max(F.col("op") == "remove").alias("_gone"), F.max(F.when(F.col("op") == "set_text", F.struct("_k", "text"))).alias("_set"))
+    cols = [*keys, "kind", "text", "author"]
+    every = annots.select(cols).unionByName(e.filter("op = 'add'").withColumn("text", normalize_note(F.col("text"))).select(cols))
+    j = every.join(change, keys, "left").filter(~F.coalesce("_gone", F.lit(False)))
+    j = j.withColumn("text", F.when(F.col("_set").isNotNull(), normalize_note(F.col("_set.text"))).otherwise(F.col("text")))
+    return j.select(*PAGE, (F.row_number().over(W.partitionBy(*PAGE).orderBy("annot_index")) - 1).alias("annot_index"), "kind", "text", "author")
 
 
 def _annot_order(left, top, height, index):

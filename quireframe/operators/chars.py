@@ -57,56 +57,82 @@ def reverse_rotated_lines(chars: DataFrame, page_table: DataFrame) -> DataFrame:
     return ln.select(*PAGE, "line_no", F.when(F.col("_flip"), back).otherwise(fwd).alias("new_line_no"), "_flip").withColumnRenamed("_flip", "reversed")
 
 
-def _bands(x, y, w, h):
-    """Line number of each boxed character: it stays on the line while it overlaps the line's band by more than half."""
-    out, line, size = [], -1, 0
-    lo = hi = 0.0
-    vertical = False
-    prev = None
-    for k in range(len(x)):
-        if size == 1:
-            oy = (min(y[k] + h[k], y[prev] + h[prev]) - max(y[k], y[prev])) / min(h[k], h[prev])
-            ox = (min(x[k] + w[k], x[prev] + w[prev]) - max(x[k], x[prev])) / min(w[k], w[prev])
-            vertical = ox > oy and ox > 0.5
-            stays = vertical or oy > 0.5
-        elif size > 1:
-            a0, a1 = (x[k], x[k] + w[k]) if vertical else (y[k], y[k] + h[k])
-            stays = min(hi, a1) - max(lo, a0) > 0.5 * min(hi - lo, a1 - a0)
-        else:
-            stays = False
-        if not stays:
-            line, size, vertical = line + 1, 1, False
-            lo, hi = y[k], y[k] + h[k]
+def _shared(a, b) -> float:
+    """How much of the shorter of two spans lies in the other one."""
+    return (min(a[1], b[1]) - max(a[0], b[0])) / min(a[1] - a[0], b[1] - b[0])
+
+
+def line_bands(boxes):
+    """boxes: (x, y, w, h) in reading order -> (line number of each box, [(vertical, low, high) of each line]).
+
+    A line's second character settles its axis: across the axis the two share more than half, and more than along it.
+    From then on a character belongs to the line while it shares more than half with the span of the whole line so far.
+    """
+    number, lines = [], []
+    for x, y, w, h in boxes:
+        across = {False: (y, y + h), True: (x, x + w)}
+        axis = None
+        if lines:
+            fits = lines[-1]
+            share = {v: _shared(across[v], span) for v, span in fits.items()}
+            axis = max(share, key=lambda v: (share[v], not v))
+            if share[axis] <= 0.5:
+                axis = None
+        if axis is None:
+            lines.append(across)
         else:
-            pairs = [k, prev] if size == 1 else [k]
-            starts = [(x if vertical else y)[i] for i in pairs]
-            ends = [(x[i] + w[i]) if vertical else (y[i] + h[i]) for i in pairs]
-            lo, hi = (min(starts), max(ends)) if size == 1 else (min(lo, *starts), max(hi, *ends))
-            size += 1
-        prev = k
-        out.append(line)
-    return out
+            span = lines[-1][axis]
+            lines[-1] = {axis: (min(span[0], across[axis][0]), max(span[1], across[axis][1]))}
+        number.append(len(lines) - 1)
+    return number, [(v, *spans[v]) for spans in lines for v in [min(spans)]]
+
 
+_BAND = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("vertical", T.BooleanType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
+
+@F.pandas_udf(T.ArrayType(_BAND))
 def _bands_udf(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-    return pd.Series([_bands(*(a.tolist() for a in page)) for page in zip(x, y, w, h)])
+    def page(*sides):
+        number, lines = line_bands(list(zip(*(s.tolist() for s in sides))))
+        return [{"line": k, "vertical": lines[k][0], "low": lines[k][1], "high": lines[k][2]} for k in number]
+
+    return pd.Series([page(*p) for p in zip(x, y, w, h)])
 
 
 def char_line_bands(chars: DataFrame) -> DataFrame:
-    """Boxed characters with their visual line.  The band of a line grows as it goes, so a page is walked in order."""
+    """Boxed characters with their visual line, its direction and its band (across the direction, over the whole line).
+
+    The band of a line grows as it goes, so a page is walked in order.
+    """
     p = chars.filter(has_box()).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "w", "h"))).alias("cs"))
-    p = p.withColumn("line", _bands_udf(*[F.expr(f"transform(cs, c -> c.{k})") for k in ("x", "y", "w", "h")]))
-    return p.select(*PAGE, F.explode(F.expr("transform(cs, (c, k) -> struct(c.pos, c.x, c.y, c.w, c.h, line[k] as line))")).alias("c")).select(*PAGE, "c.*")
+    p = p.withColumn("band", _bands_udf(*[F.expr(f"transform(cs, c -> c.{k})") for k in ("x", "y", "w", "h")]))
+    one = F.expr("transform(cs, (c, k) -> struct(c.pos, c.x, c.y, c.w, c.h, band[k].line as line, band[k].vertical as vertical, band[k].low as low, band[k].high as high))")
+    return p.select(*PAGE, F.explode(one).alias("c")).select(*PAGE, "c.*")
+
 
+def quads_for_range(banded: DataFrame, ranges: DataFrame, page_table: DataFrame | None = None) -> DataFrame:
+    """ranges(doc_id, page_index, from_pos, to_pos): one box per visual line, cut to the range along the line and as thick
+    as the line's whole band.
 
-def quads_for_range(banded: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges(doc_id, page_index, from_pos, to_pos): one box per visual line, as high as the line's whole band."""
-    line = W.partitionBy(*PAGE, "line")
-    b = banded.withColumn("y0", F.min("y").over(line)).withColumn("y1", F.max(F.col("y") + F.col("h")).over(line))
+    Corners go from the top left, top right, bottom left to the bottom right as the page is seen: ``page_table`` with a
+    ``rotation`` turns them.
+    """
+    b = banded
+    x0, x1 = F.when(F.col("vertical"), F.col("low")).otherwise(F.col("x")), F.when(F.col("vertical"), F.col("high")).otherwise(F.col("x") + F.col("w"))
+    y0, y1 = F.when(F.col("vertical"), F.col("y")).otherwise(F.col("low")), F.when(F.col("vertical"), F.col("y") + F.col("h")).otherwise(F.col("high"))
     j = b.join(ranges, PAGE).filter(F.col("pos").between(F.least("from_pos", "to_pos"), F.greatest("from_pos", "to_pos")))
-    g = j.groupBy(*PAGE, "line").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.first("y0").alias("y0"), F.first("y1").alias("y1"))
-    return g.select(*PAGE, "line", F.array("x0", "y1", "x1", "y1", "x0", "y0", "x1", "y0").alias("quad"))
+    g = j.groupBy(*PAGE, "line").agg(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(y0).alias("y0"), F.max(y1).alias("y1"), F.first("vertical").alias("vertical"))
+    if page_table is None:
+        g = g.withColumn("rotation", F.lit(0))
+    else:
+        g = g.join(page_table.select(*PAGE, "rotation"), PAGE, "left")
+
+    def corners(*order: str) -> Column:
+        return F.array(*[F.col(c) for xy in order for c in (f"x{xy[0]}", f"y{xy[1]}")])
+
+    turned = F.when(F.pmod("rotation", F.lit(360)) == 90, corners("00", "01", "10", "11")).when(F.pmod("rotation", F.lit(360)) == 180, corners("10", "00", "11", "01"))
+    turned = turned.when(F.pmod("rotation", F.lit(360)) == 270, corners("11", "10", "01", "00")).otherwise(corners("01", "11", "00", "10"))
+    return g.select(*PAGE, "line", turned.alias("quad"), "vertical")
 
 
 def select_range_text(chars: DataFrame, ranges: DataFrame) -> DataFrame:

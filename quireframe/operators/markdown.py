@@ -13,15 +13,21 @@ FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
 RULE = r"^ {0,3}([-*_])( *\1){2,} *$"
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*$"
 QUOTE = r"^ {0,3}>( ?)"
-ITEM = r"^( {0,20})([-*+]|[0-9]{1,9}[.)]) +(.*)$"
+ITEM = r"^( *)([-*+]|[0-9]{1,9}[.)]) +(.*)$"
 SETEXT = r"^ {0,3}(=+|-+) *$"
-NOTE_DEF = r"^ {0,3}\[\^([^\]\s]{1,64})\]:[ \t]*(.*)$"
-REF_DEF = r"""^ {0,3}\[([^\]\n]{1,200})\]:[ \t]*(<[^>\n]*>|\S+)(?:[ \t]+(?:"[^"]*"|'[^']*'|\([^)]*\)))?[ \t]*$"""
-INLINE_LINK = r"""(!?)\[([^\[\]]*)\]\([ \n]*(?:<([^>\n]*)>|([^\s()<>]*))[ \n]*(?:"[^"]*"|'[^']*')?[ \n]*\)"""
-AUTO_LINK = r"<([A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*)>"
+NOTE_DEF = r"^ {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$"
+REF_DEF = r"""^ {0,3}\[([^\]\n]+)\]:[ \t]*(<[^>\n]*>|\S+)(?:[ \t]+(?:"[^"]*"|'[^']*'|\([^)]*\)))?[ \t]*$"""
+# A bare destination may hold brackets in pairs, three deep.
+DEST = r"(?:[^\s()<>]|\((?:[^\s()<>]|\((?:[^\s()<>]|\([^\s()<>]*\))*\))*\))*"
+INLINE_LINK = r"""(!?)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\([ \n]*(?:<([^>\n]*)>|(""" + DEST + r"""))[ \n]*(?:"[^"]*"|'[^']*')?[ \n]*\)"""
+REF_LINK = r"(!?)\[([^\[\]]+)\](?:\[([^\[\]]*)\])?(?![(:])"
+MAIL_LINK = r"<([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)>"
+CODE_SPAN = r"(?<![`\\])(`+)(?!`).+?(?<!`)\1(?!`)"
+ESCAPED = r"""\\[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+AUTO_LINK = r"<([A-Za-z][A-Za-z0-9+.\-]+:[^\s<>]*)>"
 BARE_URL = r"(?<![\p{L}\p{N}])https?://[^\s<]+"
 HTML_TAG = r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>|<!--"
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,10});"
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]+);"
 # The named entities that are understood.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»",
@@ -98,7 +104,7 @@ def md_tables(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def md_tasks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """List items with a check box: doc_id, line_no, depth (at most 2), checked, text.
+    """List items with a check box: doc_id, line_no, depth, checked, text.
 
     Depth counts the items still open above it in an unbroken list: each one less indented than everything after it.
     """
@@ -109,7 +115,7 @@ def md_tasks(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("_items", F.expr("filter(_i, t -> t is not null)"))
     box = r"^\[( |x|X)\](?: +|$)(.*)$"
     depth = """aggregate(reverse(filter(_items, p -> p.i < t.i and p.i > coalesce(array_max(filter(_breaks, b -> b < t.i)), -1))),
-        named_struct('m', t.indent, 'd', 0), (a, p) -> if(p.indent < a.m, named_struct('m', p.indent, 'd', a.d + 1), a), a -> least(a.d, 2))"""
+        named_struct('m', t.indent, 'd', 0), (a, p) -> if(p.indent < a.m, named_struct('m', p.indent, 'd', a.d + 1), a), a -> a.d)"""
     d = d.select("doc_id", F.explode(F.expr(f"transform(filter(_items, t -> t.content rlike {_sql(box)}), t -> struct(t.i as line_no, {depth} as depth, t.content as content))")).alias("t"))
     c = F.col("t.content")
     return d.select("doc_id", "t.line_no", "t.depth", (F.regexp_extract(c, box, 1) != " ").alias("checked"), F.regexp_extract(c, box, 2).alias("text"))
@@ -126,28 +132,68 @@ def trim_url(u: Column) -> Column:
     return F.when(tail > 0, F.aggregate(F.sequence(F.lit(1), tail), u, step)).otherwise(u)
 
 
+def _label(c: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+
+
+def _definition_arrays(d: DataFrame) -> DataFrame:
+    """Adds ``labels`` and ``dests``: the link definitions of each document outside code, in order, from its own row."""
+    line = f"transform(filter(transform(lines, (l, i) -> if(l rlike {_sql(REF_DEF)} and not l rlike {_sql(NOTE_DEF)} and not exists(fenced, s -> i >= s.from and i <= s.to), l, null)), l -> l is not null), l -> l)"
+    d = d.withColumn("_d", F.expr(line))
+    return d.withColumn("labels", F.transform("_d", lambda l: _label(F.regexp_extract(l, REF_DEF, 1)))).withColumn("dests", F.transform("_d", lambda l: F.regexp_replace(F.regexp_extract(l, REF_DEF, 2), "^<|>$", ""))).drop("_d")
+
+
 def md_links(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_no, kind (link, image, auto, bare), url, in every line that is not code; nested brackets are left out."""
-    ln = md_lines(docs, text).filter(~F.col("code") & ~F.col("fence"))
-    c = F.col("line")
-    whole = F.regexp_extract_all(c, F.lit(INLINE_LINK), F.lit(0))
-    inline = F.transform(whole, lambda m: F.struct(F.when(F.startswith(m, F.lit("!")), "image").otherwise("link").alias("kind"), F.concat(F.regexp_extract(m, INLINE_LINK, 3), F.regexp_extract(m, INLINE_LINK, 4)).alias("url")))
-    rest = F.regexp_replace(c, INLINE_LINK, " ")
-    auto = F.transform(F.regexp_extract_all(rest, F.lit(AUTO_LINK), F.lit(1)), lambda m: F.struct(F.lit("auto").alias("kind"), m.alias("url")))
-    bare = F.transform(F.regexp_extract_all(F.regexp_replace(rest, AUTO_LINK, " "), F.lit(BARE_URL), F.lit(0)), lambda m: F.struct(F.lit("bare").alias("kind"), trim_url(m).alias("url")))
-    return ln.select("doc_id", "line_no", F.explode(F.concat(inline, auto, bare)).alias("l")).select("doc_id", "line_no", "l.kind", "l.url")
+    """doc_id, line_no, nth, kind (link, image, auto, bare, reference), url: links outside code, in the order of the line.
+
+    Code spans and escaped characters are no links; definition lines are none either.  A reference is one where the
+    document defines its label; the first definition counts.  Addresses of mail in angle brackets become ``mailto:``.
+    """
+    d = _definition_arrays(with_lines(docs, text))
+    row = F.expr(f"""filter(transform(lines, (l, i) -> if(exists(fenced, s -> i >= s.from and i <= s.to) or l rlike {_sql(REF_DEF)} or l rlike {_sql(NOTE_DEF)}, null, struct(i as line_no, l as line))), r -> r is not null)""")
+    ln = d.select("doc_id", "labels", "dests", F.explode(row).alias("r")).select("doc_id", "labels", "dests", "r.line_no", "r.line")
+    ln = ln.filter(F.col("line").rlike(r"[\[<]|https?://"))
+    c = F.regexp_replace(F.regexp_replace(F.col("line"), CODE_SPAN, " "), ESCAPED, "\ue000")
+    # one reading from left to right; what begins first wins
+    found = F.regexp_extract_all(c, F.lit("|".join(f"(?:{rx})" for rx in (INLINE_LINK, AUTO_LINK, MAIL_LINK, REF_LINK, BARE_URL))), F.lit(0))
+
+    def one(m: Column) -> Column:
+        inline, image = m.rlike(f"^{INLINE_LINK}$"), F.startswith(m, F.lit("!"))
+        label = F.coalesce(F.nullif(F.regexp_extract(m, REF_LINK, 3), F.lit("")), F.regexp_extract(m, REF_LINK, 2))
+        at = F.array_position("labels", _label(label))
+        reference = F.when(at > 0, F.try_element_at("dests", at.cast("int")))
+        kind = F.when(inline, F.when(image, "image").otherwise("link")).when(F.startswith(m, F.lit("<")), "auto").when(F.startswith(m, F.lit("http")), "bare").when(image, "image").otherwise("reference")
+        url = (
+            F.when(inline, F.concat(F.regexp_extract(m, INLINE_LINK, 3), F.regexp_extract(m, INLINE_LINK, 4)))
+            .when(m.rlike(f"^{MAIL_LINK}$"), F.concat(F.lit("mailto:"), F.regexp_extract(m, MAIL_LINK, 1)))
+            .when(F.startswith(m, F.lit("<")), F.substr(m, F.lit(2), F.length(m) - 2)).when(F.startswith(m, F.lit("http")), trim_url(m)).otherwise(reference)
+        )
+        return F.struct(kind.alias("kind"), url.alias("url"))
+
+    links = F.filter(F.transform(found, one), lambda s: s["url"].isNotNull())
+    return ln.select("doc_id", "line_no", F.posexplode(links).alias("nth", "l")).select("doc_id", "line_no", "nth", "l.kind", "l.url")
 
 
 def md_definitions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Link definitions and note definitions outside code: doc_id, line_no, kind (ref, note), label, value."""
-    ln = md_lines(docs, text).filter(~F.col("code") & ~F.col("fence"))
+    """Link definitions and note definitions outside code: doc_id, line_no, kind (ref, note), label, value.
+
+    A note goes on over the lines that follow it with an indent, blank lines between them included.
+    """
+    d = with_lines(docs, text)
+    starts = f"l rlike {_sql(NOTE_DEF)} or l rlike {_sql(REF_DEF)}"
+    # where a note's text can go no further: a line with ink that is not indented
+    d = d.withColumn("_stops", F.expr("filter(transform(lines, (l, i) -> if(l rlike '^(?! {4}|\\t| {2,3}[^ ]).*[^ \\t]', i, null)), i -> i is not null)"))
+    row = F.expr(f"""filter(transform(lines, (l, i) -> if(({starts}) and not exists(fenced, s -> i >= s.from and i <= s.to),
+        struct(i as line_no, l as line, coalesce(get(filter(_stops, s -> s > i), 0), size(lines)) as stop), null)), r -> r is not null)""")
+    d = d.select("doc_id", "lines", F.explode(row).alias("r")).select("doc_id", "r.*", F.expr("slice(lines, r.line_no + 2, greatest(r.stop - r.line_no - 1, 0))").alias("more"))
     c = F.col("line")
-    note, ref = c.rlike(NOTE_DEF), c.rlike(REF_DEF) & ~F.regexp_extract(c, REF_DEF, 1).startswith("^")
-    dest = F.regexp_replace(F.regexp_extract(c, REF_DEF, 2), "^<|>$", "")
-    return ln.filter(note | ref).select(
+    note = c.rlike(NOTE_DEF)
+    rest = F.rtrim(F.array_join(F.transform("more", lambda l: F.regexp_replace(l, r"^(?: {1,4}|\t)", "")), "\n"))
+    value = F.trim(F.concat(F.trim(F.regexp_extract(c, NOTE_DEF, 2)), F.when(F.trim(rest) != "", F.concat(F.lit("\n"), F.regexp_replace(rest, "\\n+$", ""))).otherwise("")))
+    return d.select(
         "doc_id", "line_no", F.when(note, "note").otherwise("ref").alias("kind"),
-        F.when(note, F.regexp_extract(c, NOTE_DEF, 1)).otherwise(F.lower(F.regexp_replace(F.trim(F.regexp_extract(c, REF_DEF, 1)), r"\s+", " "))).alias("label"),
-        F.when(note, F.trim(F.regexp_extract(c, NOTE_DEF, 2))).otherwise(dest).alias("value"),
+        F.when(note, F.regexp_extract(c, NOTE_DEF, 1)).otherwise(_label(F.regexp_extract(c, REF_DEF, 1))).alias("label"),
+        F.when(note, value).otherwise(F.regexp_replace(F.regexp_extract(c, REF_DEF, 2), "^<|>$", "")).alias("value"),
     )
 
 
@@ -173,7 +219,7 @@ def decode_entities(c: Column) -> Column:
 
 def plain_text(c: Column) -> Column:
     """Inline text without its marks (flat marks; nested ones need the recursive reading that is left out)."""
-    out = F.regexp_replace(c, r"\[\^[^\]\s]{1,64}\]", "")
+    out = F.regexp_replace(c, r"\[\^[^\]\s]+\]", "")
     out = F.regexp_replace(out, INLINE_LINK, "$2")
     out = F.regexp_replace(out, r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", "$2")
     for rx in (r"\*\*\*(?=\S)(.+?)(?<=\S)\*\*\*", r"\*\*(?=\S)(.+?)(?<=\S)\*\*", r"\*(?=\S)(.+?)(?<=\S)\*", r"(?<![\p{L}\p{N}_])__(?=\S)(.+?)(?<=\S)__(?![\p{L}\p{N}])", r"(?<![\p{L}\p{N}_])_(?=\S)(.+?)(?<=\S)_(?![\p{L}\p{N}])", r"~~(?=\S)(.+?)(?<=\S)~~"):

@@ -9,17 +9,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quireframe.operators import scale
 
-MAX_DEPTH, MAX_NODES = 32, 10_000
-
-
-def outline_from_headings(headings: DataFrame, chunk: str = "page_index", max_level: int = 9) -> DataFrame:
+def outline_from_headings(headings: DataFrame, chunk: str = "page_index", max_level: int = 9, max_nodes: int | None = None) -> DataFrame:
     """headings(doc_id, pos, level, title, ...): adds parent_pos, depth and path.
 
     The parent is the nearest earlier heading of a smaller level; levels that are skipped are not made up.  The open
     headings at a row are, per level, the last one met, as long as no smaller level came after it: nine running maxima.
-    Only the first 10 000 headings of a document are kept.
+    Levels deeper than ``max_level`` (the formats know nine) count as that level; ``max_nodes`` keeps a document's first
+    headings only, and by default all are kept.
     """
-    h = scale.row_number(headings, ["doc_id"], chunk, ["pos"], "_n").filter(F.col("_n") <= MAX_NODES).drop("_n")
+    h = headings
+    if max_nodes is not None:
+        h = scale.row_number(h, ["doc_id"], chunk, ["pos"], "_n").filter(F.col("_n") <= max_nodes).drop("_n")
     h = h.withColumn("level", F.least("level", F.lit(max_level)))
 
     def last_at(extra: str | None) -> dict[str, Column]:
@@ -53,16 +53,17 @@ def subtree_stats(outline: DataFrame) -> DataFrame:
     return up.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("nodes"), (F.max("d") - F.size("path")).cast("int").alias("height"))
 
 
-def outline_stats(outline: DataFrame) -> DataFrame:
+def outline_stats(outline: DataFrame, max_nodes: int = 10_000, max_depth: int = 32) -> DataFrame:
+    """Nodes and depth of each outline, and whether it is within the limits that viewers have; nothing is cut."""
     g = outline.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.max(F.size("path")).alias("max_depth"))
-    return g.withColumn("within_limits", (F.col("nodes") <= MAX_NODES) & (F.col("max_depth") <= MAX_DEPTH))
+    return g.withColumn("within_limits", (F.col("nodes") <= max_nodes) & (F.col("max_depth") <= max_depth))
 
 
-def edit_outline(outline: DataFrame, edits: DataFrame) -> DataFrame:
+def edit_outline(outline: DataFrame, edits: DataFrame, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
     """edits(doc_id, op, target array<int>, title, page): one edit per document.
 
     op: insert_sibling, insert_child, delete, rename, retarget, move_up, move_down, indent, outdent.  An edit that cannot
-    be done (no such node, at the edge, too deep, too many nodes) leaves its outline unchanged.
+    be done (no such node, at the edge, beyond ``max_nodes`` or ``max_depth`` where given) leaves its outline unchanged.
     """
     j = outline.join(edits, "doc_id", "left")
     n = F.size("target")
@@ -80,13 +81,17 @@ def edit_outline(outline: DataFrame, edits: DataFrame) -> DataFrame:
     )
     e = edits.join(facts, "doc_id")
     last, op = F.element_at("target", -1), F.col("op")
+
+    def room(value: Column, limit: int | None) -> Column:
+        return F.lit(True) if limit is None else value <= limit
+
     can = F.col("_found") & (
-        F.when(op == "insert_sibling", F.col("_all") + 1 <= MAX_NODES)
-        .when(op == "insert_child", (F.col("_all") + 1 <= MAX_NODES) & (n + 1 <= MAX_DEPTH))
+        F.when(op == "insert_sibling", room(F.col("_all") + 1, max_nodes))
+        .when(op == "insert_child", room(F.col("_all") + 1, max_nodes) & room(n + 1, max_depth))
         .when(op == "move_up", last > 0)
         .when(op == "move_down", last + 1 < F.col("_sib"))
-        .when(op == "indent", (last > 0) & (n + F.col("_height") <= MAX_DEPTH))
-        .when(op == "outdent", (n >= 2) & (n - 1 + F.greatest("_height", "_later_height") <= MAX_DEPTH))
+        .when(op == "indent", (last > 0) & room(n + F.col("_height"), max_depth))
+        .when(op == "outdent", (n >= 2) & room(n - 1 + F.greatest("_height", "_later_height"), max_depth))
         .otherwise(F.lit(True))
     )
     e = e.filter(can)
@@ -130,7 +135,7 @@ def without_deleted_page(outline: DataFrame, deletes: DataFrame) -> DataFrame:
     """deletes(doc_id, gone): nodes that point at the deleted page go, their children move up, later targets shift.
 
     An outline with an unsupported action, or with no node on that page, is left as it is.  New positions come from the
-    surviving ancestors of each node (its prefixes), at most 32 of them, never from pairs of nodes.
+    surviving ancestors of each node (its prefixes), never from pairs of nodes.
     """
     o = outline.join(deletes, "doc_id", "left")
     hit = (F.col("page_index") == F.col("gone")) & F.col("action").isNull()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from itertools import count
+
+from pyspark.sql import DataFrame, functions as F
 
 from quireframe.functions.textcols import slug
 from quireframe.operators import scale
+from quireframe.session import checkpointed
 
 
 def heading_ids(headings: DataFrame, chunk: str = "page_index") -> DataFrame:
@@ -33,17 +36,18 @@ def resolve_reference_links(refs: DataFrame, definitions: DataFrame) -> DataFram
     return r.join(first_definitions(definitions), ["doc_id", "label"])
 
 
-def footnote_numbers(refs: DataFrame, notes: DataFrame, chunk: str, max_rounds: int = 32) -> DataFrame:
+def footnote_numbers(refs: DataFrame, notes: DataFrame, chunk: str) -> DataFrame:
     """refs(doc_id, pos, note_id, ...) in the body, notes(doc_id, note_id, cites array<string>): numbers by first use.
 
     Notes only cited by other notes follow, in the order they are found while reading the numbered notes.  Each round
-    finds the notes cited one step further; a corpus without nested notes stops after the first.
+    finds the notes cited one step further, however deep, and is written out before the next, so plans do not grow; a corpus
+    without nested notes stops after the first.
     """
     known = notes.select("doc_id", "note_id")
     first = refs.join(known, ["doc_id", "note_id"], "left_semi").groupBy("doc_id", "note_id").agg(F.min("pos").alias("pos"), F.min_by(chunk, "pos").alias("_c"))
     n = scale.row_number(first, ["doc_id"], "_c", ["pos"], "number").select("doc_id", "note_id", "number", F.lit(0).alias("round"))
     done, frontier = n, n
-    for step in range(1, max_rounds + 1):
+    for step in count(1):
         cited = frontier.join(notes, ["doc_id", "note_id"]).select("doc_id", "number", F.posexplode("cites").alias("k", "cited"))
         new = cited.groupBy("doc_id", F.col("cited").alias("note_id")).agg(F.min(F.struct("number", "k")).alias("at"))
         new = new.join(known, ["doc_id", "note_id"], "left_semi").join(done.select("doc_id", "note_id"), ["doc_id", "note_id"], "left_anti")
@@ -52,7 +56,7 @@ def footnote_numbers(refs: DataFrame, notes: DataFrame, chunk: str, max_rounds:
         top = done.groupBy("doc_id").agg(F.max("number").alias("_top"))
         ranked = new.withColumn("_c", F.floor(F.col("at.number") / 1024))
         ranked = scale.row_number(ranked, ["doc_id"], "_c", ["at"], "_k").join(top, "doc_id")
-        frontier = ranked.select("doc_id", "note_id", (F.col("_top") + F.col("_k")).alias("number"), F.lit(step).alias("round"))
+        frontier = checkpointed(ranked.select("doc_id", "note_id", (F.col("_top") + F.col("_k")).alias("number"), F.lit(step).alias("round")))
         done = done.unionByName(frontier)
     return done
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quireframe.functions import encoding as E
+from quireframe.operators import scale
 
-REPORTED_CHARS = 20
-
-
-def char_issue_report(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document and kind (missing glyph, control): the first 20 characters met, their counts, and how many kinds in all.
+def char_issue_report(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """Per document and kind (missing glyph, control): the characters met, their counts, and how many kinds in all; ``most`` keeps the first so many.
 
     Characters are counted before the shuffle; what is ranked per document is at most one row per distinct character.
     """
@@ -18,12 +16,15 @@ def char_issue_report(df: DataFrame, key: str, text: str) -> DataFrame:
     issues = counts.withColumn("kind", E.issue_kind(F.col("cp"))).filter("kind is not null")
     w = W.partitionBy(key, "kind")
     ranked = issues.withColumn("rk", F.row_number().over(w.orderBy("first_pos"))).withColumn("kinds", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("rk") <= REPORTED_CHARS).select(key, "kind", "cp", "n", "kinds", "rk")
+    if most is not None:
+        ranked = ranked.filter(F.col("rk") <= most)
+    return ranked.select(key, "kind", "cp", "n", "kinds", "rk")
 
 
 def group_warnings(warnings: DataFrame, key: str) -> DataFrame:
-    """Warnings numbered inside each kind, in the order raised (``pos``)."""
-    return warnings.withColumn("group_pos", F.row_number().over(W.partitionBy(key, "kind").orderBy("pos")))
+    """Warnings numbered inside each kind, in the order raised (``pos``, a number); a busy key is cut into blocks of positions."""
+    blocks = warnings.withColumn("_c", F.floor(F.col("pos") / 4096))
+    return scale.row_number(blocks, [key, "kind"], "_c", ["pos"], "group_pos").drop("_c")
 
 
 def replace_summary(outcomes: DataFrame) -> DataFrame:

@@ -73,15 +73,15 @@ def annotation_at_point(spark, sf_dir):
 
 @query(
     "j03_nearest_path",
-    f"""WITH {LINES}, p AS (SELECT doc_id, page_index, run_id, x, y + 9 AS py FROM runs WHERE slot % 4 = 2),
+    f"""WITH {LINES}, p AS (SELECT doc_id, page_index, run_id, x, y + 9 AS py FROM runs),
 d AS (SELECT p.doc_id, p.page_index, p.run_id, l.line_in_page AS obj, sqrt(power(x - greatest(x0, least(x1, x)), 2) + power(py - (l.y - 2), 2)) AS dist FROM p JOIN lines l ON p.doc_id = l.doc_id AND p.page_index = l.page_index)
 SELECT doc_id, page_index, run_id AS point_id, arg_min(obj, (dist, obj)) AS obj_index, round(min(dist), 4) AS dist FROM d WHERE dist <= 20 GROUP BY ALL""",
 )
 def nearest_path(spark, sf_dir):
-    """Every line is underlined; every fourth word's top left looks for the nearest stroke within 20 pt."""
+    """Every line is underlined; every word's top left looks for the nearest stroke within 20 pt."""
     r = runs(spark, sf_dir)
     seg = r.groupBy("doc_id", "page_index", F.col("line_in_page").alias("obj_index")).agg(F.min("x").alias("ax"), (F.min("y") - 2).alias("ay"), F.max(F.col("x") + F.col("w")).alias("bx"), (F.min("y") - 2).alias("by"))
-    pts = r.filter("slot % 4 = 2").select("doc_id", "page_index", F.col("run_id").alias("point_id"), F.col("x").alias("px"), (F.col("y") + 9).alias("py"))
+    pts = r.select("doc_id", "page_index", F.col("run_id").alias("point_id"), F.col("x").alias("px"), (F.col("y") + 9).alias("py"))
     n = A.nearest_path(pts, seg, 20.0)
     return n.select("doc_id", "page_index", "point_id", "obj_index", F.round("dist", 4).alias("dist"))
 
@@ -99,12 +99,12 @@ def match_boxes_in_line(spark, sf_dir):
 
 @query(
     "j10_shift_markups",
-    f"""WITH {RUNS}, q AS (SELECT doc_id, page_index, line_in_page AS annot_index, slot, x, y, w, h, line_in_page = 3 AND x + w / 2 >= 200 - 0.5 AND x >= 200 - 1.5::DOUBLE * size_pt AS moved FROM runs WHERE slot IN (1, 4))
+    f"""WITH {RUNS}, q AS (SELECT doc_id, page_index, line_in_page AS annot_index, slot, x, y, w, h, line_in_page = 3 AND x + w / 2 >= 200 - 0.5 AND x >= 200 - 1.5::DOUBLE * size_pt AS moved FROM runs)
 SELECT doc_id, page_index, annot_index, count(*) FILTER (WHERE moved) AS moved, round(min(x + CASE WHEN moved THEN 12 ELSE 0 END), 4) AS x0, round(max(x + w + CASE WHEN moved THEN 12 ELSE 0 END), 4) AS x1, min(y - CASE WHEN moved THEN 2 ELSE 0 END) AS y0 FROM q GROUP BY ALL""",
 )
 def shift_markups(spark, sf_dir):
-    """A markup of two quads on every line; the text of the fourth line right of x = 200 was moved by (12, -2)."""
-    r = runs(spark, sf_dir).filter(F.col("slot").isin(1, 4))
+    """A markup on every line, a quad for each word; the text of the fourth line right of x = 200 was moved by (12, -2)."""
+    r = runs(spark, sf_dir)
     quad = G.rect_quad(*[F.col(c) for c in ("x", "y", "w", "h")])
     marks = r.groupBy("doc_id", "page_index", F.col("line_in_page").alias("annot_index")).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", quad.alias("q")))), lambda s: s["q"]).alias("quads"))
     zone = r.filter("line_in_page = 3").groupBy("doc_id", "page_index").agg(F.min("y").alias("zb"), F.max(F.col("y") + F.col("h")).alias("zt"), F.max("size_pt").alias("em"))
@@ -128,11 +128,11 @@ def select_comments(spark, sf_dir):
 @query(
     "u13_edit_annotations",
     """WITH a AS (SELECT o_custkey AS doc_id, 0 AS page_index, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS i, o_orderpriority AS text, o_orderkey FROM orders),
-k AS (SELECT doc_id, page_index, 0 AS nw, i, CASE WHEN i = 1 THEN '' WHEN i = 2 THEN 'set' ELSE text END AS text FROM a WHERE i <> 0 UNION ALL SELECT DISTINCT doc_id, page_index, 1, 0, 'added' FROM a)
+k AS (SELECT doc_id, page_index, 0 AS nw, i, CASE WHEN i = 2 THEN '' WHEN i = 3 THEN 'set' ELSE text END AS text FROM a WHERE i <> 0 UNION ALL SELECT DISTINCT doc_id, page_index, 1, 0, 'added' FROM a)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nw, i) - 1 AS INTEGER) AS annot_index, text FROM k""",
 )
 def edit_annotations(spark, sf_dir):
-    """Per customer: the first note is removed, the second blanked, the third rewritten, one added."""
+    """Per customer: the first note is removed; of those left the second is blanked, the third rewritten; one is added."""
     from pyspark.sql import Window as W
 
     o = load(spark, sf_dir, "orders")
@@ -148,8 +148,8 @@ def edit_annotations(spark, sf_dir):
 
 @query("w18_annotation_reading_order")
 def annotation_reading_order(spark, sf_dir):
-    """Every third word of a page is a mark, some a little lower than their neighbours."""
-    r = runs(spark, sf_dir).filter("slot % 3 = 0")
+    """Every word of a page is a mark, some a little lower than their neighbours."""
+    r = runs(spark, sf_dir)
     m = r.select("doc_id", "page_index", F.col("run_id").alias("annot_index"), F.col("x").alias("left"), (F.lit(842.0) - F.col("y") - F.col("h") + F.col("slot") * 0.4).alias("top"), F.col("h").alias("height"))
     return A.annotation_reading_order(m)
 

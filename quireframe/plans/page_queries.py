@@ -95,15 +95,15 @@ def rotate_page(spark, sf_dir):
 @query(
     "u07_redact_runs",
     f"""WITH {RUNS} SELECT doc_id, page_index, count(*) FILTER (WHERE hit) AS removed, count(*) FILTER (WHERE NOT hit) AS kept, count(*) FILTER (WHERE NOT hit AND text = 'de') AS still_there
-FROM (SELECT *, text = 'de' OR contains(text, '@') AS hit FROM runs) GROUP BY doc_id, page_index HAVING removed > 0""",
+FROM (SELECT *, text = 'de' OR contains(text, '@') AS hit FROM runs) GROUP BY doc_id, page_index""",
 )
 def redact_runs(spark, sf_dir):
     """Every word ``de`` and every address is removed; what is left is counted to prove it."""
     r = layout.runs(load_spread(spark, sf_dir, "documents", "doc_id")).select("doc_id", "page_index", "run_id", "text")
     kept, removed = P.redact_runs(r, r.filter((F.col("text") == "de") | F.contains("text", F.lit("@"))))
     left = kept.groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("text") == "de").alias("still_there"))
-    j = removed.join(left, ["doc_id", "page_index"], "left")
-    return j.select("doc_id", "page_index", "removed", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("still_there", F.lit(0)).alias("still_there"))
+    j = removed.join(left, ["doc_id", "page_index"], "full")
+    return j.select("doc_id", "page_index", F.coalesce("removed", F.lit(0)).alias("removed"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("still_there", F.lit(0)).alias("still_there"))
 
 
 @query(
@@ -158,7 +158,7 @@ def page_number_labels(spark, sf_dir):
 @query(
     "u12_apply_page_ops",
     f"""WITH {RUNS}, {PAGE_META_ONLY}, mx AS (SELECT doc_id, page_index, max(run_id) AS m FROM runs GROUP BY doc_id, page_index), ob AS (SELECT doc_id, page_index, count(*) AS n FROM runs GROUP BY doc_id, page_index)
-SELECT mx.doc_id, mx.page_index, CAST(m + k AS INTEGER) AS object_id, kind FROM mx, (VALUES (1, 'text'), (2, 'path'), (3, 'image'), (4, 'link'), (5, 'path')) v(k, kind)""",
+SELECT mx.doc_id, mx.page_index, CAST(m + k AS INTEGER) AS object_id, kind FROM mx, (VALUES (1, 'text'), (2, 'path'), (3, 'image'), (4, 'link'), (5, 'path')) v(k, kind) UNION ALL SELECT doc_id, page_index, run_id, 'text' FROM runs""",
 )
 def apply_page_ops(spark, sf_dir):
     """Five operations on every page; the new objects follow the page's last."""
@@ -167,7 +167,7 @@ def apply_page_ops(spark, sf_dir):
     kinds = F.array(*map(F.lit, ["insertText", "fillRect", "insertImage", "addLink", "drawStroke"]))
     z = F.lit(0.0)
     ops = layout.page_meta(docs).select("doc_id", "page_index", F.posexplode(kinds).alias("seq", "type")).select("*", z.alias("x"), z.alias("y"), z.alias("w"), z.alias("h"), F.lit(None).cast("string").alias("payload"))
-    return P.apply_page_ops(obj, ops).filter("payload is null").select("doc_id", "page_index", "object_id", "kind")
+    return P.apply_page_ops(obj, ops).select("doc_id", "page_index", "object_id", "kind")
 
 
 @query(

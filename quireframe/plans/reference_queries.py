@@ -21,15 +21,15 @@ def lines(spark, sf_dir):
 
 
 SLUG = r"replace(regexp_replace(lower({c}), '[^\pL\pN\pM _-]', '', 'g'), ' ', '-')"
-FIRST = SLUG.format(c="split_part(text, ' ', 1)")
+FIRST = SLUG.format(c="text")
 IDS = LINES + f""",
-sg AS (SELECT doc_id, page_index, line AS pos, CASE WHEN {FIRST} = '' THEN 'titulo' ELSE {FIRST} END AS s FROM lines WHERE line % 4 = 0),
+sg AS (SELECT doc_id, page_index, line AS pos, CASE WHEN {FIRST} = '' THEN 'titulo' ELSE {FIRST} END AS s FROM lines),
 ids AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN s ELSE s || '-' || (row_number() OVER w - 1) END AS heading_id FROM sg WINDOW w AS (PARTITION BY doc_id, s ORDER BY pos))"""
 
 
 def ids(spark, sf_dir):
-    """Every fourth line is a heading called after its first word, so names repeat."""
-    h = lines(spark, sf_dir).filter("pos % 4 = 0").select("doc_id", "page_index", "pos", F.element_at("words", 1).alias("title"))
+    """Every line is a heading; lines that repeat give names that repeat."""
+    h = lines(spark, sf_dir).select("doc_id", "page_index", "pos", F.array_join("words", " ").alias("title"))
     return R.heading_ids(h)
 
 
@@ -38,18 +38,18 @@ def heading_ids(spark, sf_dir):
     return ids(spark, sf_dir).select("doc_id", "pos", "heading_id")
 
 
-ANCHORS = IDS + f", lk AS (SELECT doc_id, line AS pos, {SLUG.format(c=chr(34) + 'text2' + chr(34))} AS anchor FROM (SELECT doc_id, line, split_part(text, ' ', 2) AS text2 FROM lines))"
+ANCHORS = IDS + f", lk AS (SELECT doc_id, line AS pos, {SLUG.format(c='text')} || CASE WHEN line % 2 = 1 THEN '-1' ELSE '' END AS anchor FROM lines)"
 
 
 def anchors(spark, sf_dir):
     from quireframe.functions.textcols import slug
 
-    return lines(spark, sf_dir).select("doc_id", "pos", slug(F.coalesce(F.try_element_at("words", F.lit(2)), F.lit(""))).alias("anchor"))
+    return lines(spark, sf_dir).select("doc_id", "pos", F.concat(slug(F.array_join("words", " ")), F.when(F.col("pos") % 2 == 1, "-1").otherwise("")).alias("anchor"))
 
 
 @query("j05_resolve_internal_links", f"WITH {ANCHORS} SELECT lk.doc_id, lk.pos, anchor, ids.page_index AS dest_page, ids.pos AS dest_pos FROM lk JOIN ids ON lk.doc_id = ids.doc_id AND lk.anchor = ids.heading_id")
 def resolve_internal_links(spark, sf_dir):
-    """Every line links to the heading called like its second word."""
+    """Every line links to the heading called like it, every second one to that heading's first repetition."""
     t = ids(spark, sf_dir).select("doc_id", "heading_id", F.col("page_index").alias("dest_page"), F.col("pos").alias("dest_pos"))
     return R.resolve_internal_links(anchors(spark, sf_dir), t)[0].select("doc_id", "pos", "anchor", "dest_page", "dest_pos")
 
@@ -75,7 +75,7 @@ def resolve_reference_links(spark, sf_dir):
 
 @query(
     "w11_footnote_numbers",
-    f"""WITH {LINES}, rf AS (SELECT doc_id, line, 'n' || (line % 7) AS note_id FROM lines WHERE line % 3 = 0), fi AS (SELECT doc_id, note_id, min(line) AS pos FROM rf WHERE note_id <> 'n5' GROUP BY doc_id, note_id),
+    f"""WITH {LINES}, rf AS (SELECT doc_id, line, 'n' || (line % 7) AS note_id FROM lines), fi AS (SELECT doc_id, note_id, min(line) AS pos FROM rf WHERE note_id <> 'n5' GROUP BY doc_id, note_id),
 nb AS (SELECT doc_id, note_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM fi), tp AS (SELECT doc_id, max(number) AS t FROM nb GROUP BY doc_id),
 nx AS (SELECT nb.doc_id, 'x' || note_id AS note_id, tp.t + row_number() OVER (PARTITION BY nb.doc_id ORDER BY number) AS number FROM nb JOIN tp ON nb.doc_id = tp.doc_id)
 SELECT * FROM nb UNION ALL SELECT * FROM nx""",
@@ -83,7 +83,7 @@ SELECT * FROM nb UNION ALL SELECT * FROM nx""",
 def footnote_numbers(spark, sf_dir):
     """Seven possible notes per document, one undefined; each defined note cites one more of its own."""
     ls = lines(spark, sf_dir)
-    refs = ls.filter("pos % 3 = 0").select("doc_id", "page_index", "pos", F.concat(F.lit("n"), (F.col("pos") % 7).cast("string")).alias("note_id"))
+    refs = ls.select("doc_id", "page_index", "pos", F.concat(F.lit("n"), (F.col("pos") % 7).cast("string")).alias("note_id"))
     names = [f"n{k}" for k in range(7) if k != 5]
     defs = F.array(*[F.struct(F.lit(n).alias("note_id"), F.array(F.lit("x" + n)).alias("cites")) for n in names], *[F.struct(F.lit("x" + n).alias("note_id"), F.array().cast("array<string>").alias("cites")) for n in names])
     notes = load(spark, sf_dir, "documents").select("doc_id", F.explode(defs).alias("d")).select("doc_id", "d.note_id", "d.cites")
@@ -136,24 +136,24 @@ def list_numbering(spark, sf_dir):
 
 @query(
     "j14_rels_lookup",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CASE p_partkey % 3 WHEN 0 THEN 'External' WHEN 1 THEN 'Internal' END AS mode, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'word/media/' || p_name ELSE 'root/' || p_name END AS path FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE p_partkey % 3 WHEN 0 THEN 'External' WHEN 1 THEN 'Internal' END AS mode, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'word/media/' || p_name ELSE 'root/' || p_name END AS path FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
 def rels_lookup(spark, sf_dir):
     k = F.col("p_partkey") % 3
     rels = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("rel_id"), F.lit(0).alias("doc_id"), F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("media/"), "p_name")).otherwise(F.concat(F.lit("/root/"), "p_name")).alias("target"), F.when(k == 0, "External").when(k == 1, "Internal").otherwise("Odd").alias("mode"))
-    uses = load(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("rel_id"), F.lit(0).alias("doc_id"))
+    uses = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("rel_id"), F.lit(0).alias("doc_id"))
     return R.rels_lookup(uses, rels).select("l_orderkey", "l_linenumber", F.col("rel_id").alias("l_partkey"), "mode", "path")
 
 
 @query(
     "j08_relocate_stale_line",
-    f"""WITH {LINES}, w AS (SELECT doc_id, page_index, run_id, text FROM runs), e AS (SELECT doc_id, page_index, run_id + 5 AS run_id, text FROM w WHERE run_id % 12 = 0)
+    f"""WITH {LINES}, w AS (SELECT doc_id, page_index, run_id, text FROM runs), e AS (SELECT doc_id, page_index, run_id + 5 AS run_id, text FROM w)
 SELECT e.doc_id, e.page_index, CAST(e.run_id AS INTEGER) AS run_id, arg_min(w.run_id, (abs(w.run_id - e.run_id), w.run_id)) AS line_id FROM e JOIN w ON e.doc_id = w.doc_id AND e.page_index = w.page_index AND e.text = w.text GROUP BY e.doc_id, e.page_index, e.run_id""",
 )
 def relocate_stale_line(spark, sf_dir):
     """One-word lines; an edit aimed five places too far finds the nearest unit with its old text."""
     w = layout.runs(load_spread(spark, sf_dir, "documents", "doc_id")).select("doc_id", "page_index", F.col("run_id").alias("line_id"), "text")
-    e = w.filter("line_id % 12 = 0").select("doc_id", "page_index", (F.col("line_id") + 5).alias("run_id"), F.col("text").alias("old_text"))
+    e = w.select("doc_id", "page_index", (F.col("line_id") + 5).alias("run_id"), F.col("text").alias("old_text"))
     return R.relocate_stale_lines(e, w)
 
 
@@ -171,10 +171,10 @@ def visible_pages(spark, sf_dir):
     return R.visible_pages(p, v, 12.0)
 
 
-@query("a12_group_warnings", """SELECT user_id, kind, event_id AS pos, CAST(row_number() OVER (PARTITION BY user_id, kind ORDER BY event_id) AS INTEGER) AS group_pos FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'omitted' ELSE 'approximate' END AS kind FROM events WHERE event_type IN ('error', 'view'))""")
+@query("a12_group_warnings", """SELECT user_id, kind, event_id AS pos, row_number() OVER (PARTITION BY user_id, kind ORDER BY event_id) AS group_pos FROM (SELECT *, CASE event_type WHEN 'error' THEN 'omitted' WHEN 'view' THEN 'approximate' ELSE event_type END AS kind FROM events)""")
 def group_warnings(spark, sf_dir):
-    e = load(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "view"))
-    w = e.select("user_id", F.when(F.col("event_type") == "error", "omitted").otherwise("approximate").alias("kind"), F.col("event_id").alias("pos"))
+    e = load(spark, sf_dir, "events")
+    w = e.select("user_id", F.when(F.col("event_type") == "error", "omitted").when(F.col("event_type") == "view", "approximate").otherwise(F.col("event_type")).alias("kind"), F.col("event_id").alias("pos"))
     return group(w, "user_id")
 
 

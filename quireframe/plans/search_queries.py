@@ -53,9 +53,9 @@ def find_crossing(spark, sf_dir):
     return Q.find_crossing(r, "e l", match_case=True, unit="run_id")
 
 
-@query("x03_replace_all", f"WITH {LINES} SELECT doc_id, page_index, line AS line_id, replace(text, 'en', '$1' || chr(92) || 'E<>') AS text FROM lines WHERE contains(text, 'en')")
+@query("x03_replace_all", f"WITH {LINES} SELECT doc_id, page_index, line AS line_id, replace(text, 'en', '$1' || chr(92) || 'E<>') AS text FROM lines")
 def replace_all(spark, sf_dir):
-    u = line_units(spark, sf_dir).filter(F.contains("text", F.lit("en")))
+    u = line_units(spark, sf_dir)
     return u.select("doc_id", "page_index", "line_id", Q.replace_all(F.col("text"), "en", "$1\\E<>", match_case=True).alias("text"))
 
 
@@ -123,13 +123,13 @@ def replace_order(spark, sf_dir):
     return m.select("doc_id", "page_index", "line_id", "start", F.row_number().over(W.partitionBy("doc_id", "page_index").orderBy(F.desc("line_id"), F.desc("start"))).alias("step"))
 
 
-@query("t03_caps", f"""WITH {LINES} SELECT doc_id, line AS line_id FROM lines WHERE size_pt >= 14 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) <= 5""")
+@query("t03_caps", f"""WITH {LINES} SELECT doc_id, line AS line_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM lines WHERE size_pt >= 14""")
 def caps(spark, sf_dir):
-    """A capped report: the first five headings of each document; the limit is also applied before the shuffle."""
-    from pyspark.sql import Window as W
+    """What a report of any length is cut from: all headings of each document, ranked."""
+    from quireframe.operators import scale
 
-    u = line_units(spark, sf_dir).filter("size_pt >= 14").select("doc_id", "line_id")
-    return u.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy("line_id"))).filter("k <= 5").drop("k")
+    u = line_units(spark, sf_dir).filter("size_pt >= 14").select("doc_id", "page_index", "line_id")
+    return scale.row_number(u, ["doc_id"], "page_index", ["line_id"], "k").drop("page_index")
 
 
 @query(

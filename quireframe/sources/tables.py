@@ -10,13 +10,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """Like :func:`load`, but a table stored in fewer splits than there are cores is spread out first.
+    """Like :func:`load`, dealt out by ``key``, at every size alike.
 
-    A text table blows up many-fold when it is tokenised, so one undersized file would leave all that work to one task.
-    A table that already comes in enough splits is read as it is, without a shuffle.
+    A text table blows up many-fold when it is tokenised, so its raw rows are dealt over all tasks while they are small.
     """
-    df = load(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, key)
-    return df
+    return load(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)

@@ -181,6 +181,32 @@ def test_markdown_blocks(spark):
     assert t["header"] == ["a"] and t["rows"] == [["1"]] and t["align"] == ["none"]
 
 
+def test_markdown_link_forms(spark):
+    text = "`[c](http://code)` \\[no\\](http://esc) [a](http://x.y/A_(b)) <me@x.org> [t][Lab  l] [Lab l] [nope][q] ![p][lab l] https://z.z.\n[" + "lab l" + "]: <http://d.e/> 't'\n[^n]: first\n    more text\n\n    and more\nout\n[" + "x" * 300 + "]: http://long"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r["kind"], r["url"]) for r in M.md_links(d).orderBy("line_no", "nth").collect()]
+    assert got == [("bare", "http://esc"), ("link", "http://x.y/A_(b)"), ("auto", "mailto:me@x.org"), ("reference", "http://d.e/"), ("reference", "http://d.e/"), ("image", "http://d.e/"), ("bare", "https://z.z")]
+    defs = {(r["kind"], r["label"]): r["value"] for r in M.md_definitions(d).collect()}
+    assert defs == {("ref", "lab l"): "http://d.e/", ("note", "n"): "first\nmore text\n\nand more", ("ref", "x" * 300): "http://long"}
+
+
+def test_addresses_are_read_as_a_browser_reads_them(spark):
+    from quireframe.functions.links import is_allowed_url
+
+    good = ["http://a", " HTTPS://x.y:443/ ", "ht\ttp://a", "http://u:p@h/", "mailto:a@b", "http://[::1]:80/"]
+    bad = ["http://a:99999/", "http://user@", "http://", "ftp://a", "x.html", "http://a:b/", "http://a b/"]
+    assert values(spark, good + bad, is_allowed_url(F.col("v"))) == [True] * len(good) + [False] * len(bad)
+
+
+def test_utf16_that_shows_late(spark):
+    from quireframe.functions.encoding import with_decoded
+
+    text = "字" * 3000 + "plain " * 4000
+    d = spark.createDataFrame([(1, bytearray(text.encode("utf-16-le"))), (2, bytearray(b"abc\0defgh")), (3, bytearray("ñ".encode("cp1252")))], "k int, content binary")
+    got = {r["k"]: (r["encoding"], r["text"]) for r in with_decoded(d, "content").collect()}
+    assert got == {1: ("utf-16le", text), 2: ("utf-8", "abc\0defgh"), 3: ("windows-1252", "ñ")}
+
+
 def test_markdown_links_and_entities(spark):
     d = spark.createDataFrame([(1, "[a](<x y>) ![i](p.png \"t\") <mailto:a@b.c> (http://e.f/g_(h)). xhttp://no")], "doc_id long, text string")
     got = sorted((r["kind"], r["url"]) for r in M.md_links(d).collect())

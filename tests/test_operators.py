@@ -127,8 +127,47 @@ def test_list_numbering(spark):
 
 def test_bands_walk_matches_the_rule():
     x, y, w, h = [0, 10, 20, 0, 10], [100, 101, 99, 80, 80], [8] * 5, [10] * 5
-    assert C._bands(x, y, w, h) == [0, 0, 0, 1, 1]
-    assert C._bands([0, 0, 0], [100, 88, 76], [10, 10, 10], [12, 12, 12]) == [0, 0, 0]
+    assert C.line_bands(list(zip(x, y, w, h))) == ([0, 0, 0, 1, 1], [(False, 99, 111), (False, 80, 90)])
+    assert C.line_bands([(0, 100, 10, 12), (0, 88, 10, 12), (1, 76, 10, 12)]) == ([0, 0, 0], [(True, 0, 11)])
+
+
+def test_quads_of_vertical_lines_and_turned_pages(spark):
+    rows = [(1, 0, k, 10.0, 500.0 - 12 * k, 10.0, 12.0) for k in range(5)] + [(2, 0, k, 10.0 * k, 50.0 + k % 2, 10.0, 12.0) for k in range(4)]
+    banded = C.char_line_bands(spark.createDataFrame(rows, "doc_id long, page_index int, pos int, x double, y double, w double, h double"))
+    ranges = spark.createDataFrame([(1, 0, 2, 1), (2, 0, 1, 2)], "doc_id long, page_index int, from_pos int, to_pos int")
+    pages = spark.createDataFrame([(1, 0, 0), (2, 0, 90)], "doc_id long, page_index int, rotation int")
+    got = {r["doc_id"]: r["quad"] for r in C.quads_for_range(banded, ranges, pages).collect()}
+    assert got[1] == [10, 500, 20, 500, 10, 476, 20, 476]
+    assert got[2] == [10, 50, 10, 63, 30, 50, 30, 63]
+    flat = {r["doc_id"]: r["quad"] for r in C.quads_for_range(banded, ranges).collect()}
+    assert flat[2] == [10, 63, 30, 63, 10, 50, 30, 50]
+
+
+def test_annotation_edits_follow_each_other(spark):
+    a = spark.createDataFrame([(1, 0, k, "note", f"t{k}", "me") for k in range(4)], "doc_id long, page_index int, annot_index int, kind string, text string, author string")
+    e = spark.createDataFrame([(1, 0, 0, "remove", 0, None), (1, 0, 1, "set_text", 0, "first"), (1, 0, 2, "add", None, "new"), (1, 0, 3, "remove", 1, None), (1, 0, 4, "set_text", 2, "newer"), (1, 0, 5, "set_text", 9, "no")],
+                              "doc_id long, page_index int, seq int, op string, annot_index int, text string").selectExpr("*", "'note' as kind", "'me' as author")
+    got = [(r["annot_index"], r["text"]) for r in A.edit_annotations(a, e).orderBy("annot_index").collect()]
+    assert got == [(0, "first"), (1, "t3"), (2, "newer")]
+
+
+def test_markups_move_along_the_text(spark):
+    quad = [0.0, 10.0, 5.0, 10.0, 0.0, 0.0, 5.0, 0.0]
+    marks = spark.createDataFrame([(1, 0, 0, "Highlight", [quad]), (1, 0, 1, "Text", [quad])], "doc_id long, page_index int, annot_index int, subtype string, quads array<array<double>>")
+    zone = (1, 0, -10.0, -10.0, 50.0, 50.0, 0.0, 10.0, 1.0, 2.0, 0.0, 1.0)
+    z = spark.createDataFrame([zone, zone, (1, 0, -10.0, -10.0, 50.0, 50.0, 40.0, 10.0, 100.0, 0.0, 0.0, 1.0)], "doc_id long, page_index int, zl double, zb double, zr double, zt double, u_from double, em double, dx double, dy double, cos double, sin double")
+    got = {r["annot_index"]: (r["moved"], r["quads"][0][0], r["quads"][0][1]) for r in A.shift_markups(marks, z).collect()}
+    assert got == {0: (1, 2.0, 14.0), 1: (0, 0.0, 10.0)}
+
+
+def test_nothing_is_cut(spark):
+    many = spark.createDataFrame([(1, k // 100, k, 1, f"h{k}") for k in range(10_001)], "doc_id long, page_index int, pos int, level int, title string")
+    assert O.outline_from_headings(many, max_level=2).count() == 10_001
+    text = "".join(chr(1 + k % 8) * (k + 1) for k in range(8)) + "".join(chr(0x3041 + k) for k in range(60))
+    from quireframe.operators.reports import char_issue_report
+
+    issues = char_issue_report(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text")
+    assert issues.filter("kind = 'missing'").count() == 60 and issues.filter("kind = 'control'").count() == 8
 
 
 def test_annotation_order(spark):
