@@ -91,6 +91,8 @@ INVISIBLE = r"[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}
 CONTROLS = r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}]"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 MISSING = "?"
+# Letters that the symbol font has under another code point.
+SYMBOL_ALIASES = {"\u0394": "\u2206", "\u03a9": "\u2126", "\u03bc": "\u00b5"}
 
 
 @F.pandas_udf(T.StringType())
@@ -116,17 +118,25 @@ def clean(c: Column) -> Column:
 _DRAWN = _char_class(WINANSI + SYMBOL + DINGBATS)
 
 
+def _drawn(c: Column) -> Column:
+    """Cleaned text as it is drawn: a mark for each missing glyph, symbol letters under the symbol font's code points."""
+    shown = F.regexp_replace(c, f"[^\\t\\n {_DRAWN}]", MISSING)
+    return F.translate(shown, "".join(SYMBOL_ALIASES), "".join(SYMBOL_ALIASES.values()))
+
+
 def sanitize_text(c: Column) -> Column:
-    return F.regexp_replace(clean(c), f"[^\\t\\n {_DRAWN}]", MISSING)
+    """What a standard font can draw of a text; plain ASCII, most text, is left as it is."""
+    return F.when(c.rlike(r"[^\t\n\x{20}-\x{7E}]"), _drawn(clean(c))).otherwise(c)
 
 
 def split_by_repertoire(c: Column) -> Column:
-    """array<struct<repertoire, text>> of sanitized text; spaces join their neighbours only if both sides agree."""
+    """array<struct<repertoire, text, original, missing>> of cleaned text: what is drawn, what stood there, and whether a
+    glyph is missing; spaces join their neighbours only if both sides agree."""
     s, d = _char_class([r for r in SYMBOL]), _char_class(DINGBATS)
     sym, din = f"[{s}&&[^{_char_class(WINANSI)}]]", f"[{d}&&[^{s}{_char_class(WINANSI)}]]"
     other = f"[^{s}{d}]|[{_char_class(WINANSI)}]"
     parts = F.regexp_extract_all(c, F.lit(f"{sym}+(?: +{sym}+)*|{din}+(?: +{din}+)*|(?:{other})+"), F.lit(0))
-    return F.transform(parts, lambda p: F.struct(F.when(p.rlike(f"^{sym}"), "symbol").when(p.rlike(f"^{din}"), "dingbats").otherwise("winansi").alias("repertoire"), p.alias("text")))
+    return F.transform(parts, lambda p: F.struct(F.when(p.rlike(f"^{sym}"), "symbol").when(p.rlike(f"^{din}"), "dingbats").otherwise("winansi").alias("repertoire"), _drawn(p).alias("text"), p.alias("original"), p.rlike(f"[^\\t\\n {_DRAWN}]").alias("missing")))
 
 
 def char_counts(df: DataFrame, key: str, text: str) -> DataFrame:

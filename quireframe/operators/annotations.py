@@ -47,6 +47,30 @@ def text_under_markup(chars: DataFrame, marks: DataFrame) -> DataFrame:
     c = c.select(*PAGE, "pos", "ch", "gap", "h", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy")).withColumn("band", band(F.col("cy")))
     m = marks.select(*PAGE, "annot_index", "quads", bands(quad_y(F.col("quads"), F.array_min), quad_y(F.col("quads"), F.array_max)).alias("band"))
     hit = c.join(m, [*PAGE, "band"]).filter(F.exists("quads", lambda q: G.point_in_quad(F.col("cx"), F.col("cy"), q)))
+    return _marked_text(hit, marks)
+
+
+def text_under_markup_of_runs(runs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The same from runs(doc_id, page_index, run_id, text, x, y, w, h, blank_before), whose characters share the run's width evenly.
+
+    Marks meet the boxes of runs first, and only runs that are hit become characters.
+    """
+    r = runs.withColumn("gap", F.sum(F.col("blank_before").cast("int")).over(W.partitionBy(*PAGE).orderBy("run_id")))
+    r = r.filter((F.col("w") > 0) & (F.col("h") > 0)).select(*PAGE, "run_id", "text", "gap", "x", "y", "w", "h", bands(F.col("y"), F.col("y") + F.col("h")).alias("band"))
+    side = lambda axis, pick: pick(F.flatten(F.transform("quads", lambda q: F.array(*[q[i] for i in range(axis, 8, 2)]))))
+    hull = {"qx0": side(0, F.array_min), "qx1": side(0, F.array_max), "qy0": side(1, F.array_min), "qy1": side(1, F.array_max)}
+    m = marks.select(*PAGE, "annot_index", "quads", *[v.alias(k) for k, v in hull.items()]).withColumn("band", bands(F.col("qy0"), F.col("qy1")))
+    met = r.join(m, [*PAGE, "band"]).filter((F.col("x") <= F.col("qx1")) & (F.col("x") + F.col("w") >= F.col("qx0")) & (F.col("y") <= F.col("qy1")) & (F.col("y") + F.col("h") >= F.col("qy0")))
+    # a pair that shares several bands counts in the first of them
+    met = met.filter(F.col("band") == band(F.greatest("y", "qy0")))
+    chars = F.filter(F.split("text", ""), lambda ch: ch != "")
+    c = met.select(*PAGE, "annot_index", "quads", "run_id", "gap", "h", "x", "y", "w", F.size(chars).alias("n"), F.posexplode(chars).alias("k", "ch"))
+    c = c.select(*PAGE, "annot_index", "quads", F.struct("run_id", "k").alias("pos"), "ch", "gap", "h", (F.col("x") + (F.col("k") + 0.5) * F.col("w") / F.col("n")).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"))
+    return _marked_text(c.filter(F.exists("quads", lambda q: G.point_in_quad(F.col("cx"), F.col("cy"), q))), marks)
+
+
+def _marked_text(hit: DataFrame, marks: DataFrame) -> DataFrame:
+    """The text of each mark from its characters, with a blank where a gap or a step to another line lies between two."""
     along = W.partitionBy(*PAGE, "annot_index").orderBy("pos")
     hit = hit.withColumn("_p", F.lag(F.struct("gap", "cy", "h")).over(along))
     apart = (F.col("gap") != F.col("_p.gap")) | (F.abs(F.col("cy") - F.col("_p.cy")) > F.greatest("_p.h", "h"))
@@ -95,7 +119,7 @@ def match_boxes_in_line(boxes: DataFrame, line_boxes: DataFrame) -> DataFrame:
     ln = line_boxes.select(*PAGE, "line_id", "lx", "ly", "lw", "lh", bands(F.col("ly"), F.col("ly") + F.col("lh")).alias("band"))
     inside = F.col("cx").between(F.col("lx"), F.col("lx") + F.col("lw")) & F.col("cy").between(F.col("ly"), F.col("ly") + F.col("lh"))
     j = b.join(ln, [*PAGE, "band"]).filter(inside)
-    return j.select(*PAGE, "line_id", "x", F.row_number().over(W.partitionBy(*PAGE, "line_id").orderBy("x")).alias("k"))
+    return j.select(*PAGE, "line_id", "x", F.row_number().over(W.partitionBy(*PAGE, "line_id").orderBy("x", "y", "w")).alias("k"))
 
 
 def shift_markups(marks: DataFrame, zones: DataFrame) -> DataFrame:

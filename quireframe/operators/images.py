@@ -24,8 +24,15 @@ def luminance_histogram(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy(KEY, gray_level().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def otsu_threshold(pixels: DataFrame) -> DataFrame:
-    """The level of largest variance between the two classes, the lowest on a tie; at most 256 rows per image are ordered."""
+#: The threshold of an image without pixels.
+EMPTY_THRESHOLD = 128
+
+
+def otsu_threshold(pixels: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """The level of largest variance between the two classes, the lowest on a tie; at most 256 rows per image are ordered.
+
+    ``images`` (image_id, ...) adds those that have no pixels, with the middle of the scale.
+    """
     h = luminance_histogram(pixels)
     whole, upto = W.partitionBy(KEY), W.partitionBy(KEY).orderBy("bin")
     h = h.withColumn("below", F.sum("n").over(upto)).withColumn("sum_below", F.sum(F.col("bin") * F.col("n")).over(upto))
@@ -34,7 +41,10 @@ def otsu_threshold(pixels: DataFrame) -> DataFrame:
     delta = F.col("sum_below") / F.col("below") - (F.col("sum_all") - F.col("sum_below")) / F.when(above > 0, above)
     h = h.withColumn("spread", F.col("below").cast("double") * above * delta * delta)
     usable = F.when(F.col("spread").isNotNull(), F.struct("spread", -F.col("bin")))
-    return h.groupBy(KEY).agg(F.coalesce(F.max_by("bin", usable), F.lit(0)).alias("threshold"))
+    found = h.groupBy(KEY).agg(F.coalesce(F.max_by("bin", usable), F.lit(0)).alias("threshold"))
+    if images is None:
+        return found
+    return images.select(KEY).distinct().join(found, KEY, "left").withColumn("threshold", F.coalesce("threshold", F.lit(EMPTY_THRESHOLD)))
 
 
 def luminance_percentiles(pixels: DataFrame) -> DataFrame:

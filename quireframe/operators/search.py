@@ -58,7 +58,7 @@ def find_crossing(units: DataFrame, q: str, match_case: bool = False, whole_word
     page = units.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("k"), F.col(text).alias("t")))).alias("us"))
     page = page.select(*PAGE, F.transform("us", lambda u: u["t"]).alias("ts"), F.explode(F.array(F.lit(" "), F.lit(""))).alias("sep"))
     page = page.withColumn("whole", F.expr("array_join(ts, sep)")).filter(F.col("whole").rlike(rx))
-    page = page.withColumn("starts", F.expr("transform(sequence(0, size(ts) - 1), k -> length(array_join(slice(ts, 1, k), sep)) + if(k > 0, length(sep), 0))"))
+    page = page.withColumn("starts", F.expr("aggregate(ts, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, t) -> named_struct('at', s.at + length(t) + length(sep), 'out', array_append(s.out, s.at)), s -> s.out)"))
     hits = page.select(*PAGE, "starts", F.explode(match_spans(F.col("whole"), rx)).alias("m"))
     at = "size(filter(starts, s -> s <= {p})) - 1"
     hits = hits.withColumn("first_unit", F.expr(at.format(p="m.start"))).withColumn("last_unit", F.expr(at.format(p="m.end - 1")))

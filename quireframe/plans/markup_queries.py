@@ -41,7 +41,8 @@ def text_under_markup(spark, sf_dir):
     h = layout.highlights(runs(spark, sf_dir))
     rect = [F.col(c) for c in ("rx", "ry", "rw", "rh")]
     marks = h.select("doc_id", "page_index", "annot_index", A.quads_or_rect(F.array().cast("array<array<double>>"), *rect).alias("quads"))
-    return A.text_under_markup(char_table(spark, sf_dir), marks)
+    r = runs(spark, sf_dir).select("doc_id", "page_index", "run_id", "text", "x", "y", "w", "h", F.lit(True).alias("blank_before"))
+    return A.text_under_markup_of_runs(r, marks)
 
 
 @query(

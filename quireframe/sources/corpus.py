@@ -38,6 +38,12 @@ class Converters:
         return out
 
 
+def extension_glob(extensions: tuple[str, ...]) -> str:
+    """A file name pattern for these extensions in any case, so that other files are never opened."""
+    names = ("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    return f"*.{{{','.join(names)}}}"
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), "length", "content")
@@ -45,7 +51,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def read_text_corpus(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "md", "markdown")) -> DataFrame:
     """path, extension, text, encoding, assumed, warning: one row per text file under ``path``."""
-    files = read_files(spark, path).filter(F.col("extension").isin(*extensions))
+    files = read_files(spark, path, extension_glob(extensions))
     t = with_decoded(files, "content")
     return t.select("path", "extension", "text", "encoding", "assumed", encoding_warning(F.col("encoding"), F.col("assumed")).alias("warning"))
 
