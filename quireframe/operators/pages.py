@@ -122,3 +122,18 @@ def apply_page_ops(objects: DataFrame, ops: DataFrame) -> DataFrame:
     j = j.withColumn("object_id", (F.coalesce("_m", F.lit(-1)) + F.row_number().over(W.partitionBy("doc_id", "page_index").orderBy("seq"))).cast("int"))
     kind = F.when(F.col("type") == "insertText", "text").when(F.col("type").isin("fillRect", "drawRect", "drawStroke"), "path").when(F.col("type") == "insertImage", "image").otherwise("link")
     return objects.select("doc_id", "page_index", "object_id", "kind", "x", "y", "w", "h", "payload").unionByName(j.select("doc_id", "page_index", "object_id", kind.alias("kind"), "x", "y", "w", "h", "payload"))
+
+
+def place_objects(objects: DataFrame, edits: DataFrame) -> DataFrame:
+    """objects(doc_id, object_id, x, y, w, h) after edits(doc_id, object_id, seq, op, x, y, w, h), op being place or delete.
+
+    Edits of an object take effect in the order of ``seq``: each side that a placement names is set, a deleted object is
+    gone whatever follows.  The result lists every object that is left.
+    """
+    keys, sides = ["doc_id", "object_id"], ["x", "y", "w", "h"]
+    last = edits.groupBy(*keys).agg(
+        F.max(F.col("op") == "delete").alias("_gone"),
+        *[F.max(F.when((F.col("op") == "place") & F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v"))))["v"].alias(f"_{c}") for c in sides],
+    )
+    j = objects.join(last, keys, "left").filter(~F.coalesce("_gone", F.lit(False)))
+    return j.select(*[F.coalesce(f"_{c}", c).alias(c) if c in sides else c for c in objects.columns])

@@ -172,15 +172,20 @@ def apply_page_ops(spark, sf_dir):
 
 @query(
     "u14_place_objects",
-    """WITH im AS (SELECT vec_id AS doc_id, label AS object_id, 10.0 * label AS x FROM embeddings) SELECT doc_id, object_id, CASE WHEN doc_id % 5 = 1 THEN 100.0::DOUBLE ELSE x::DOUBLE END AS x, CASE WHEN doc_id % 5 = 1 THEN 50.0 ELSE 64.0 END::DOUBLE AS w FROM im WHERE doc_id % 5 <> 0""",
+    """SELECT vec_id AS doc_id, label AS object_id, CASE WHEN vec_id % 5 = 1 THEN 100.0::DOUBLE ELSE (10.0 * label)::DOUBLE END AS x, (5.0 * label)::DOUBLE AS y, CASE WHEN vec_id % 5 = 1 THEN 50.0 ELSE 64.0 END::DOUBLE AS w, CASE WHEN vec_id % 5 = 1 AND vec_id % 2 = 0 THEN 20.0 ELSE 32.0 END::DOUBLE AS h FROM embeddings WHERE vec_id % 5 <> 0""",
 )
 def place_objects(spark, sf_dir):
-    """Images moved and resized, or deleted, by a keyed table of edits."""
-    im = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("object_id"), (F.col("label") * 10.0).alias("x"), F.lit(64.0).alias("w"))
-    moves = im.filter("doc_id % 5 = 1").select("doc_id", "object_id", F.lit(100.0).alias("nx"), F.lit(50.0).alias("nw"))
-    gone = im.filter("doc_id % 5 = 0").select("doc_id", "object_id")
-    j = im.join(gone, ["doc_id", "object_id"], "left_anti").join(moves, ["doc_id", "object_id"], "left")
-    return j.select("doc_id", "object_id", F.coalesce("nx", "x").alias("x"), F.coalesce("nw", "w").alias("w"))
+    """Images moved, then resized, or deleted, by a table of edits in sequence."""
+    im = load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("label").alias("object_id"), (F.col("label") * 10.0).alias("x"), (F.col("label") * 5.0).alias("y"), F.lit(64.0).alias("w"), F.lit(32.0).alias("h"))
+    k = F.col("doc_id") % 5
+    none = F.lit(None).cast("double")
+
+    def edit(seq, op, x=none, w=none, h=none):
+        return F.struct(F.lit(seq).alias("seq"), F.lit(op).alias("op"), x.alias("x"), none.alias("y"), w.alias("w"), h.alias("h"))
+
+    edits = F.when(k == 0, F.array(edit(0, "place", x=F.lit(1.0)), edit(1, "delete"))).when(k == 1, F.array(edit(0, "place", x=F.lit(100.0), w=F.lit(9.0)), edit(1, "place", w=F.lit(50.0), h=F.when(F.col("doc_id") % 2 == 0, 20.0))))
+    return P.place_objects(im, im.select("doc_id", "object_id", F.explode(edits).alias("e")).select("doc_id", "object_id", "e.*"))
 
 
 # --- outlines -------------------------------------------------------------------------------------------------------
@@ -256,6 +261,35 @@ def outline_indent(spark, sf_dir):
     return O.edit_outline(o, e).select("doc_id", dotted("path").alias("path"), "title")
 
 
+EDITED = HEADS + """, k AS (SELECT doc_id, bool_or(path = [0, 1]) AS has, bool_or(path = [0, 2]) AS nxt, CAST(count(*) FILTER (WHERE len(path) = 3 AND path[1] = 0 AND path[2] = 1) AS INTEGER) AS kids FROM outline GROUP BY doc_id),
+o AS (SELECT outline.*, has, nxt, kids, has AND len(path) >= 2 AND path[1] = 0 AS under FROM outline JOIN k USING (doc_id))"""
+AT = "list_concat([0, {k}], list_slice(path, 3, 99))"
+# edit -> (new path, title, page, rows added), all aimed at the second child of the first root
+EDITS = {
+    "insert_sibling": (f"CASE WHEN under AND path[2] > 1 THEN {AT.format(k='path[2] + 1')} ELSE path END", "title", "page_index", "SELECT doc_id, '0.2', 'new', 7 FROM k WHERE has"),
+    "insert_child": ("path", "title", "page_index", "SELECT doc_id, '0.1.' || kids, 'new', 7 FROM k WHERE has"),
+    "rename": ("path", "CASE WHEN path = [0, 1] THEN 'new' ELSE title END", "page_index", None),
+    "retarget": ("path", "title", "CASE WHEN path = [0, 1] THEN 7 ELSE page_index END", None),
+    "move_up": (f"CASE WHEN under AND path[2] <= 1 THEN {AT.format(k='1 - path[2]')} ELSE path END", "title", "page_index", None),
+    "move_down": (f"CASE WHEN under AND nxt AND path[2] IN (1, 2) THEN {AT.format(k='3 - path[2]')} ELSE path END", "title", "page_index", None),
+    "outdent": ("CASE WHEN under AND path[2] = 1 THEN list_concat([1], list_slice(path, 3, 99)) WHEN under AND path[2] > 1 THEN list_concat([1, kids + path[2] - 2], list_slice(path, 3, 99)) WHEN has AND path[1] >= 1 THEN list_concat([path[1] + 1], list_slice(path, 2, 99)) ELSE path END", "title", "page_index", None),
+}
+
+
+def _outline_edit(op, path, title, page, added):
+    sql = f"WITH {EDITED} SELECT doc_id, array_to_string({path}, '.') AS path, {title} AS title, {page} AS page_index FROM o" + (f" UNION ALL {added}" if added else "")
+
+    @query(f"u09_outline_{op}", sql)
+    def edit(spark, sf_dir):
+        o = outline_table(spark, sf_dir)
+        e = o.select("doc_id").distinct().select("doc_id", F.lit(op).alias("op"), F.array(F.lit(0), F.lit(1)).alias("target"), F.lit("new").alias("title"), F.lit(7).alias("page"))
+        return O.edit_outline(o, e).select("doc_id", dotted("path").alias("path"), "title", "page_index")
+
+
+for _op, _parts in EDITS.items():
+    _outline_edit(_op, *_parts)
+
+
 @query(
     "u03_delete_page_outline",
     f"""WITH {HEADS}, gone AS (SELECT DISTINCT doc_id FROM outline WHERE page_index = 0),
