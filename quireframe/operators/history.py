@@ -19,9 +19,7 @@ def _chunked(commands: DataFrame) -> DataFrame:
 def coalesce_commands(commands: DataFrame) -> DataFrame:
     """commands(doc_id, seq, coalesce_key, old_value, new_value): neighbours with one key become one command with the first
     old and the last new value.  Exact where no undo or redo stands between."""
-    c = scale.lag(_chunked(commands), ["doc_id"], "_chunk", ["seq"], {"_before": "coalesce_key"})
-    fresh = F.col("coalesce_key").isNull() | F.col("_before").isNull() | (F.col("_before") != F.col("coalesce_key"))
-    c = scale.islands(c, ["doc_id"], "_chunk", ["seq"], fresh, "step")
+    c = scale.changes(_chunked(commands), ["doc_id"], "_chunk", ["seq"], "coalesce_key", "step")
     return c.groupBy("doc_id", "step").agg(
         F.min("seq").alias("seq"), F.first("coalesce_key").alias("coalesce_key"), F.min_by("old_value", "seq").alias("old_value"), F.max_by("new_value", "seq").alias("new_value"), F.count(F.lit(1)).alias("merged")
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quireframe.operators import scale
+from quireframe.session import checkpointed
 
 def outline_from_headings(headings: DataFrame, chunk: str = "page_index", max_level: int = 9, max_nodes: int | None = None) -> DataFrame:
     """headings(doc_id, pos, level, title, ...): adds parent_pos, depth and path.
@@ -37,11 +38,12 @@ def outline_from_headings(headings: DataFrame, chunk: str = "page_index", max_le
             above = here["pos"] if above is None else F.greatest(above, here["pos"])
         return out
 
-    h = scale.running_max(h, ["doc_id"], chunk, ["pos"], last_at(None), exclusive=True)
+    # each step reads its input twice: what one has found is written out before the next
+    h = scale.running_max(checkpointed(h), ["doc_id"], chunk, ["pos"], last_at(None), exclusive=True)
     opened = F.filter(F.array(*[o["pos"] for o in open_levels("_l")]), lambda p: p.isNotNull())
     h = h.withColumn("parent_pos", F.array_max(opened)).drop(*[f"_l{k}" for k in range(1, max_level + 1)])
-    h = scale.row_number(h, ["doc_id", "parent_pos"], chunk, ["pos"], "_sib").withColumn("_sib", (F.col("_sib") - 1).cast("int"))
-    h = scale.running_max(h, ["doc_id"], chunk, ["pos"], last_at("_sib"), exclusive=True)
+    h = scale.row_number(checkpointed(h), ["doc_id", "parent_pos"], chunk, ["pos"], "_sib").withColumn("_sib", (F.col("_sib") - 1).cast("int"))
+    h = scale.running_max(checkpointed(h), ["doc_id"], chunk, ["pos"], last_at("_sib"), exclusive=True)
     chain = F.filter(F.array(*open_levels("_l")), lambda p: p.isNotNull())
     path = F.concat(F.transform(chain, lambda p: p["_sib"]), F.array("_sib"))
     return h.withColumn("path", path).withColumn("depth", F.size("path")).drop("_sib", *[f"_l{k}" for k in range(1, max_level + 1)])

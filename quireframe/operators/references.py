@@ -75,7 +75,7 @@ def visible_page_numbers(page_table: DataFrame, chunk_pages: int = 256) -> DataF
     p = page_table.withColumn("_c", F.floor(F.col("page_index") / chunk_pages))
     p = scale.lag(p, ["doc_id"], "_c", ["page_index"], {"_prev": "section"})
     restart = F.when((F.col("_prev").isNull() | (F.col("_prev") != F.col("section"))) & F.col("start").isNotNull(), F.struct("page_index", "start"))
-    p = scale.running_max(p, ["doc_id"], "_c", ["page_index"], {"_r": restart})
+    p = scale.running_max(checkpointed(p), ["doc_id"], "_c", ["page_index"], {"_r": restart})
     number = F.when(F.col("_r").isNull(), F.col("page_index") + 1).otherwise(F.col("_r.start") + F.col("page_index") - F.col("_r.page_index"))
     return p.select("doc_id", "page_index", "section", number.cast("long").alias("visible_number"))
 
@@ -92,7 +92,7 @@ def list_numbering(items: DataFrame, chunk: str, max_level: int = 9) -> DataFram
     for k in range(1, max_level):
         reset = F.when(F.col("level") == k, F.col(f"_s{k}").cast("long")).otherwise(reset)
     i = i.withColumn("_reset", F.coalesce(reset, F.lit(-1))).drop(*shallower)
-    i = scale.row_number(i, [*keys, "level", "_reset"], chunk, ["pos"], "_k")
+    i = scale.row_number(checkpointed(i), [*keys, "level", "_reset"], chunk, ["pos"], "_k")
     return i.withColumn("number", F.col("start") + F.col("_k") - 1).drop("_reset", "_k")
 
 

@@ -78,6 +78,40 @@ def lag(df: DataFrame, keys: list[str], chunk: str, order: list[str], values: di
     return res.drop("__p", "__first", SUMMARY, "__prev")
 
 
+def neighbours(df: DataFrame, keys: list[str], chunk: str, order: list[str], item: Column) -> DataFrame:
+    """Adds ``prev`` and ``next`` (the rows beside it) and ``first`` and ``last`` (of the whole key) of a non-null ``item``, in one pass."""
+    w = W.partitionBy(*keys, chunk).orderBy(*order)
+    df = df.withColumn("__i", item)
+    local = df.withColumn("__p", F.lag("__i").over(w)).withColumn("__x", F.lead("__i").over(w)).drop("__i")
+    edge = F.struct(*order)
+    per = df.groupBy(*keys, chunk).agg(F.min_by("__i", edge).alias("__a"), F.max_by("__i", edge).alias("__b"))
+    cw = W.partitionBy(*keys).orderBy(chunk)
+    whole = cw.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    per = per.select(*keys, chunk, F.lag("__b").over(cw).alias("__before"), F.lead("__a").over(cw).alias("__after"), F.first("__a").over(whole).alias("first"), F.last("__b").over(whole).alias("last"))
+    res = _join_summary(local, per, [*keys, chunk])
+    return res.withColumn("prev", F.coalesce("__p", "__before")).withColumn("next", F.coalesce("__x", "__after")).drop("__p", "__x", "__before", "__after")
+
+
+def changes(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Number (1, 2, ...) of each row's run of equal values in (chunk, order); a null is a run of its own.
+
+    A chunk tells how many runs begin inside it, and its first and last values; whether its first row begins a run is
+    settled between chunks.
+    """
+    w = W.partitionBy(*keys, chunk).orderBy(*order)
+    local = df.withColumn("__first", F.row_number().over(w) == 1)
+    begins = F.col(value).isNull() | F.coalesce(F.lag(value).over(w) != F.col(value), F.lit(True))
+    local = local.withColumn("__new", F.when(F.col("__first"), 0).otherwise(begins.cast("int")))
+    edge = F.struct(*order)
+    per = local.groupBy(*keys, chunk).agg(F.sum("__new").alias("__n"), F.min_by(value, edge).alias("__a"), F.max_by(value, edge).alias("__b"))
+    cw = W.partitionBy(*keys).orderBy(chunk)
+    per = per.withColumn("__s", (F.col("__a").isNull() | F.coalesce(F.lag("__b").over(cw) != F.col("__a"), F.lit(True))).cast("int"))
+    ahead = cw.rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*keys, chunk, (F.coalesce(F.sum(F.col("__n") + F.col("__s")).over(ahead), F.lit(0)) + F.col("__s")).alias(SUMMARY))
+    local = local.withColumn("__k", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return _join_summary(local, per, [*keys, chunk]).withColumn(out, F.col("__k") + F.col(SUMMARY)).drop("__first", "__new", "__k", SUMMARY)
+
+
 def islands(df: DataFrame, keys: list[str], chunk: str, order: list, starts: Column, out: str) -> DataFrame:
     """Island number (1, 2, ...) of each row, a new island beginning wherever ``starts`` is true."""
     return running_sum(df, keys, chunk, order, F.when(starts, F.lit(1)).otherwise(F.lit(0)).cast("long"), out)

@@ -82,18 +82,12 @@ def highlight_boxes(matches: DataFrame, chars: DataFrame, unit: str = "line_id")
 
 def match_cursor(matches: DataFrame, unit: str = "line_id") -> DataFrame:
     """Each match with the one after and before it in its document, and whether getting there wraps around."""
-    here = F.struct("page_index", unit, "start")
-    m = matches.select("doc_id", "page_index", unit, "start").withColumn("_h", here)
-    ends = m.groupBy("doc_id").agg(F.min("_h").alias("_first"), F.max("_h").alias("_last"))
-    pages = m.select(*PAGE).distinct().join(ends, "doc_id")
-    order = [unit, "start"]
-    m = scale.lag(m, ["doc_id"], "page_index", order, {"prev": "_h"})
-    m = scale.lag(m, ["doc_id"], "page_index", order, {"next": "_h"}, back=False)
-    m = m.join(pages, PAGE)
+    m = matches.select("doc_id", "page_index", unit, "start")
+    m = scale.neighbours(m, ["doc_id"], "page_index", [unit, "start"], F.struct("page_index", unit, "start"))
     return m.select(
         "doc_id", "page_index", unit, "start",
-        F.coalesce("next", "_first").alias("next"), F.col("next").isNull().alias("next_wraps"),
-        F.coalesce("prev", "_last").alias("prev"), F.col("prev").isNull().alias("prev_wraps"),
+        F.coalesce("next", "first").alias("next"), F.col("next").isNull().alias("next_wraps"),
+        F.coalesce("prev", "last").alias("prev"), F.col("prev").isNull().alias("prev_wraps"),
     )
 
 
