@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,21 +38,42 @@ def operation_lock(events: DataFrame) -> DataFrame:
 
 
 class Stacks:
-    """Undo and redo stacks of one document."""
+    """Undo and redo stacks of one document, and the lock a long operation may hold.
 
-    def __init__(self, undo=(), redo=()):
-        self.undo, self.redo = list(undo), list(redo)
+    A command whose coalesce key is that of the command on top takes its place.  While a lock is held, commands of others
+    and every undo and redo are dropped, a second lock is refused, and only its owner can release it.
+    """
 
-    def apply(self, op: str, item) -> None:
-        if op == "undo":
-            if self.undo:
-                self.redo.append(self.undo.pop())
-        elif op == "redo":
-            if self.redo:
-                self.undo.append(self.redo.pop())
-        else:
+    def __init__(self, undo=(), redo=(), keys=None, holder=None):
+        self.undo, self.redo = list(undo), list(redo)
+        self.keys, self.holder = dict(keys or {}), holder
+
+    def apply(self, op: str, item, key=None, owner=None) -> None:
+        if op == "lock":
+            self.holder = self.holder or (owner,)
+        elif op == "unlock":
+            if self.holder == (owner,):
+                self.holder = None
+        elif op in ("undo", "redo"):
+            source, target = (self.undo, self.redo) if op == "undo" else (self.redo, self.undo)
+            if self.holder is None and source:
+                target.append(source.pop())
+        elif self.holder in (None, (owner,)):
+            for gone in [self.redo.pop() for _ in self.redo[:]]:
+                self.keys.pop(gone, None)
+            if key is not None and self.undo and self.keys.get(self.undo[-1]) == key:
+                self.keys.pop(self.undo.pop())
             self.undo.append(item)
-            self.redo.clear()
+            if key is not None:
+                self.keys[item] = key
+
+    def dump(self) -> str:
+        return json.dumps([self.undo, self.redo, list(self.keys.items()), self.holder])
+
+    @classmethod
+    def load(cls, text: str) -> Stacks:
+        undo, redo, keys, holder = json.loads(text)
+        return cls(undo, redo, dict(map(tuple, keys)), holder and tuple(holder))
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,12 +84,12 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"doc_id": pd.Series([doc] * n, dtype="int64"), "place": pd.Series(range(n), dtype="int32"), "seq": pd.Series(stacks.undo, dtype="int64"), "redo_depth": pd.Series([len(stacks.redo)] * n, dtype="int32")})
 
     for pdf in batches:
-        for d, seq, op in zip(pdf["doc_id"].tolist(), pdf["seq"].tolist(), pdf["op"].tolist()):
+        for d, seq, op, key, owner in zip(*(pdf[c].tolist() for c in ("doc_id", "seq", "op", "coalesce_key", "owner"))):
             if d != doc:
                 if stacks.undo:
                     yield rows()
                 doc, stacks = d, Stacks()
-            stacks.apply(op, seq)
+            stacks.apply(op, seq, key, owner)
     if stacks.undo:
         yield rows()
 
@@ -75,10 +97,12 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def undo_redo_state(commands: DataFrame) -> DataFrame:
     """The commands still applied at the end of each document's history, in order, and how many could be redone.
 
-    Histories are sorted inside partitions by Spark (spilling as it must) and read through once; what a task holds is the
+    commands(doc_id, seq, op, and where they matter coalesce_key and owner): op is undo, redo, lock, unlock or any command.
+    A merged command goes by its last ``seq``.  Histories are sorted inside partitions by Spark (spilling as it must) and read through once; what a task holds is the
     two stacks of one document, never its whole history.
     """
-    c = commands.select("doc_id", "seq", "op").repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    extra = [F.col(c) if c in commands.columns else F.lit(None).cast("string").alias(c) for c in ("coalesce_key", "owner")]
+    c = commands.select("doc_id", "seq", "op", *extra).repartition("doc_id").sortWithinPartitions("doc_id", "seq")
     return c.mapInPandas(_replay, "doc_id long, place int, seq long, redo_depth int")
 
 

@@ -188,12 +188,12 @@ def coalesce_commands(spark, sf_dir):
 
 @query(
     "q01_undo_redo_state",
-    f"""WITH RECURSIVE {COMMANDS}, nb AS (SELECT doc_id, seq, op, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM commands),
-st(doc_id, k, u, r) AS (SELECT DISTINCT doc_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM nb UNION ALL
- SELECT st.doc_id, nb.k, CASE op WHEN 'do' THEN list_append(u, seq) WHEN 'undo' THEN CASE WHEN len(u) > 0 THEN u[:-2] ELSE u END ELSE CASE WHEN len(r) > 0 THEN list_append(u, r[-1]) ELSE u END END,
-  CASE op WHEN 'do' THEN []::BIGINT[] WHEN 'undo' THEN CASE WHEN len(u) > 0 THEN list_append(r, u[-1]) ELSE r END ELSE CASE WHEN len(r) > 0 THEN r[:-2] ELSE r END END FROM st JOIN nb ON st.doc_id = nb.doc_id AND nb.k = st.k + 1),
+    f"""WITH RECURSIVE {COMMANDS}, nb AS (SELECT doc_id, seq, op, coalesce_key AS ck, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM commands),
+st(doc_id, k, u, r) AS (SELECT DISTINCT doc_id, 0::BIGINT, []::STRUCT(s BIGINT, c VARCHAR)[], []::STRUCT(s BIGINT, c VARCHAR)[] FROM nb UNION ALL
+ SELECT st.doc_id, nb.k, CASE op WHEN 'do' THEN list_append(CASE WHEN len(u) > 0 AND u[-1].c = ck THEN u[:-2] ELSE u END, {{s: seq, c: ck}}) WHEN 'undo' THEN CASE WHEN len(u) > 0 THEN u[:-2] ELSE u END ELSE CASE WHEN len(r) > 0 THEN list_append(u, r[-1]) ELSE u END END,
+  CASE op WHEN 'do' THEN []::STRUCT(s BIGINT, c VARCHAR)[] WHEN 'undo' THEN CASE WHEN len(u) > 0 THEN list_append(r, u[-1]) ELSE r END ELSE CASE WHEN len(r) > 0 THEN r[:-2] ELSE r END END FROM st JOIN nb ON st.doc_id = nb.doc_id AND nb.k = st.k + 1),
 fin AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1)
-SELECT doc_id, CAST(unnest(range(len(u))) AS INTEGER) AS place, unnest(u) AS seq, CAST(len(r) AS INTEGER) AS redo_depth FROM fin""",
+SELECT doc_id, CAST(unnest(range(len(u))) AS INTEGER) AS place, unnest(u).s AS seq, CAST(len(r) AS INTEGER) AS redo_depth FROM fin""",
 )
 def undo_redo_state(spark, sf_dir):
     return H.undo_redo_state(commands(spark, sf_dir))

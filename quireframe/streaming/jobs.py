@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,19 +56,19 @@ def read_pages(spark, target: str, before: int | None = None) -> DataFrame:
 
 
 def _stack_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    undo, redo = (json.loads(s) for s in state.get) if state.exists else ([], [])
-    stacks = Stacks(undo, redo)
+    stacks = Stacks.load(state.get[0]) if state.exists else Stacks()
     pdf = pd.concat(list(batches)).sort_values("seq")
-    for seq, op in zip(pdf["seq"].tolist(), pdf["op"].tolist()):
-        stacks.apply(op, seq)
-    state.update((json.dumps(stacks.undo), json.dumps(stacks.redo)))
+    none = [None] * len(pdf)
+    for seq, op, merge_key, owner in zip(pdf["seq"].tolist(), pdf["op"].tolist(), *(pdf[c].tolist() if c in pdf else none for c in ("coalesce_key", "owner"))):
+        stacks.apply(op, seq, merge_key, owner)
+    state.update((stacks.dump(),))
     yield pd.DataFrame({"doc_id": [key[0]], "applied": [len(stacks.undo)], "redoable": [len(stacks.redo)], "top": [stacks.undo[-1] if stacks.undo else None]}).astype({"top": "Int64"})
 
 
 def undo_redo_stream(commands: DataFrame) -> DataFrame:
     """Per document and micro-batch: how many commands are applied, how many could be redone, and the last applied one."""
     return commands.groupBy("doc_id").applyInPandasWithState(
-        _stack_step, "doc_id long, applied long, redoable long, top long", "undo string, redo string", "update", GroupStateTimeout.NoTimeout
+        _stack_step, "doc_id long, applied long, redoable long, top long", "stacks string", "update", GroupStateTimeout.NoTimeout
     )
 
 

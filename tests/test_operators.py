@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from quireframe.operators import annotations as A, chars as C, flow, history as H, outline as O, pages as P, references as R, scale
+from quireframe.operators import search as Q
 from quireframe.operators.history import Stacks
 
 
@@ -118,6 +119,25 @@ def test_page_moves(spark):
     assert names(P.delete_pages(pages, spark.createDataFrame([(1, 2)], "doc_id long, gone int"))) == ["p0", "p1", "p3", "p4"]
 
 
+def test_commands_merge_and_locks_hold(spark):
+    rows = [(1, "do", "a", "x"), (2, "do", "a", "x"), (3, "do", "b", "x"), (4, "undo", None, "x"), (5, "do", "a", "x"), (6, "lock", None, "x"), (7, "do", "c", "y"), (8, "undo", None, "x"), (9, "unlock", None, "y"),
+            (10, "do", "d", "x"), (11, "lock", None, "y"), (12, "unlock", None, "x"), (13, "do", "e", "y"), (14, "do", "e", "y"), (15, "undo", None, "y")]
+    df = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, seq long, op string, coalesce_key string, owner string")
+    assert sorted(tuple(r)[1:] for r in H.undo_redo_state(df).collect()) == [(0, 5, 1), (1, 10, 1)]
+    s = H.Stacks()
+    for q, op, key, owner in rows:
+        s = H.Stacks.load(s.dump())
+        s.apply(op, q, key, owner)
+    assert (s.undo, s.redo, s.holder) == ([5, 10], [14], None)
+
+
+def test_match_neighbours_across_pages(spark):
+    df = spark.createDataFrame([(1, p, k, 0) for p, k in [(0, 1), (0, 5), (2, 3), (7, 0)]] + [(2, 0, 0, 0)], "doc_id long, page_index int, line_id int, start int")
+    got = {(r["doc_id"], r["page_index"], r["line_id"]): (r["prev"][:2], r["next"][:2], r["prev_wraps"], r["next_wraps"]) for r in Q.match_cursor(df).collect()}
+    assert got[1, 0, 5] == ((0, 1), (2, 3), False, False) and got[1, 0, 1] == ((7, 0), (0, 5), True, False) and got[1, 7, 0] == ((2, 3), (0, 1), False, True)
+    assert got[2, 0, 0] == ((0, 0), (0, 0), True, True)
+
+
 def test_list_numbering(spark):
     levels = [0, 1, 1, 0, 1, 2, 1, 0]
     df = spark.createDataFrame([(1, 1, k // 2, k, lv, 1) for k, lv in enumerate(levels)], "doc_id long, list_id int, chunk int, pos int, level int, start int")
