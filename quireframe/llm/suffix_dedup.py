@@ -11,8 +11,9 @@ of one anchor occurrence) that share its anchor's hash, its family.
    transform is extended backwards breadth first from all intervals of one symbol: the boundaries between neighbouring
    suffixes get their common prefix lengths in increasing order, and the expansion stops at n.  A boundary never reached
    separates two suffixes that share n bytes or more.
-4. Families of more than ``FAMILY`` different segments (a passage in very many surroundings) would not fit a shard: their
-   strings are counted one by one by a 128-bit hash, with Spark's partial sums.  Nothing is dropped.
+4. Families of more than ``FAMILY`` different segments (a passage in very many surroundings) would not fit a shard.  Their
+   segments are cut on a grid around the anchor into pieces whose strings share a longer core, pieces of one core form a
+   family of their own, and these go through steps 2 to 4 again on a finer grid, down to single strings.  Nothing is dropped.
 5. Repeated ranges go back to all occurrences, and from there to the texts.
 
 Texts are named by two hashes of their content, so copies are carried once through steps 2 to 5.  Defined cases: null and
@@ -24,6 +25,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireframe.llm import bytesops as B
-from quireframe.llm.tables import stored, text_key
+from quireframe.llm.tables import discard, stored, text_key
 
 #: Bytes of an anchor's K-gram; n must be larger.
 K = 48
 #: Different segments of a family that one shard takes at most; bytes of a shard, unless one family is larger.
 FAMILY, SHARD_BYTES = 512, 1 << 20
+#: Cells of the grids on which the segments of large families are cut, one after the other; the last has one string a cell.
+GRIDS = (8, 64, None)
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -133,11 +137,12 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """(row, family, segment hash, start, strings) of the anchor occurrences of a slice; start is counted from the row's first byte."""
+    """(row, family, segment hash, start, anchor, strings) of the anchor occurrences of a slice; start is counted from the
+    row's first byte, anchor from the segment's."""
     none = np.zeros(0, np.int64)
     width = n - K + 1
     if buf.size < n:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     s = B.prefix_hash(buf)
     _, inverse = B.powers(s.size)
     at = np.arange(buf.size - K + 1)
@@ -166,10 +171,10 @@ def anchors(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     last = np.append(np.flatnonzero(ok[:-1] & (~ok[1:] | first[1:])), np.flatnonzero(ok)[-1:]) if ok[-1] else np.flatnonzero(ok[:-1] & (~ok[1:] | first[1:]))
     last = np.unique(last)
     row = np.searchsorted(off, a, "right") - 1
-    return row, gram[anchor[a]].view(np.int64), B.span_hash(s, a, last + n).view(np.int64), a - off[row], last - a + 1
+    return row, gram[anchor[a]].view(np.int64), B.span_hash(s, a, last + n).view(np.int64), a - off[row], anchor[a] - a, last - a + 1
 
 
-OCCURRENCE = "k1 long, k2 long, family long, segment long, start long, strings long"
+OCCURRENCE = "k1 long, k2 long, family long, segment long, start long, anchor long, strings long"
 
 
 def occurrences(keyed: DataFrame, n: int) -> DataFrame:
@@ -179,7 +184,7 @@ def occurrences(keyed: DataFrame, n: int) -> DataFrame:
             for a, b in B.slices(text):
                 row, *rest = anchors(*B.buffers(text.slice(a, b - a)), n)
                 i = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([k1.take(i), k2.take(i), *map(pa.array, rest)], names=["k1", "k2", "family", "segment", "start", "strings"])
+                yield pa.RecordBatch.from_arrays([k1.take(i), k2.take(i), *map(pa.array, rest)], names=["k1", "k2", "family", "segment", "start", "anchor", "strings"])
 
     return keyed.mapInArrow(run, OCCURRENCE)
 
@@ -189,7 +194,7 @@ def _segments(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         for i in range(batch.num_rows):
             data = (batch.column("text")[i].as_py() or "").encode()
             wanted = batch.column("wanted")[i].as_py()
-            yield pa.RecordBatch.from_pydict({"family": pa.array([w["family"] for w in wanted], pa.int64()), "segment": pa.array([w["segment"] for w in wanted], pa.int64()), "large": pa.array([w["large"] for w in wanted], pa.bool_()),
+            yield pa.RecordBatch.from_pydict({**{c: pa.array([w[c] for w in wanted], pa.int64()) for c in ("family", "segment", "anchor", "strings")}, "large": pa.array([w["large"] for w in wanted], pa.bool_()),
                                               "bytes": pa.array([data[w["start"] : w["start"] + w["strings"] + n - 1] for w in wanted], pa.binary())})
 
 
@@ -208,7 +213,7 @@ def _shards(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for family, segment, data in zip(batch.column("family").to_pylist(), batch.column("segment").to_pylist(), batch.column("bytes").to_pylist()):
-            if held and (size > SHARD_BYTES or len(held) > 20_000) and names[-1][0] != family:
+            if held and (size + len(data) > SHARD_BYTES or len(held) >= 20_000) and names[-1][0] != family:
                 yield done()
                 names, held, size = [], [], 0
             names.append((family, segment))
@@ -218,39 +223,73 @@ def _shards(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         yield done()
 
 
-def _strings(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Every string of the segments of large families, by a 128-bit hash."""
+def _pieces(batches: Iterator[pa.RecordBatch], n: int, cells: int | None) -> Iterator[pa.RecordBatch]:
+    """Segments cut on a grid of string starts, counted back from the anchor; equal strings fall into equal cells.
+
+    All strings of a cell hold its core, so pieces can only meet where cells and cores are equal.
+    """
+    width = -(-(n - K + 1) // cells) if cells else 1
+    names = ("family", "segment", "parent", "part", "first", "anchor", "strings")
     for batch in batches:
-        for family, segment, data in zip(batch.column("family").to_pylist(), batch.column("segment").to_pylist(), batch.column("bytes").to_pylist()):
-            buf = np.frombuffer(data, np.uint8)
-            at = np.arange(buf.size - n + 1)
-            w1, w2 = (B.span_hash(B.prefix_hash(buf, t), at, at + n).view(np.int64) for t in (B.BYTE_HASH, B.mix(B.BYTE_HASH)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(at.size, family)), pa.array(np.full(at.size, segment)), pa.array(at), pa.array(w1), pa.array(w2)], names=["family", "segment", "a", "w1", "w2"])
+        rows: list[tuple] = []
+        for family, segment, anchor, strings, data in zip(*(batch.column(c).to_pylist() for c in ("family", "segment", "anchor", "strings", "bytes"))):
+            for cell in range((anchor - strings + 1) // width, anchor // width + 1):
+                far, near = min(anchor, (cell + 1) * width - 1), max(anchor - strings + 1, cell * width)
+                first, count = anchor - far, far - near + 1
+                piece = data[first : first + count + n - 1]
+                core = data[anchor - cell * width : anchor - (cell + 1) * width + 1 + n]
+                hashes = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in (struct.pack("<qqq", family, width, cell) + core, piece)]
+                rows.append((*hashes, family, segment, first, far, count, piece))
+        cols = list(zip(*rows)) if rows else [()] * 8
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names=[*names, "bytes"])
+
+
+RANGES = "family long, segment long, a long, b long"
+
+
+def _within_families(cut: DataFrame, n: int, family: int, grids: tuple[int | None, ...]) -> DataFrame:
+    """(family, segment, a, b): ranges of repeated strings among different segments of a family.
+
+    cut(family, segment, anchor, strings, large, bytes): one row for each different segment.
+    """
+    small = cut.where("NOT large").select("family", "segment", "bytes").repartition("family").sortWithinPartitions("family", "segment").mapInArrow(lambda b: _shards(b, n), RANGES)
+    large = cut.where("large")
+    if not grids or large.isEmpty():
+        return small
+    schema = "family long, segment long, parent long, part long, first long, anchor long, strings long, bytes binary"
+    pieces = stored(large.select("family", "segment", "anchor", "strings", "bytes").mapInArrow(lambda b: _pieces(b, n, grids[0]), schema), "pieces")
+    each = pieces.groupBy("family", "segment").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("anchor", "strings", "bytes")])
+    each = stored(each, "different-pieces")
+    sizes = stored(each.groupBy("family").agg(F.count("*").alias("m")).where("m > 1"), "piece-families")
+    again = stored(each.join(sizes, "family").select("family", "segment", "anchor", "strings", (F.col("m") > family).alias("large"), "bytes"), "cut-pieces")
+    whole = each.where("c > 1").select("family", "segment", F.lit(0).cast("long").alias("a"), F.col("strings").alias("b"))
+    found = stored(whole.union(_within_families(again, n, family, grids[1:])), "piece-ranges")
+    back = pieces.select("family", "segment", "parent", "part", "first").join(found, ["family", "segment"])
+    return small.union(back.select("parent", "part", F.col("first") + F.col("a"), F.col("first") + F.col("b")))
 
 
 def repeated_ranges(keyed: DataFrame, n: int, family: int = FAMILY) -> DataFrame:
     """(k1, k2, ranges): for each text with a repeat, the ranges of starts of its repeated strings."""
-    occ = stored(occurrences(keyed, n), "occurrences")
-    many = stored(occ.groupBy("family").agg(F.count("*").alias("c")).where("c > 1").select("family"), "families")
-    occ = stored(occ.join(many, "family"), "repeated-families")
-    seg = occ.groupBy("family", "segment").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start")).alias("at"), F.max("strings").alias("strings"))
+    every = stored(occurrences(keyed, n), "occurrences")
+    many = stored(every.groupBy("family").agg(F.count("*").alias("c")).where("c > 1").select("family"), "families")
+    occ = stored(every.join(many, "family"), "repeated-families")
+    discard(every, many)
+    seg = occ.groupBy("family", "segment").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "anchor")).alias("at"), F.max("strings").alias("strings"))
     seg = stored(seg, "segments")
     wide = stored(seg.groupBy("family").agg(F.count("*").alias("m")).where("m > 1"), "wide-families")
-    wanted = seg.join(wide, "family").select("at.k1", "at.k2", F.struct("family", "segment", F.col("at.start").alias("start"), "strings", (F.col("m") > family).alias("large")).alias("w"))
+    wanted = seg.join(wide, "family").select("at.k1", "at.k2", F.struct("family", "segment", F.col("at.start").alias("start"), F.col("at.anchor").alias("anchor"), "strings", (F.col("m") > family).alias("large")).alias("w"))
     wanted = stored(wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")), "wanted")
     texts = keyed.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    cut = stored(texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lambda b: _segments(b, n), "family long, segment long, large boolean, bytes binary"), "cut")
-    ranges = "family long, segment long, a long, b long"
-    small = cut.where("NOT large").select("family", "segment", "bytes").repartition("family").sortWithinPartitions("family", "segment").mapInArrow(lambda b: _shards(b, n), ranges)
-    strings = stored(cut.where("large").select("family", "segment", "bytes").mapInArrow(lambda b: _strings(b, n), "family long, segment long, a long, w1 long, w2 long"), "strings")
-    twice = stored(strings.groupBy("family", "w1", "w2").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated-strings")
-    large = strings.join(twice, ["family", "w1", "w2"]).select("family", "segment", "a", (F.col("a") + 1).alias("b"))
+    cut = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lambda b: _segments(b, n), "family long, segment long, anchor long, strings long, large boolean, bytes binary")
+    cut = stored(cut, "cut")
     whole = seg.where("c > 1").select("family", "segment", F.lit(0).cast("long").alias("a"), F.col("strings").alias("b"))
-    found = whole.union(small).union(large).groupBy("family", "segment").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    found = whole.union(_within_families(cut, n, family, GRIDS)).groupBy("family", "segment").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     found = stored(found, "found")
     places = occ.select("k1", "k2", "family", "segment", "start").distinct().join(found, ["family", "segment"])
     places = places.select("k1", "k2", F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b"))).alias("ranges"))
-    return stored(places.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    out = stored(places.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    discard(occ, seg, wide, wanted, cut, found)
+    return out
 
 
 def covered(size: int, ranges: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:

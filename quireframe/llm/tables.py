@@ -25,7 +25,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that later stored tables have taken the place of; a result still to be computed must not read them."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_key(text: str = "text") -> tuple[Column, Column]:
