@@ -4,11 +4,12 @@
    samples in bands, and the odd sketch: every sample toggles one bit of a bitmap, so the number of ones in the XOR of
    two bitmaps estimates how many samples differ, most precisely where similarity is high.
 2. Documents with one and the same set are one class and go on as one representative.
-3. Within a bucket (equal band) every member meets one hub, the member with the smallest hash: never all pairs.  Each
+3. Within a bucket (equal band) every member meets one hub, the member with the smallest hash in one of a few orders: never all pairs.  Each
    document's two best hubs by estimate are confirmed on the full sets, and the links give first components.
 4. What a hub could have missed lies between different components of one bucket: there, members outside the bucket's
-   largest component meet the others in a join whose condition holds the component, size and odd-sketch tests, so only
-   pairs that may well be similar come out.  They are confirmed in the same way.
+   largest component meet the others in a join whose condition holds the component, size and odd-sketch tests, the last
+   of them on sketches of the full sets, which no link fails: little more than links comes out.  They are confirmed in
+   the same way.
 
 Defined cases: null, empty and word-less texts have an empty set and stand alone; a text with fewer than five words is
 one shingle; a row without ``doc_id`` takes part as an exact copy only (its component is that of its set, null where no
@@ -28,10 +29,12 @@ from pyspark.sql import Window
 
 from quireframe.llm import bytesops as B
 from quireframe.llm.components import components
-from quireframe.llm.tables import stored
+from quireframe.llm.tables import discard, stored
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
+#: Orders by which hubs are chosen: bands that share one mostly share their hubs too, so a member meets few different ones.
+ORDERS = 4
 SAMPLES = 256
 BITS = 1024
 LONGS = BITS // 64
@@ -135,6 +138,39 @@ def _may_link(percent: int) -> Column:
     return (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent) & (ones <= most_differing(percent / 100))
 
 
+def set_sketches(texts: DataFrame) -> DataFrame:
+    """(doc_id, whole): an odd sketch of each full shingle set, with four bits or more for each shingle.
+
+    A shingle toggles one bit, so the ones in the XOR of two such sketches never outnumber the sets' difference: a pair
+    with more ones than a link's difference may have is none, without any odds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in B.slices(text):
+                whole = []
+                for s in shingles(*B.buffers(text.slice(a, b - a))):
+                    bits = max(BITS, 1 << (4 * s.size - 1).bit_length())
+                    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+                    whole.append(np.packbits(odd, bitorder="little").view("<i8"))
+                offsets = np.concatenate([[0], np.cumsum([x.size for x in whole])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(whole)))], names=["doc_id", "whole"])
+
+    return texts.mapInArrow(run, "doc_id long, whole array<long>")
+
+
+#: Ones in the XOR of w1 and w2, the longer one folded to the length of the other (sizes of a pair differ by less than twice).
+_FOLD = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
+DIFFERENCE = f"aggregate(zip_with({_FOLD.format('w1', 'w2')}, {_FOLD.format('w2', 'w1')}, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
+
+
+def _linkable(percent: int) -> Column:
+    """The exact bound on the difference of the sets, on columns n1, n2, w1, w2; tried where the cheaper tests pass."""
+    most = F.floor((F.col("n1") + F.col("n2")) * (100 - percent) / (100 + percent))
+    return F.when(_may_link(percent), F.expr(DIFFERENCE) <= most).otherwise(False)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` holds (doc_id, text) once for each id."""
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -161,38 +197,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ids = sig.where("n > 0 AND doc_id IS NOT NULL")
     reps = ids.join(classes.select(F.col("rep").alias("doc_id"), "g1", "g2", "n"), ["doc_id", "g1", "g2", "n"], "left_semi").dropDuplicates(["doc_id", "g1", "g2"])
     reps = stored(reps, "representatives")
-    banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("bucket", "doc_id").alias("h"), "doc_id")).alias("hub"))
+    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).select("doc_id", "bucket", F.expr(f"band DIV {BANDS // ORDERS}").alias("turn"))
+    hubs = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("turn", "doc_id").alias("h"), "doc_id")).alias("hub"))
     hubs = stored(hubs.where("members > 1").select("bucket", F.col("hub.doc_id").alias("hub")), "hubs")
-    members = stored(banded.join(hubs, "bucket"), "members")
-    sketches = reps.select("doc_id", "n", "sketch")
+    members = stored(banded.select("doc_id", "bucket").join(hubs, "bucket"), "members")
     held = members.select("doc_id").distinct()
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stored(texts.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    sketches = stored(reps.select("doc_id", "n", "sketch").join(set_sketches(texts), "doc_id"), "sketches")
 
-    side = lambda i, key: sketches.select(F.col("doc_id").alias(key), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"))
+    side = lambda i, key: sketches.select(F.col("doc_id").alias(key), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("whole").alias(f"w{i}"))
     met = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    met = met.join(side(1, "a"), "a").join(side(2, "b"), "b").where(_may_link(percent))
-    ones = sum((F.bit_count(F.element_at("s1", i).bitwiseXOR(F.element_at("s2", i))) for i in range(1, LONGS + 1)), F.lit(0))
-    best = met.select("a", "b", F.row_number().over(Window.partitionBy("a").orderBy(ones, "b")).alias("r")).where("r <= 2").select("a", "b")
-    links = stored(confirmed(stored(best, "best"), texts, percent), "links")
+    met = met.join(side(1, "a"), "a").join(side(2, "b"), "b").where(_linkable(percent)).select("a", "b", F.expr(DIFFERENCE).alias("ones"))
+    best = met.select("a", "b", F.row_number().over(Window.partitionBy("a").orderBy("ones", "b")).alias("r")).where("r <= 2").select("a", "b")
+    best = stored(best, "best")
+    links = stored(confirmed(best, texts, percent), "links")
     first = stored(components(links), "first")
+    discard(best, links, hubs)
 
     lone = members.select("bucket", "doc_id").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     lone = stored(lone.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
     split = lone.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("top"))
     split = stored(split.where("parts > 1").select("bucket", F.col("top.component").alias("top")), "split")
     rest = stored(lone.join(split, "bucket").join(sketches, "doc_id"), "rest")
-    x = rest.where("component <> top").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
-    y = rest.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("top").alias("tb"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
+    x = rest.where("component <> top").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n1"), F.col("sketch").alias("s1"), F.col("whole").alias("w1"))
+    y = rest.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("top").alias("tb"), F.col("n").alias("n2"), F.col("sketch").alias("s2"), F.col("whole").alias("w2"))
     # a pair of two members outside the largest component is met once, from its smaller id
-    again = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(percent))
+    again = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("tb")) | (F.col("a") < F.col("b"))) & _linkable(percent))
     again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(stored(again, "again"), texts, percent)
+    again = stored(again, "again")
+    more = stored(confirmed(again, texts, percent), "more")
     joined = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
     named = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g1", "g2", "n", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named")
+    discard(again, more, rest, split, lone, first, joined, members, sketches, texts, reps, classes)
     out = sig.select("doc_id", "n", "g1", "g2").join(named, ["g1", "g2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
