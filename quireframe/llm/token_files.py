@@ -30,7 +30,7 @@ SHARD = 1 << 20
 MAGIC = b"WVM1"
 #: Bits between two rank marks.
 MARK = 512
-KEPT_LENGTH, KEPT_WORDS, KEPT_PIECES = 40, 300_000, 300_000
+KEPT_LENGTH, KEPT_WORDS, KEPT_PIECES = 40, 700_000, 700_000
 #: Characters whose lower case, composition and class are the same in every library: printable ASCII and precomposed Latin.
 PLAIN = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)])) - {"İ"}
 #: The pre-tokenizer's pattern (fixed value of the tokenizer file).
@@ -58,7 +58,8 @@ class Tokens(dict):
             for piece in self.split(word.lower()):
                 got = self.pieces.get(piece)
                 if got is None:
-                    got = self.encode(piece)
+                    # printable ASCII is its own byte-level form, so the library's model can take the piece as it is
+                    got = np.array([x.id for x in self.library.model.tokenize(piece)], np.uint32).tobytes() if piece.isascii() else self.encode(piece)
                     if len(piece) <= KEPT_LENGTH:
                         if len(self.pieces) >= KEPT_PIECES:
                             self.pieces.clear()
