@@ -1,20 +1,22 @@
 """Personal data: exact base patterns, and terms that give protected entities away by their co-occurrence in the corpus.
 
-One pass over whole texts finds the base spans (email, ip, card, phone) and the terms near each of them, and counts in
-how many documents each term stands (partial counts per task, summed by Spark).  For an entity kind c and a term t,
-``PMI = log2(p(c, t) / (p(c) p(t)))`` says how strongly t reveals that c stands nearby; ``IC = -log2 p(c)`` is all there
-is to reveal.  A term whose PMI reaches ``GENERALISE`` of IC is generalised, one that reaches ``REMOVE`` is removed.  Only
-occurrences near an entity of that kind are touched, so a document without personal data stays as it is.
+One pass over whole texts finds the base spans (email, ip, card, phone) and counts, for every term, in how many documents
+it stands outside them, and in how many of these that hold an entity of each kind (partial counts per task, summed by
+Spark).  For an entity kind c and a term t, ``PMI = log2(p(c, t) / (p(c) p(t)))`` says how strongly t reveals that the
+document holds c; ``IC = -log2 p(c)`` is all there is to reveal.  PMI is taken at the lower bound of the Wilson interval of
+p(c | t), one-sided at ``Z``, so a rare term counts for what its documents can show.  A term whose bound reaches
+``GENERALISE`` of IC is generalised, one that reaches ``REMOVE`` is removed: every occurrence in every document that holds
+an entity of that kind, however far from it.  A document without personal data stays as it is.
 
 Defined cases: null and empty texts have no spans; an empty table gives no rows; rows are judged one by one but counted
-together, so repeated rows count each; a null ``doc_id`` is carried through; further columns are ignored; a term seen in
-fewer than ``SUPPORT`` documents near a kind is never flagged.
+together, so repeated rows count each; a null ``doc_id`` is carried through; further columns are ignored; a kind that
+every document holds is revealed by no term.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +35,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORDS = re.compile(r"[^\W\d_]+")
-#: Words on each side of an entity that count as near it.
-NEAR = 4
-SUPPORT = 8
+#: Normal quantile of the one-sided 95 % bound on p(c | t).
+Z = 1.645
 GENERALISE = 0.8
 REMOVE = 0.95
 #: Terms that a task counts before it hands its counts on.
@@ -86,66 +87,69 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def near_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """(term, kind, start, end) of the NEAR words before and after each span, but for those inside a span."""
-    if not spans:
-        return []
-    out, covered = [], []
+def terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every word that no span touches, in order."""
+    covered: list[tuple[int, int]] = []
     for a, b, _ in spans:
         if covered and a <= covered[-1][1]:
             covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
         else:
             covered.append((a, b))
     ends = [b for _, b in covered]
+    for m in WORDS.finditer(text):
+        i = bisect_right(ends, m.start())
+        if i == len(covered) or covered[i][0] >= m.end():
+            yield m[0].lower(), *m.span()
 
-    def outside(x: int, y: int) -> bool:
-        i = bisect_right(ends, x)
-        return i == len(covered) or covered[i][0] >= y
 
-    words = [(m.start(), m.end()) for m in WORDS.finditer(text)]
-    starts = [a for a, _ in words]
-    for a, b, kind in spans:
-        i, j = bisect_left(starts, a), bisect_left(starts, b)
-        out += [(text[x:y].lower(), kind, x, y) for x, y in words[max(0, i - NEAR) : i] + words[j : j + NEAR] if outside(x, y)]
-    return sorted(set(out), key=lambda t: (t[2], KINDS.index(t[1])))
-
-
-MEASURED = "row long, doc_id long, base array<struct<start:int,end:int,kind:string>>, terms array<struct<term:string,kind:string,start:int,end:int>>, counted string, documents long"
+MEASURED = "row long, doc_id long, base array<struct<start:int,end:int,kind:string>>, text string, terms array<string>, counted string, kind string, documents long"
+_BASE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 _FIELDS = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("base", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))),
-    ("terms", pa.list_(pa.struct([("term", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("counted", pa.string()), ("documents", pa.int64()),
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("base", _BASE), ("text", pa.string()), ("terms", pa.list_(pa.string())),
+    ("counted", pa.string()), ("kind", pa.string()), ("documents", pa.int64()),
 ])
 
 
+def _rows(n: int, schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch of ``n`` rows, null where no column is given."""
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if (c := columns.get(f.name)) is None else c if isinstance(c, pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    within: dict[tuple[str, str], int] = {}
 
     def flush() -> pa.RecordBatch:
-        n = len(counts)
-        batch = pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if f.name not in ("counted", "documents") else pa.array(list(counts) if f.name == "counted" else list(counts.values()), f.type) for f in _FIELDS], schema=_FIELDS)
-        counts.clear()
+        n = len(seen)
+        batch = _rows(n + len(within), _FIELDS, counted=[*seen, *(t for t, _ in within)], kind=[None] * n + [k for _, k in within], documents=[*seen.values(), *within.values()])
+        seen.clear()
+        within.clear()
         return batch
 
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            base, terms = [], []
+            base, texts, stand = [], [], []
             for text in part.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-                terms.append([dict(zip(("term", "kind", "start", "end"), t)) for t in near_terms(text, spans)])
-                for w in set(WORDS.findall(text.lower())):
-                    counts[w] = counts.get(w, 0) + 1
-                if len(counts) >= FLUSH:
+                texts.append(text if spans else None)
+                words = {t for t, _, _ in terms(text, spans)} if spans else {w.lower() for w in set(WORDS.findall(text))}
+                stand.append(list(words) if spans else None)
+                for w in words:
+                    seen[w] = seen.get(w, 0) + 1
+                for k in {k for _, _, k in spans}:
+                    for w in words:
+                        within[w, k] = within.get((w, k), 0) + 1
+                if len(seen) + len(within) >= FLUSH:
                     yield flush()
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(base, _FIELDS.field("base").type), pa.array(terms, _FIELDS.field("terms").type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_FIELDS)
+            yield _rows(part.num_rows, _FIELDS, row=part.column("row"), doc_id=part.column("doc_id"), base=base, text=texts, terms=stand)
     yield flush()
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds in one stored table: one for each document (base spans, terms near them), and partial term counts.
+    """Rows of two kinds in one stored table: one for each document (base spans, and where it has any its text and terms), and partial term counts (over all documents, and over those with a ``kind``).
 
     ``row`` names a row within one reading of ``docs``: a hash of id and text, so that it is the same after a task is rerun.
     """
@@ -153,30 +157,49 @@ def measured(docs: DataFrame) -> DataFrame:
     return stored(d.mapInArrow(_measure, MEASURED), "measured")
 
 
-def disclosing(m: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def disclosing(m: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
     """(term, kind, drop): the terms whose disclosure of a kind exceeds the threshold; ``drop`` where they are removed outright."""
     rows = m.where("counted IS NULL")
     total = rows.agg(F.count("*").cast("double").alias("total"))
     kinds = rows.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.col("base.kind"))).alias("kind")).groupBy("kind").agg(F.count("*").cast("double").alias("n_c"))
-    near = rows.where(F.size("terms") > 0).select(F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["kind"].alias("kind"))))).alias("t"))
-    near = near.groupBy("t.term", "t.kind").agg(F.count("*").cast("double").alias("n_ct")).where(F.col("n_ct") >= support)
-    seen = m.where("counted IS NOT NULL").groupBy(F.col("counted").alias("term")).agg(F.sum("documents").cast("double").alias("n_t"))
+    of = lambda kind: F.sum(F.when(kind, F.col("documents"))).cast("double")
+    t = m.where("counted IS NOT NULL").groupBy(F.col("counted").alias("term")).agg(of(F.col("kind").isNull()).alias("n_t"), *[of(F.col("kind") == k).alias(k) for k in KINDS])
+    t = t.select("term", "n_t", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_ct")) for k in KINDS])).alias("c")).select("term", "n_t", "c.kind", "c.n_ct").where("n_ct > 0")
     # one row of totals and at most four of kinds: broadcast is safe at any size
-    t = near.join(seen, "term").join(F.broadcast(kinds), "kind").join(F.broadcast(total))
-    pmi = F.log2(F.col("n_ct") * F.col("total") / (F.col("n_c") * F.col("n_t")))
+    t = t.join(F.broadcast(kinds), "kind").join(F.broadcast(total))
+    n, p = F.col("n_t"), F.col("n_ct") / F.col("n_t")
+    sure = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    pmi = F.log2(sure * F.col("total") / F.col("n_c"))
     ic = F.log2(F.col("total") / F.col("n_c"))
     t = t.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
     return t.where(F.col("share") >= generalise).select("term", "kind", (F.col("share") >= remove).alias("drop"))
 
 
+FOUND = "row long, doc_id long, base array<struct<start:int,end:int,kind:string>>, added array<struct<start:int,end:int,drop:boolean>>"
+_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("base", _BASE), ("added", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("drop", pa.bool_())])))])
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        added = []
+        for text, base, flagged in zip(*(batch.column(c) for c in ("text", "base", "flagged"))):
+            if not flagged.is_valid:
+                added.append(None)
+                continue
+            drop = {f["term"]: f["drop"] for f in flagged.as_py()}
+            spans = [(s["start"], s["end"], s["kind"]) for s in base.as_py()]
+            added.append([{"start": a, "end": b, "drop": drop[t]} for t, a, b in terms(text.as_py(), spans) if t in drop])
+        yield _rows(batch.num_rows, _FOUND, row=batch.column("row"), doc_id=batch.column("doc_id"), base=batch.column("base"), added=added)
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, added): all spans of every row; ``added`` are the disclosing terms with ``drop``."""
+    """(row, doc_id, base, added): all spans of every row; ``added`` are the occurrences of disclosing terms with ``drop``."""
     m = measured(docs)
     rows = m.where("counted IS NULL")
     flagged = stored(disclosing(m), "disclosing")
-    hit = rows.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.term", "t.kind", "t.start", "t.end").distinct().join(flagged, ["term", "kind"])
-    hit = hit.groupBy("row", "start", "end").agg(F.max("drop").alias("drop")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "drop"))).alias("added"))
-    return rows.select("row", "doc_id", "base").join(stored(hit, "hits"), "row", "left")
+    hit = rows.where(F.size("terms") > 0).select("row", F.array_distinct("base.kind").alias("kinds"), F.explode("terms").alias("term")).join(flagged, "term").where(F.array_contains("kinds", F.col("kind")))
+    hit = hit.groupBy("row", "term").agg(F.max("drop").alias("drop")).groupBy("row").agg(F.collect_list(F.struct("term", "drop")).alias("flagged"))
+    return rows.select("row", "doc_id", "base", "text").join(stored(hit, "hits"), "row", "left").mapInArrow(_mark, FOUND)
 
 
 def report(docs: DataFrame) -> DataFrame:

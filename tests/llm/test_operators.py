@@ -213,6 +213,19 @@ def test_disclosing_terms_near_entities_only(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in clean.values())
 
 
+def test_disclosing_terms_far_and_rare(spark):
+    rng = random.Random(9)
+    far = [(200 + i, "Kowalska " + prose(rng, 20) + f" p{i}@x.org " + prose(rng, 20) + " kowalska") for i in range(5)]
+    data = [(i, prose(rng, 30)) for i in range(180)] + far + [(300, "once " + prose(rng, 20) + " q@x.org"), (301, "+44 20 7946 0958 " + prose(rng, 20))]
+    data += [(302 + i, "common " + prose(rng, 10) + (" r@x.org" if i % 2 else "")) for i in range(6)]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in data], "doc_id long, text string, n_chars long")
+    got = by_id(personal_data.report(df))
+    assert all([s for s in got[i]["spans"].split(",") if s.startswith("term:")] == ["term:0:8", f"term:{len(t) - 8}:{len(t)}"] for i, t in far)
+    assert all("term:" not in r["spans"] for i, r in got.items() if not 200 <= i < 205)
+    clean = by_id(personal_data.sanitised(df))
+    assert all("kowalska" not in clean[i]["text"].lower() for i, _ in far) and clean[300]["text"].startswith("once ") and clean[305]["text"].startswith("common ")
+
+
 def test_quality_kernel(spark, docs, rows, nothing):
     y = labels(spark, rows)
     out = quality_kernel.score(docs, y)
