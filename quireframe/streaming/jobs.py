@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from quireframe.operators.history import Stacks, latest_pages
+from quireframe.operators.history import latest_pages
 from quireframe.operators.search import find_text
 
 
@@ -55,21 +55,56 @@ def read_pages(spark, target: str, before: int | None = None) -> DataFrame:
     return all_rows.join(newest, ["bucket", "batch"], "left_semi")
 
 
-def _stack_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stacks = Stacks.load(state.get[0]) if state.exists else Stacks()
-    pdf = pd.concat(list(batches)).sort_values("seq")
-    none = [None] * len(pdf)
-    for seq, op, merge_key, owner in zip(pdf["seq"].tolist(), pdf["op"].tolist(), *(pdf[c].tolist() if c in pdf else none for c in ("coalesce_key", "owner"))):
-        stacks.apply(op, seq, merge_key, owner)
-    state.update((stacks.dump(),))
-    yield pd.DataFrame({"doc_id": [key[0]], "applied": [len(stacks.undo)], "redoable": [len(stacks.redo)], "top": [stacks.undo[-1] if stacks.undo else None]}).astype({"top": "Int64"})
+class UndoState(StatefulProcessor):
+    """A document's undo and redo stacks as one tape with a cursor between them: a state row per entry, by (doc_id, place), and one for the ends and the lock.
+
+    Batches read and write only the entries they touch; the rules are those of :class:`~quireframe.operators.history.Stacks`.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tape = handle.getMapState("tape", "place long", "seq long, key string")
+        self.ends = handle.getValueState("ends", "cursor long, size long, holder string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        cursor, size, holder = self.ends.get() if self.ends.exists() else (0, 0, None)
+        holder, stored, new = holder and tuple(json.loads(holder)), size, {}
+        at = lambda place: new[place] if place in new else tuple(self.tape.getValue((place,)))
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        none = [None] * len(pdf)
+        for seq, op, merge_key, owner in zip(pdf["seq"].tolist(), pdf["op"].tolist(), *(pdf[c].tolist() if c in pdf else none for c in ("coalesce_key", "owner"))):
+            if op == "lock":
+                holder = holder or (owner,)
+            elif op == "unlock":
+                holder = None if holder == (owner,) else holder
+            elif op in ("undo", "redo"):
+                if holder is None:
+                    cursor = max(0, cursor - 1) if op == "undo" else min(size, cursor + 1)
+            elif holder in (None, (owner,)):
+                if cursor and merge_key is not None and at(cursor - 1)[1] == merge_key:
+                    cursor -= 1
+                new[cursor] = (int(seq), merge_key)
+                cursor = size = cursor + 1
+        for place, entry in new.items():
+            if place < size:
+                self.tape.updateValue((place,), entry)
+        for place in range(size, stored):
+            self.tape.removeKey((place,))
+        self.ends.update((cursor, size, holder and json.dumps(holder)))
+        yield pd.DataFrame({"doc_id": [key[0]], "applied": [cursor], "redoable": [size - cursor], "top": [at(cursor - 1)[0] if cursor else None]}).astype({"top": "Int64"})
+
+    def close(self) -> None:
+        pass
 
 
 def undo_redo_stream(commands: DataFrame) -> DataFrame:
-    """Per document and micro-batch: how many commands are applied, how many could be redone, and the last applied one."""
-    return commands.groupBy("doc_id").applyInPandasWithState(
-        _stack_step, "doc_id long, applied long, redoable long, top long", "stacks string", "update", GroupStateTimeout.NoTimeout
-    )
+    """Per document and micro-batch: how many commands are applied, how many could be redone, and the last applied one.
+
+    State by entry needs the RocksDB store, which is set for the session.  What a micro-batch brings for one document is
+    sorted in its task; bound it by the source's options.
+    """
+    commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return commands.groupBy("doc_id").transformWithStateInPandas(UndoState(), "doc_id long, applied long, redoable long, top long", "Update", "None")
 
 
 def activity(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -1,6 +1,7 @@
 """Ordered, spatial and stateful operators against brute force on small tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window as W, functions as F
@@ -45,6 +46,40 @@ def test_undo_redo(spark, seed):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_undo_redo_by_chunk(spark, monkeypatch):
+    monkeypatch.setattr(H, "CHUNK", 16)
+    monkeypatch.setattr(H, "PART", 3)
+    rng = random.Random(11)
+    rows, want = [], set()
+    for d in range(40):
+        weights = [rng.random(), rng.random(), rng.random(), rng.choice([0, 0.02, 0.1]), 0.1]
+        s = Stacks()
+        for seq in range(rng.choice([5, 150])):
+            r = (d, seq, rng.choices(["do", "undo", "redo", "lock", "unlock"], weights)[0], rng.choice([None, "a", "b"]), rng.choice([None, "x", "y"]))
+            rows.append(r)
+            s.apply(r[2], seq, r[3], r[4])
+        want |= {(d, i, q, len(s.redo)) for i, q in enumerate(s.undo)}
+    df = spark.createDataFrame(rows, "doc_id long, seq long, op string, coalesce_key string, owner string").repartition(5)
+    got = H.undo_redo_state(df)
+    assert {tuple(r) for r in got.collect()} == want
+    # the whole history is dealt out by chunk, never by document alone
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    folds = plan.split("_fold(")[1:]
+    assert folds and all(re.search(r"RepartitionByExpression \[doc_id#\d+L?, chunk#\d+L?\]", f) for f in folds)
+
+
+def test_fold_sums_stay_small():
+    rng = random.Random(12)
+    fold = H.Fold()
+    for seq in range(4000):
+        if rng.random() < 0.5:
+            fold.put(seq, None)
+        else:
+            fold.move(rng.choice([-1, -1, 1]))
+    steps = fold.done()
+    assert sum(len(m) for m, _ in steps) < 400
+
+
 def tree(paths):
     return sorted(paths)
 

@@ -1,5 +1,7 @@
 """Stream jobs give what the batch jobs give."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quireframe.operators.history import Stacks
@@ -55,6 +57,26 @@ def test_undo_state_across_batches(spark, tmp_path):
     assert (last["applied"], last["redoable"], last["top"]) == (len(s.undo), len(s.redo), s.undo[-1])
 
 
+def test_undo_state_keeps_a_row_per_entry(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(7, s, rng.choice(["do", "do", "do", "undo", "redo", "lock", "unlock"]), rng.choice("abc"), rng.choice("xy")) for s in range(120)] + [(7, 120, "unlock", None, "x"), (7, 121, "unlock", None, "y")] + [(7, 122 + k, "do", str(k), "x") for k in range(40)] + [(7, 162, "undo", None, "x")]
+    columns = "doc_id long, seq long, op string, coalesce_key string, owner string"
+    src = str(tmp_path / "cmd")
+    for k, part in enumerate((rows[:50], rows[50:90], rows[90:])):
+        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(f"{src}/p={k}")
+    stream = spark.readStream.schema(columns + ", p int").option("maxFilesPerTrigger", 1).parquet(src).drop("p")
+    q = jobs.undo_redo_stream(stream).writeStream.outputMode("update").format("memory").queryName("entries").option("checkpointLocation", str(tmp_path / "cp5")).start()
+    q.processAllAvailable()
+    kept = q.recentProgress[-1].stateOperators[0].numRowsTotal
+    q.stop()
+    s = Stacks()
+    for _, seq, op, key, owner in rows:
+        s.apply(op, seq, key, owner)
+    got = max(spark.table("entries").collect(), key=lambda r: r["top"] or 0)
+    assert (got["applied"], got["redoable"], got["top"]) == (len(s.undo), len(s.redo), s.undo[-1])
+    assert kept >= len(s.undo) + len(s.redo) >= 40
+
+
 def test_activity_stream_closes_windows(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", "user_id")
     q = jobs.activity(replay(spark, tmp_path, e, "act"), "1 hour", late="400 days").writeStream.outputMode("update").format("memory").queryName("act").option("checkpointLocation", str(tmp_path / "cp4")).start()
