@@ -12,9 +12,9 @@
    the same way.
 
 Defined cases: null, empty and word-less texts have an empty set and stand alone; a text with fewer than five words is
-one shingle; a row without ``doc_id`` takes part as an exact copy only (its component is that of its set, null where no
-such row has an id, and then it is kept); rows that share an id are one node; further columns are ignored; an empty
-table gives no rows.
+one shingle; sets are matched, not ids: a component is named by its smallest id, so rows that share an id but not a set
+are judged one by one, and a row without ``doc_id`` takes part like any other (its component is null where no row of it
+has an id, and then it is kept); further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Window
 
 from quireframe.llm import bytesops as B
 from quireframe.llm.components import components
-from quireframe.llm.tables import discard, stored
+from quireframe.llm.tables import discard, stored, text_key
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -94,7 +94,7 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return B.mix(x.sum(2, dtype=np.uint64)).view(np.int64)
 
 
-SIGNATURE = "doc_id long, n long, g1 long, g2 long, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, k1 long, k2 long, n long, g1 long, g2 long, bands array<long>, sketch array<long>"
 
 
 def _lists(x: np.ndarray, empty: np.ndarray) -> pa.Array:
@@ -103,8 +103,13 @@ def _lists(x: np.ndarray, empty: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(x[~empty].ravel()))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return d.select("doc_id", *text_key(), "text")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: set size, set digest, band keys and odd sketch (both empty for an empty set)."""
+    """One row for each row of ``docs``: text key, set size, set digest, band keys and odd sketch (both empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +120,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 g1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 g2 = np.array([np.bitwise_xor.reduce(B.mix(s + np.uint64(99))) if s.size else 0 for s in sets], np.uint64)
                 m = np.stack([minhash(s) if s.size else np.zeros(SAMPLES, np.uint32) for s in sets])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), _lists(band_keys(m), n == 0), _lists(odd_sketch(m), n == 0)],
-                                                 names=["doc_id", "n", "g1", "g2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "k1", "k2")), pa.array(n), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), _lists(band_keys(m), n == 0), _lists(odd_sketch(m), n == 0)],
+                                                 names=["doc_id", "k1", "k2", "n", "g1", "g2", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
+    return _texts(docs).mapInArrow(run, SIGNATURE)
 
 
 def most_differing(similarity: float) -> int:
@@ -139,7 +144,7 @@ def _may_link(percent: int) -> Column:
 
 
 def set_sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, whole): an odd sketch of each full shingle set, with four bits or more for each shingle.
+    """(node, whole): an odd sketch of each full shingle set, with four bits or more for each shingle.
 
     A shingle toggles one bit, so the ones in the XOR of two such sketches never outnumber the sets' difference: a pair
     with more ones than a link's difference may have is none, without any odds.
@@ -155,9 +160,9 @@ def set_sketches(texts: DataFrame) -> DataFrame:
                     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
                     whole.append(np.packbits(odd, bitorder="little").view("<i8"))
                 offsets = np.concatenate([[0], np.cumsum([x.size for x in whole])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(whole)))], names=["doc_id", "whole"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(whole)))], names=["node", "whole"])
 
-    return texts.mapInArrow(run, "doc_id long, whole array<long>")
+    return texts.mapInArrow(run, "node long, whole array<long>")
 
 
 #: Ones in the XOR of w1 and w2, the longer one folded to the length of the other (sizes of a pair differ by less than twice).
@@ -172,9 +177,9 @@ def _linkable(percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` holds (doc_id, text) once for each id."""
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` holds (node, text) once for each node."""
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,24 +195,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, k1, k2, g1, g2, n, component_id, kept) of every row of ``docs``."""
     sig = stored(signatures(docs), "signatures")
-    classes = stored(sig.where("n > 0").groupBy("g1", "g2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    ids = sig.where("n > 0 AND doc_id IS NOT NULL")
-    reps = ids.join(classes.select(F.col("rep").alias("doc_id"), "g1", "g2", "n"), ["doc_id", "g1", "g2", "n"], "left_semi").dropDuplicates(["doc_id", "g1", "g2"])
-    reps = stored(reps, "representatives")
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).select("doc_id", "bucket", F.expr(f"band DIV {BANDS // ORDERS}").alias("turn"))
-    hubs = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("turn", "doc_id").alias("h"), "doc_id")).alias("hub"))
-    hubs = stored(hubs.where("members > 1").select("bucket", F.col("hub.doc_id").alias("hub")), "hubs")
-    members = stored(banded.select("doc_id", "bucket").join(hubs, "bucket"), "members")
-    held = members.select("doc_id").distinct()
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sketches = stored(reps.select("doc_id", "n", "sketch").join(set_sketches(texts), "doc_id"), "sketches")
-
-    side = lambda i, key: sketches.select(F.col("doc_id").alias(key), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("whole").alias(f"w{i}"))
-    met = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    # bands and sketch follow from the set: those of any row; its text is that of the row with the smallest id
+    reps = sig.where("n > 0").groupBy("g1", "g2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = stored(reps.select(F.xxhash64("g1", "g2", "n").alias("node"), "g1", "g2", "n", F.col("r.doc_id").alias("rep"), "r.k1", "r.k2", "bands", "sketch"), "representatives")
+    banded = reps.select("node", F.posexplode("bands").alias("band", "bucket")).select("node", "bucket", F.expr(f"band DIV {BANDS // ORDERS}").alias("turn"))
+    hubs = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("turn", "node").alias("h"), "node")).alias("hub"))
+    hubs = stored(hubs.where("members > 1").select("bucket", F.col("hub.node").alias("hub")), "hubs")
+    members = stored(banded.select("node", "bucket").join(hubs, "bucket"), "members")
+    held = members.select("node").distinct()
+    # one row's text for each node: found by id and text, so that a hot text is not gathered
+    named_by = F.coalesce("doc_id", "k1").alias("by")
+    held = reps.join(held, "node", "left_semi").select("node", F.coalesce("rep", "k1").alias("by"), "k1", "k2")
+    texts = stored(_texts(docs).select(named_by, "k1", "k2", "text").join(held, ["by", "k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    sketches = stored(reps.select("node", "n", "sketch").join(set_sketches(texts), "node"), "sketches")
+
+    side = lambda i, key: sketches.select(F.col("node").alias(key), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("whole").alias(f"w{i}"))
+    met = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     met = met.join(side(1, "a"), "a").join(side(2, "b"), "b").where(_linkable(percent)).select("a", "b", F.expr(DIFFERENCE).alias("ones"))
     best = met.select("a", "b", F.row_number().over(Window.partitionBy("a").orderBy("ones", "b")).alias("r")).where("r <= 2").select("a", "b")
     best = stored(best, "best")
@@ -215,13 +221,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = stored(components(links), "first")
     discard(best, links, hubs)
 
-    lone = members.select("bucket", "doc_id").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    lone = stored(lone.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    lone = members.select("bucket", "node").join(first.select("node", "component"), "node", "left")
+    lone = stored(lone.select("bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
     split = lone.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("top"))
     split = stored(split.where("parts > 1").select("bucket", F.col("top.component").alias("top")), "split")
-    rest = stored(lone.join(split, "bucket").join(sketches, "doc_id"), "rest")
-    x = rest.where("component <> top").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n1"), F.col("sketch").alias("s1"), F.col("whole").alias("w1"))
-    y = rest.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("top").alias("tb"), F.col("n").alias("n2"), F.col("sketch").alias("s2"), F.col("whole").alias("w2"))
+    rest = stored(lone.join(split, "bucket").join(sketches, "node"), "rest")
+    x = rest.where("component <> top").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n1"), F.col("sketch").alias("s1"), F.col("whole").alias("w1"))
+    y = rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("top").alias("tb"), F.col("n").alias("n2"), F.col("sketch").alias("s2"), F.col("whole").alias("w2"))
     # a pair of two members outside the largest component is met once, from its smaller id
     again = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("tb")) | (F.col("a") < F.col("b"))) & _linkable(percent))
     again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -229,18 +235,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     more = stored(confirmed(again, texts, percent), "more")
     joined = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
-    named = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g1", "g2", "n", F.coalesce("component", "rep").alias("component"))
-    named = stored(named, "named")
-    discard(again, more, rest, split, lone, first, joined, members, sketches, texts, reps, classes)
-    out = sig.select("doc_id", "n", "g1", "g2").join(named, ["g1", "g2", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    ids = joined.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = joined.join(stored(ids, "ids"), "component").select("node", F.lit(True).alias("linked"), "component_id")
+    named = reps.select("node", "g1", "g2", "n", "rep").join(stored(ids, "linked"), "node", "left")
+    named = stored(named.select("g1", "g2", "n", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")), "named")
+    discard(again, more, rest, split, lone, first, joined, members, sketches, texts, reps)
+    out = sig.select("doc_id", "k1", "k2", "n", "g1", "g2").join(named, ["g1", "g2", "n"], "left")
+    out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    return _judged(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` without near-duplicates: the document with the smallest id of each component stays, repeated rows once.
+    """``docs`` without near-duplicates: the document with the smallest id of each component stays, rows of one id and set once.
 
     Rows without ``doc_id`` stay as they are.
     """
-    kept = stored(near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    kept = _judged(docs, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "g1", "g2", "n").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    kept = stored(kept.select(F.col("doc_id").alias("__id"), F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2")).distinct(), "kept")
+    keys = dict(zip(("__id", "__k1", "__k2"), (F.col("doc_id").cast("long"), *text_key())))
+    found = docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys))
+    return found.select(*docs.columns).union(docs.where("doc_id IS NULL"))

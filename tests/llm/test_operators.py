@@ -191,6 +191,17 @@ def test_url_filters(spark):
     assert url_filters.judge(df.where("page_id < 0")).count() == 0
 
 
+def test_near_duplicates_by_content(spark):
+    rng = random.Random(21)
+    one, two, three = (prose(rng, 200) for _ in range(3))
+    data = [(1, one), (1, two), (1, two), (4, two + " tail"), (6, one + " tail"), (None, three), (None, three + " tail"), (8, three + " end")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (4, 1, False), (6, 1, False), (None, 8, False), (8, 8, True)}
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.keep_first(df).collect())
+    assert kept == sorted([(1, one), (1, two), (8, three + " end"), (0, three), (0, three + " tail")])
+
+
 def test_personal_data_base(spark, docs, rows, nothing):
     got = by_id(personal_data.report(docs))
     for i, t in rows:
