@@ -2,8 +2,11 @@
 
 Documents are dealt out by ranges of ``doc_id`` and sorted, so shards follow one another in ascending order.  Each shard
 holds about ``SHARD`` ids, a document never being cut: a header, the documents' ids and lengths, and one bit-plane per
-bit of the largest token with rank marks.  From the one file any token can be read (``access``), counted (``rank``) and
-located (``select``) without decoding the rest; ``all`` undoes the planes for a whole shard.
+bit of the largest token.  From an unpacked shard any token can be read (``access``), counted (``rank``) and located
+(``select``); ``all`` undoes the planes for a whole shard.
+
+Missing: the file stores no rank marks (the first ``rank`` makes them for every plane), reading anything decompresses the
+whole shard, and no Spark function counts or locates a token over the table of shards.
 
 The files are written by Spark itself as binary cells of a Parquet table in a folder that all machines share, so a lost
 executor's shards are written anew and nothing is left half-written.
