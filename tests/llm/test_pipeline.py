@@ -11,7 +11,7 @@ import brute
 import corpus_pipeline
 import public_tokenizers
 import pytest
-from test_operators import corpus, frame, labels
+from test_llm_operators import corpus, frame, labels
 
 import __spark_entry__
 from quireframe.llm import mixing, quality_rules
