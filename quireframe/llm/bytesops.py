@@ -105,13 +105,14 @@ class Words:
     first: np.ndarray
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> Words:
+def words(buf: np.ndarray, off: np.ndarray, blank: np.ndarray = WS) -> Words:
+    """The maximal runs of bytes that ``blank`` does not mark."""
     n = buf.size
     rows = off.size - 1
     if n == 0:
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(rows + 1, np.int64))
-    ink = ~WS[buf]
+    ink = ~blank[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     a = ink.copy()
