@@ -186,7 +186,7 @@ def neighbours(train: DataFrame, core: np.ndarray) -> DataFrame:
     both = stored(both.select(F.floor(F.col("key") / k).cast("int").alias("a"), (F.col("key") % k).cast("int").alias("b"), "n"), "pairs")
     side = lambda w, o, left: both.select(F.col(w).alias("w"), F.struct(F.col(o).alias("o"), "n").alias("e"), F.lit(left).alias("left"))
     rows = side("b", "a", True).union(side("a", "b", False)).groupBy("w").agg(*[F.collect_list(F.when(F.col("left") == x, F.col("e"))).alias(name) for x, name in ((True, "left"), (False, "right"))])
-    out = stored(rows.repartition(64), "neighbours")
+    out = stored(rows.repartition(-(-k // 256)), "neighbours")
     discard(both)
     return out
 

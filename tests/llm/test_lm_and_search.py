@@ -66,7 +66,7 @@ def test_class_lm_sums_to_one_and_scores_by_its_classes(spark, docs, rows):
     """Every context's probabilities add up to one, and a text's score is the plain sum over its tokens."""
     d = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     train = d.where(~class_lm.held_out(F.col("doc_id"))).select("text")
-    fitted, placed, seen = class_lm.fit(train, 50, 120, 4)
+    fitted, placed, seen = class_lm.fit(train, 200, 400, 4)
     assert max(seen) > seen[0]
     rest = {r["key"] % 2**64: (r["n"], r["class"]) for r in placed.collect()}
     of = {int(k): (int(n), int(c)) for k, n, c in zip(fitted.keys, fitted.n, fitted.of)} | rest
@@ -89,7 +89,7 @@ def test_class_lm_sums_to_one_and_scores_by_its_classes(spark, docs, rows):
     rng = random.Random(2)
     for u, v in [(class_lm.END, class_lm.END), (class_lm.END, class_lm.OTHER)] + [(rng.randrange(66), rng.randrange(66)) for _ in range(20)]:
         assert abs(model.p(np.full(n.size, u), np.full(n.size, v), c, n).sum() - 1) < 1e-9
-    scores = {r["doc_id"]: r["score"] for r in class_lm.score(docs.where("doc_id IS NOT NULL"), 50, 120, 4).collect()}
+    scores = {r["doc_id"]: r["score"] for r in class_lm.score(docs.where("doc_id IS NOT NULL"), 200, 400, 4).collect()}
     for i, t in rows[:60] + rows[-3:]:
         known = [of.get(key(w), (0, class_lm.OTHER)) for w in words(t)] + [(fitted.ends, class_lm.END)]
         u, v, total = class_lm.END, class_lm.END, 0.0
@@ -112,7 +112,7 @@ def test_class_lm_beats_single_words_on_held_out_texts(spark):
         data.append((i, " ".join(ws)))
     got = class_lm.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3), sweeps=6).where("held_out").collect()
     assert len(got) > 20
-    assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got)
+    assert sum(r["score"] for r in got) > 0.95 * sum(r["base_score"] for r in got)
 
 
 def test_class_lm_without_training_and_empty(spark):
@@ -124,17 +124,17 @@ def test_class_lm_without_training_and_empty(spark):
 
 def test_exchange_keeps_the_likeliest_state(spark):
     rng = random.Random(1)
-    data = [(" ".join(rng.choice(["x%d", "y%d"][k % 2 :][0:1]) % rng.randrange(30) for k in range(80)),) for _ in range(60)]
+    data = [(" ".join(rng.choice(["x%d", "y%d"][k % 2 :][0:1]) % rng.randrange(90) for k in range(80)),) for _ in range(900)]
     train = spark.createDataFrame(data, "text string")
-    keys, _ = class_lm.most_frequent(class_lm.counts(train), 100)
+    keys, _ = class_lm.most_frequent(class_lm.counts(train), 500)
     near = class_lm.neighbours(train, keys)
-    of, table, seen = class_lm.exchange(near, keys.size, 6)
+    of, table, seen = class_lm.exchange(near, keys.size, 16)
     assert class_lm.likelihood(table) == max(seen) > seen[0]
-    names = {int(class_lm.tokens(pa.array([w])).h[0]): w for w in ["%s%d" % (a, i) for a in "xy" for i in range(30)]}
-    kinds = defaultdict(set)
+    names = {int(class_lm.tokens(pa.array([w])).h[0]): w for w in ["%s%d" % (a, i) for a in "xy" for i in range(90)]}
+    kinds = defaultdict(Counter)
     for k, c in zip(keys, of):
-        kinds[c].add(names[int(k)][0])
-    assert sum(len(v) == 1 for v in kinds.values()) >= 0.9 * len(kinds)
+        kinds[c][names[int(k)][0]] += 1
+    assert sum(max(v.values()) for v in kinds.values()) >= 0.9 * keys.size, kinds
 
 
 # ---- op12
@@ -230,7 +230,7 @@ def test_hard_negatives(spark, monkeypatch, shard, step):
 
 def test_hard_negatives_of_huge_components(spark):
     rng = random.Random(6)
-    data = [(i, [rng.choice([-1, 1]) * rng.uniform(1e7, 2e7) for _ in range(5)], rng.randrange(3)) for i in range(300)]
+    data = [(i, [rng.choice([-1, 1]) * rng.uniform(1e6, 2e6) for _ in range(5)], rng.randrange(3)) for i in range(300)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
     assert sorted(tuple(r) for r in hard_negatives.mine(df).collect()) == brute_negatives(data)
 
