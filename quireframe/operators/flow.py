@@ -1,4 +1,4 @@
-"""Greedy wrapping and page filling, inside the row of each document."""
+"""Greedy wrapping, inside the row of each document."""
 
 from __future__ import annotations
 
@@ -36,17 +36,3 @@ def wrap_words(docs: DataFrame, width_pt: float, size_pt: float, pitch_em: float
         (a, j) -> if(j > 0 and not a.glued, ' ', '') || a.t), '') as text))"""
     return d.select("doc_id", F.explode(F.expr(line)).alias("l")).select("doc_id", "l.line_no", "l.text")
 
-
-def paginate(docs: DataFrame, height_pt: float, items: str = "items") -> DataFrame:
-    """docs(doc_id, items array<struct<height double, page_break boolean, keep_next boolean, header double>>) -> page of each item.
-
-    A page is filled until the next item does not fit.  A break is ignored on an empty page; an item kept with the next
-    moves on if both do not fit; on a new page inside a table the header's height is taken first.
-    """
-    i, nxt = f"get({items}, k - 1)", f"get({items}, k)"
-    need = f"if({i}.keep_next and {nxt} is not null, {i}.height + {nxt}.height, {i}.height)"
-    d = docs.withColumn("_p", F.expr(f"""aggregate(sequence(1, greatest(size({items}), 1)), named_struct('page', 0, 'used', 0.0D, 'pages', cast(array() as array<int>)),
-        (s, k) -> transform(array(s.used > 0 and ({i}.page_break or s.used + {need} > {height_pt}D)), turn ->
-            named_struct('page', s.page + if(turn, 1, 0), 'used', if(turn, {i}.height + coalesce({i}.header, 0.0D), s.used + {i}.height), 'pages', concat(s.pages, array(s.page + if(turn, 1, 0)))))[0],
-        s -> s.pages)"""))
-    return d.filter(F.size(items) > 0).select("doc_id", F.posexplode(F.transform("_p", lambda p: p + 0)).alias("item", "page"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireframe.operators import flow, history as H, markdown as M
+from quireframe.operators import flow, history as H, markdown as M, paging
 from quireframe.plans.registry import COMMANDS, RUNS, WORDS, query
 from quireframe.sources import layout, ocr
 from quireframe.sources.tables import load, load_spread
@@ -125,13 +125,31 @@ def wrap_words(spark, sf_dir):
     return flow.wrap_words(d, 60 * 0.6 * 11 + 0.001, 11.0)
 
 
-@query("l02_paginate")
+# Lines of the derived pages as items: headings stay with the next line, every 97th asks for a new page, a header stands over
+# lines 10 to 60, long words have footnotes, and every 53rd line has one that fills more than half a page.
+ITEMS = f"""{WORDS.strip()}, li AS (SELECT doc_id, CAST(i // 12 AS BIGINT) AS item, max(CASE WHEN i // 12 = 0 THEN 18 WHEN (i // 12) % 40 = 30 THEN 15 WHEN (i // 12) % 20 = 10 THEN 14 ELSE 11 END) AS size,
+  11 * count(*) FILTER (length(text) >= 12) + CASE WHEN (i // 12) % 53 = 5 THEN 400 ELSE 0 END AS notes FROM words GROUP BY doc_id, i // 12),
+im AS (SELECT doc_id, item, size * 14 AS h, notes * 10 AS notes, item % 97 = 96 AS brk, size >= 14 AS keep, CASE WHEN item BETWEEN 10 AND 60 THEN 200 ELSE 0 END AS head FROM li),
+iq AS (SELECT *, notes - greatest(0, least(3500, 7000 - h - head) - 60) AS x, sum(notes - greatest(0, least(3500, 7000 - h - head) - 60)) OVER (PARTITION BY doc_id ORDER BY item) AS s FROM im),
+il AS (SELECT *, s + greatest(0, max(-s) OVER (PARTITION BY doc_id ORDER BY item)) AS o FROM iq),
+ie AS (SELECT doc_id, item, h, brk, keep, CASE WHEN item = 0 THEN 0 ELSE head END AS head, notes + coalesce(lag(o) OVER (PARTITION BY doc_id ORDER BY item), 0) - o AS e FROM il),
+it AS (SELECT *, h + e + CASE WHEN keep THEN coalesce(lead(h + e) OVER w, 0) ELSE 0 END AS need, (e > 0 OR keep AND coalesce(lead(e) OVER w, 0) > 0)::INT AS seen,
+  coalesce(sum(h + e) OVER w0, 0) AS p, coalesce(sum(e) OVER w0, 0) AS q, coalesce(sum((e > 0)::INT) OVER w0, 0) AS c FROM ie WINDOW w AS (PARTITION BY doc_id ORDER BY item), w0 AS (PARTITION BY doc_id ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(
+    "l02_paginate",
+    f"""WITH RECURSIVE {ITEMS}, pg(doc_id, page, a) AS (SELECT DISTINCT doc_id, 0, 0::BIGINT FROM it UNION ALL
+  SELECT pg.doc_id, pg.page + 1, min(k.item) FROM pg JOIN it s ON s.doc_id = pg.doc_id AND s.item = pg.a JOIN it k ON k.doc_id = pg.doc_id AND k.item > pg.a AND k.item <= pg.a + 50
+  WHERE k.brk OR k.p + k.need - s.p + s.head + CASE WHEN k.c > s.c OR k.seen > 0 THEN 60 ELSE 0 END > 7000 OR ((k.c > s.c OR k.seen > 0) AND k.q + k.e - s.q + 60 > 3500) GROUP BY pg.doc_id, pg.page, pg.a)
+SELECT it.doc_id, CAST(it.item AS INTEGER) AS item, max(page)::INTEGER AS page FROM it JOIN pg ON pg.doc_id = it.doc_id AND pg.a <= it.item GROUP BY it.doc_id, it.item""",
+)
 def paginate(spark, sf_dir):
-    """Lines of the derived pages as items: headings stay with the next line, every 97th asks for a new page, a header stands over lines 10..60."""
-    ls = layout.doc_lines(load_spread(spark, sf_dir, "documents", "doc_id"))
-    it = F.struct("line", (F.col("size_pt") * 1.4).alias("height"), (F.col("line") % 97 == 96).alias("page_break"), (F.col("size_pt") >= 14).alias("keep_next"), F.when(F.col("line").between(10, 60), 20.0).otherwise(0.0).alias("header"))
-    docs = ls.groupBy("doc_id").agg(F.array_sort(F.collect_list(it)).alias("items"))
-    return flow.paginate(docs, 700.0)
+    ls = layout.doc_lines(load(spark, sf_dir, "documents"))
+    line = F.col("line")
+    notes = F.size(F.filter("words", lambda w: F.length(w) >= 12)) * 11.0 + F.when(line % 53 == 5, 400.0).otherwise(0.0)
+    it = ls.select("doc_id", line.alias("item"), (F.col("size_pt") * 1.4).alias("height"), (line % 97 == 96).alias("page_break"), (F.col("size_pt") >= 14).alias("keep_next"), F.when(line.between(10, 60), 20.0).otherwise(0.0).alias("header"), notes.alias("notes"))
+    return paging.paginate(it, 700.0, notes_gap_pt=6.0)
 
 
 # --- OCR ------------------------------------------------------------------------------------------------------------

@@ -261,7 +261,7 @@ def test_logical_text_of_a_hebrew_line(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_wrap_and_paginate_brute_force(spark, seed):
+def test_wrap_brute_force(spark, seed):
     rng = random.Random(seed)
     words = ["x" * rng.choice([1, 3, 5, 9, 27]) for _ in range(60)]
     cap, lines, cur = 10, [], ""
@@ -277,17 +277,6 @@ def test_wrap_and_paginate_brute_force(spark, seed):
     df = spark.createDataFrame([(1, words)], "doc_id long, words array<string>")
     assert [r["text"] for r in flow.wrap_words(df, 60.0, 10.0).orderBy("line_no").collect()] == lines
 
-    items = [(rng.uniform(5, 30), rng.random() < 0.05, rng.random() < 0.2, rng.choice([0.0, 8.0])) for _ in range(80)]
-    page, used, want = 0, 0.0, []
-    for k, (h, brk, keep, head) in enumerate(items):
-        need = h + (items[k + 1][0] if keep and k + 1 < len(items) else 0)
-        if used > 0 and (brk or used + need > 100):
-            page, used = page + 1, head
-        used += h
-        want.append(page)
-    df = spark.createDataFrame([(1, items)], "doc_id long, items array<struct<height:double,page_break:boolean,keep_next:boolean,header:double>>")
-    assert [r["page"] for r in flow.paginate(df, 100.0).orderBy("item").collect()] == want
-
 
 def test_transitive_footnotes(spark):
     refs = spark.createDataFrame([(1, 0, 5, "b"), (1, 0, 9, "a"), (1, 0, 9, "zz")], "doc_id long, chunk int, pos int, note_id string")
