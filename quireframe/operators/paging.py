@@ -34,7 +34,7 @@ def _measured(items: DataFrame, height: int, gap: int, most: int) -> DataFrame:
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if has(c) else F.lit(False)
     d = items.select(
         "doc_id", F.col("item").cast("long").alias("item"), F.floor(F.col("item") / CHUNK).cast("long").alias("_chunk"), F.greatest(unit("height"), F.lit(0)).alias("h"),
-        (F.greatest(unit("header"), F.lit(0)) if has("header") else F.lit(0).cast("long")).alias("head"), (F.greatest(unit("notes"), F.lit(0)) if has("notes") else F.lit(0).cast("long")).alias("e"), flag("page_break").alias("brk"), flag("keep_next").alias("keep"),
+        F.greatest(unit("need" if has("need") else "height"), unit("height") - height, F.lit(0)).alias("need"), (F.greatest(unit("header"), F.lit(0)) if has("header") else F.lit(0).cast("long")).alias("head"), (F.greatest(unit("notes"), F.lit(0)) if has("notes") else F.lit(0).cast("long")).alias("e"), flag("page_break").alias("brk"), flag("keep_next").alias("keep"),
     )
     keys, order = ["doc_id"], ["item"]
     if has("notes"):
@@ -45,24 +45,23 @@ def _measured(items: DataFrame, height: int, gap: int, most: int) -> DataFrame:
         left = F.col("_s") + F.greatest(F.col("_m"), F.lit(0))
         before = F.col("_s") - F.col("_x") + F.greatest(F.col("_d"), F.lit(0))
         d = d.withColumn("e", F.col("e") + before - left).drop("_x", "_s", "_m", "_d")
-    d = scale.lag(d, keys, "_chunk", order, {"_h": "h", "_e": "e"}, back=False)
+    d = scale.lag(d, keys, "_chunk", order, {"_h": "need", "_e": "e"}, back=False)
     kept = F.col("keep") & F.col("_h").isNotNull()
-    more = lambda c, n: F.col(c) + F.when(kept, F.col(n)).otherwise(0)
-    d = d.withColumn("need", more("h", "_h") + more("e", "_e")).withColumn("seen", F.greatest(F.signum("e"), F.when(kept, F.signum("_e")).otherwise(0)).cast("long"))
+    d = d.withColumn("need", F.col("need") + F.col("e") + F.when(kept, F.col("h") - F.col("need") + F.col("_h") + F.col("_e")).otherwise(0)).withColumn("seen", F.greatest(F.signum("e"), F.when(kept, F.signum("_e")).otherwise(0)).cast("long"))
     d = d.drop("keep", "_h", "_e")
     for out, value in (("p", F.col("h") + F.col("e")), ("q", F.col("e")), ("c", F.signum("e").cast("long"))):
         d = scale.running_sum(d, keys, "_chunk", order, value, out, exclusive=True)
     return d
 
 
-def _stretches(items: DataFrame, height: int) -> DataFrame:
-    """doc_id, stretch, own and following items in order: each stretch with the items of the page after its end."""
+def _stretches(items: DataFrame, height: int, reach: int) -> DataFrame:
+    """doc_id, stretch, own and following items in order: each stretch with the items up to ``reach`` beyond its end and one more."""
     span = STRETCH * height
     d = scale.lag(items, ["doc_id"], "_chunk", ["item"], {"_p": "p"})
     at = lambda c: F.floor(F.col(c) / span).cast("long")
-    early = lambda c: F.greatest(F.floor((F.col(c) - height) / span), F.lit(0)).cast("long")
-    homes = F.array_distinct(F.array(at("p"), early("p"), F.coalesce(at("_p"), at("p")), F.coalesce(early("_p"), at("p"))))
-    d = d.withColumn("stretch", F.explode(homes)).withColumn("own", F.col("stretch") == at("p"))
+    early = lambda c: F.greatest(F.floor((F.col(c) - reach) / span), F.lit(0)).cast("long")
+    homes = lambda c: F.sequence(early(c), at(c))
+    d = d.withColumn("stretch", F.explode(F.array_distinct(F.concat(homes("p"), F.coalesce(homes("_p"), F.array().cast("array<bigint>")))))).withColumn("own", F.col("stretch") == at("p"))
     row = F.struct("item", "h", "e", "head", "brk", "need", "seen", "p", "q", "c", "own", at("p").alias("home"))
     # a stretch holds about STRETCH + 1 pages of material, whatever the document
     return d.groupBy("doc_id", "stretch").agg(F.array_sort(F.collect_list(row)).alias("items"))
@@ -120,7 +119,7 @@ class Flow:
 JUMP = "item long, to long, stretch long, pages long"
 
 
-def _jumps(height: int, gap: int, most: int):
+def _jumps(height: int, gap: int, most: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = Flow(batch.column("items"), height, gap, most)
@@ -129,7 +128,7 @@ def _jumps(height: int, gap: int, most: int):
             owned = np.flatnonzero(f.own)
             first[owned[np.unique(f.group[owned], return_index=True)[1]]] = True
             # a page that another stretch leads to begins on the first page of this one, or with its first item
-            some = np.flatnonzero(f.own & (to >= 0) & (first | (f.p <= f.home * STRETCH * height + height)))
+            some = np.flatnonzero(f.own & (to >= 0) & (first | (f.p <= f.home * STRETCH * height + reach)))
             doc = batch.column("doc_id").take(pa.array(f.group[some]))
             yield pa.RecordBatch.from_arrays([doc, *(pa.array(x) for x in (f.item[some], f.item[to[some]], f.home[to[some]], pages[some]))], names=["doc_id", "item", "to", "stretch", "pages"])
 
@@ -176,13 +175,15 @@ def paginate(items: DataFrame, height_pt: float, notes_gap_pt: float = 0.0, note
     with the next moves on if both do not fit; a page that begins inside a table takes the header's height first (not the
     first page of all).  ``notes`` is the height of the footnotes an item refers to: they take room on its page, under a
     gap of ``notes_gap_pt``, and no more than ``notes_share`` of the page; what does not fit even on a page of their own
-    goes with the next item.  All columns but doc_id, item and height may be absent; null counts as nothing.  An item that
+    goes with the next item.  ``need`` (at most the height, and less than it by a page at most) is the room an item asks for where it is the last of its
+    page (a word and the blank after it).  All columns but doc_id, item and height may be absent; null counts as nothing.  An item that
     is higher than a page has one to itself.  Items are numbered without gaps or repeats in each document.
     """
     height, gap, most = round(height_pt * UNIT), round(notes_gap_pt * UNIT), round(notes_share * height_pt * UNIT)
     doc = f"doc_id {items.schema['doc_id'].dataType.simpleString()}, "
-    s = checkpointed(_stretches(_measured(items, height, gap, most), height))
-    jumps = s.mapInArrow(_jumps(height, gap, most), doc + JUMP)
+    reach = height * (2 if "need" in items.columns else 1)  # what a page may hold beyond its height: the part of its last item that is not asked for
+    s = checkpointed(_stretches(_measured(items, height, gap, most), height, reach))
+    jumps = s.mapInArrow(_jumps(height, gap, most, reach), doc + JUMP)
     longest = s.agg(F.max("stretch")).first()[0] or 0
     reached = s.where("stretch = 0").select("doc_id", F.lit(0).cast("long").alias("item"), F.lit(0).cast("long").alias("stretch"), F.lit(0).cast("long").alias("page"))
     levels = [checkpointed(jumps)] if longest else []

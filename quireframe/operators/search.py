@@ -98,3 +98,8 @@ def next_hit(matches: DataFrame, cursors: DataFrame, unit: str = "line_id") -> D
     later = (F.col("page_index") > F.col("page_at")) | ((F.col("page_index") == F.col("page_at")) & (F.col(unit) >= F.col("unit_at")))
     g = j.groupBy("doc_id").agg(F.min(F.when(later, here)).alias("_n"), F.min(here).alias("_f"))
     return g.select("doc_id", F.coalesce("_n", "_f").alias("h"), F.col("_n").isNull().alias("wrapped")).select("doc_id", "h.page_index", F.col("h.unit").alias(unit), "h.start", "wrapped")
+
+
+def match_rollup(matches: DataFrame) -> DataFrame:
+    """doc_id, page_index, hits: matches of each page, of each document (page_index null) and of all (both null), in one aggregation."""
+    return matches.rollup("doc_id", "page_index").agg(F.count(F.lit(1)).alias("hits"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireframe.functions import bidi, encoding as E, fonts, geometry as G, links as K, textcols as X
+from quireframe.functions import bidi, encoding as E, fonts, geometry as G, links as K, tables, textcols as X
 from quireframe.plans.registry import LINES, RUNS, WORDS, query
 from quireframe.sources import layout
 from quireframe.sources.assets import saved_assets
@@ -511,3 +511,29 @@ def comment_filter(spark, sf_dir):
     c = load_spread(spark, sf_dir, "conversations", "conv_id")
     parts = [F.col("text"), F.col("role"), F.lit("note")]
     return c.filter(X.comment_matches(F.lit(" User NOTE"), *parts) | X.comment_matches(F.lit("The "), F.col("text"))).select("conv_id", "turn")
+
+
+# --- table functions --------------------------------------------------------------------------------------------------
+
+PAGES_ASKED = """WITH s AS (SELECT o_custkey, o_orderkey, o_orderkey % 30 + 1 AS a, o_custkey % 30 + 1 AS b FROM orders),
+e AS (SELECT *, 0 AS part, a AS p, 0 AS k FROM s UNION ALL SELECT *, 1, unnest(range(least(a, b), greatest(a, b) + 1)), unnest(range(greatest(a, b) - least(a, b) + 1)) FROM s UNION ALL SELECT *, 2, 7, 0 FROM s)"""
+
+
+def _jobs(spark, sf_dir):
+    a, b = (F.col("o_orderkey") % 30 + 1).cast("string"), (F.col("o_custkey") % 30 + 1).cast("string")
+    tables.register(spark)
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id"), F.concat(a, F.lit(", "), b, F.lit(" - "), a, F.lit(",x,, 7")).alias("spec"), F.lit(25).alias("total"))
+
+
+@query("f05_page_range", f"{PAGES_ASKED} SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY min(part * 1000 + k)) - 1 AS INTEGER) AS nth, CAST(p - 1 AS INTEGER) AS page FROM e WHERE p <= 25 GROUP BY o_orderkey, p")
+def page_range(spark, sf_dir):
+    return spark.sql("SELECT o_orderkey, r.nth, r.page FROM {jobs} AS j, LATERAL page_range(j.spec, j.total) AS r", jobs=_jobs(spark, sf_dir))
+
+
+@query(
+    "f05_pages_asked",
+    f"""{PAGES_ASKED}, f AS (SELECT o_custkey, p, min(struct_pack(o := o_orderkey, k := part * 1000 + k)) AS first_at FROM e WHERE p <= 25 GROUP BY o_custkey, p)
+SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY first_at) - 1 AS INTEGER) AS nth, CAST(p - 1 AS INTEGER) AS page FROM f""",
+)
+def pages_asked(spark, sf_dir):
+    return spark.sql("SELECT * FROM pages_asked(TABLE(SELECT doc_id, o_orderkey, spec, total FROM {jobs}) PARTITION BY doc_id ORDER BY o_orderkey)", jobs=_jobs(spark, sf_dir))

@@ -88,6 +88,11 @@ def match_count(spark, sf_dir):
     return inside.unionByName(across).groupBy("doc_id").agg(F.sum("i").alias("inside"), F.sum("x").alias("crossing"))
 
 
+@query("a04_match_rollup", f"WITH {LINES}, {matches_sql('de')} SELECT doc_id, page_index, count(*) AS hits FROM matches GROUP BY ROLLUP (doc_id, page_index)")
+def match_rollup(spark, sf_dir):
+    return Q.match_rollup(Q.find_text(line_units(spark, sf_dir), "de", match_case=True))
+
+
 @query(
     "w13_match_cursor",
     f"""WITH {LINES}, {matches_sql('ch')}, k AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY doc_id) AS n, lead(line_id * 10000 + start) OVER w AS nx, lag(line_id * 10000 + start) OVER w AS pv,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireframe.operators import flow, history as H, markdown as M, paging
+from quireframe.operators import flow, history as H, markdown as M, metrics, paging
 from quireframe.plans.registry import COMMANDS, RUNS, WORDS, query
 from quireframe.sources import layout, ocr
 from quireframe.sources.tables import load, load_spread
@@ -125,6 +125,26 @@ def wrap_words(spark, sf_dir):
     return flow.wrap_words(d, 60 * 0.6 * 11 + 0.001, 11.0)
 
 
+# A proportional font by rule: 0.3 to 0.9 em by code point, 0.6 beyond U+2FFF.  Texts are cut into words of at most 24 characters.
+@query(
+    "f02_metric_wrap",
+    """WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(text, '[^ \\n]{1,24}') AS ws FROM documents), wd AS (SELECT doc_id, unnest(ws) AS text, unnest(range(len(ws))) AS i FROM dw),
+dm AS (SELECT text, list_sum(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 12288 THEN 3 + unicode(c) % 7 ELSE 6 END))::BIGINT AS w FROM (SELECT DISTINCT text FROM wd)),
+w AS (SELECT doc_id, i, w, coalesce(sum(w + 7) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM wd JOIN dm USING (text)),
+ln(doc_id, line_no, a) AS (SELECT DISTINCT doc_id, 0, 0::BIGINT FROM w UNION ALL SELECT l.doc_id, l.line_no + 1, min(k.i) FROM ln l JOIN w s ON s.doc_id = l.doc_id AND s.i = l.a JOIN w k ON k.doc_id = l.doc_id AND k.i > l.a AND k.i <= l.a + 32
+ WHERE k.p + k.w - s.p > 300 GROUP BY l.doc_id, l.line_no, l.a),
+of AS (SELECT w.doc_id, w.i, w.w, max(l.line_no) AS line_no FROM w JOIN ln l ON l.doc_id = w.doc_id AND l.a <= w.i GROUP BY w.doc_id, w.i, w.w)
+SELECT doc_id, line_no::INTEGER AS line_no, min(i)::INTEGER AS first_word, count(*) AS words, sum(w)::BIGINT AS width_pt FROM of GROUP BY doc_id, line_no""",
+)
+def metric_wrap(spark, sf_dir):
+    words = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n]{1,24}"), F.lit(0))).alias("word", "text"))
+    code = F.col("id").cast("int")
+    em = F.concat(F.lit("&#"), code, F.lit(";"))  # names of the glyphs, read as characters below
+    table = spark.range(1, 12288).where("id NOT BETWEEN 55296 AND 57343").select(F.lit("Text").alias("font"), M.decode_entities(em).alias("glyph"), ((3 + F.col("id") % 7) / 10).alias("em"))
+    got = metrics.wrap_measured(words.select("doc_id", "word", F.lit("Text").alias("font"), F.lit(10.0).alias("size"), "text"), table, 300.0)
+    return got.groupBy("doc_id", "line_no").agg(F.min("word").cast("int").alias("first_word"), F.count("*").alias("words"), F.round(F.sum("width")).cast("long").alias("width_pt"))
+
+
 # Lines of the derived pages as items: headings stay with the next line, every 97th asks for a new page, a header stands over
 # lines 10 to 60, long words have footnotes, and every 53rd line has one that fills more than half a page.
 ITEMS = f"""{WORDS.strip()}, li AS (SELECT doc_id, CAST(i // 12 AS BIGINT) AS item, max(CASE WHEN i // 12 = 0 THEN 18 WHEN (i // 12) % 40 = 30 THEN 15 WHEN (i // 12) % 20 = 10 THEN 14 ELSE 11 END) AS size,

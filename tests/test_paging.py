@@ -62,7 +62,7 @@ def test_pages_without_optional_columns_and_of_nothing(spark):
 def test_a_long_document_is_spread(spark):
     """No task and no row holds a document: stretches stay of one size however long it is."""
     df = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("item"), F.lit(10.0).alias("height"))
-    s = paging._stretches(paging._measured(df, 100_000, 0, 50_000), 100_000)
+    s = paging._stretches(paging._measured(df, 100_000, 0, 50_000), 100_000, 100_000)
     assert s.agg(F.max(F.size("items"))).first()[0] <= 10 * (paging.STRETCH + 1) + 2
     assert s.count() == 20_000 // (10 * paging.STRETCH)
     assert paging.paginate(df, 100.0).where("page <> item div 10").count() == 0
