@@ -1,17 +1,17 @@
 """Exact top-k inner products by ball trees, one per shard of candidates.
 
-Candidates are dealt into shards of about ``SHARD`` rows, queries into blocks of ``BLOCK``; every block meets every shard
-once, as two bounded tables.  A shard's ball tree (centre, radius, halves by the widest direction) is searched by branch
-and bound for all queries of the block at once: a node's bound for a query is ``q . centre + |q| radius``, the children
-with the higher bounds come first, and a node is left out for the queries whose k-th score so far is above its bound.
-The k-th score is shared: the first shard is searched first, and what it finds for a query is where the search of every
-other shard starts.
+Candidates are dealt into shards of about ``SHARD`` rows.  A shard and its ball tree (centre, radius, halves by the widest
+direction) are built once, and all queries stream past them (``shards.meet``), so no candidate is copied.  The tree is
+searched by branch and bound for a batch of queries at once: a node's bound for a query is ``q . centre + |q| radius``, the
+children with the higher bounds come first, and a node is left out for the queries whose k-th score so far is above its
+bound.  The k-th score is shared: the first shard is searched first, and what it finds for a query is where the search of
+every other shard starts.
 
 Components are turned into integers, ``floor(256 x)``, so scores are exact: products are summed in doubles while no sum
 can pass 2^53, in 64-bit integers up to 2^63, and beyond in Python's integers, held to the range of a long.
 
 Defined cases: rows with a null id, a null or non-finite vector take no part; only vectors of one length meet; rows that
-share an id count once, with their smallest vector; fewer than k candidates give fewer rows; ties go to the smaller id;
+share an id are rows of their own, each a candidate of the others and, where the id asks, a query; fewer than k candidates give fewer rows; ties go to the smaller id;
 an empty table gives no rows; further columns are ignored.
 """
 
@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireframe.llm import shards
 from quireframe.llm.tables import stored
 
-SHARD, BLOCK, LEAF = 8192, 1024, 256
+SHARD, LEAF = 8192, 256
 LONG = 2**63 - 1
 
 
@@ -64,9 +65,18 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.array(exact, np.int64).reshape(q.shape[0], v.shape[0])
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Ball:
+    """A shard's rows and the tree over them."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.rid, self.ids = table.column("rid").to_numpy(), table.column("vec_id").to_numpy()
+        self.v = shards.matrix(table.column("v"), table.num_rows)
+        self.root = build(self.v.astype(float), np.arange(self.ids.size))
+
+
+def search(q_rid: np.ndarray, q: np.ndarray, ball: Ball, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of each query's k best candidates at least; ``floor``: k-th scores known so far (lowest long: none)."""
-    vf, qf = v.astype(float), q.astype(float)
+    ids, v, qf = ball.ids, ball.v, q.astype(float)
     norm = np.sqrt((qf**2).sum(1))
     best = np.full((q.shape[0], k), -LONG - 1, np.int64)
     best_id = np.full((q.shape[0], k), LONG, np.int64)
@@ -79,7 +89,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
             return
         if node.halves is None:
             s = products(q[rows], v[node.rows])
-            own = q_ids[rows][:, None] == ids[node.rows][None, :]
+            own = q_rid[rows][:, None] == ball.rid[node.rows][None, :]
             s_all = np.concatenate([best[rows], s], 1)
             i_all = np.concatenate([best_id[rows], np.broadcast_to(ids[node.rows], s.shape)], 1)
             s_all[:, k:][own], i_all[:, k:][own] = -LONG - 1, LONG
@@ -97,63 +107,41 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
         for i in (0, 1) if bounds[0].sum() >= bounds[1].sum() else (1, 0):
             visit(node.halves[i], rows, bounds[i])
 
-    if ids.size and q.shape[0]:
-        root = build(vf, np.arange(ids.size))
-        visit(root, np.arange(q.shape[0]), qf @ root.centre + norm * root.radius)
+    visit(ball.root, np.arange(q.shape[0]), qf @ ball.root.centre + norm * ball.root.radius)
     row, rank = np.nonzero(best_id != LONG)
     return row, best_id[row, rank], best[row, rank]
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, dims): integer vectors, one for each id."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where("vec_id IS NOT NULL AND e IS NOT NULL")
-    v = v.where(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    # floors beyond a long cannot be products within one either: they are held to its range
-    v = v.select("vec_id", F.transform("e", lambda x: F.floor(F.least(F.greatest(x * 256, F.lit(-9.2e18)), F.lit(9.2e18))).cast("long")).alias("v"))
-    return v.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
-
+def _scan(k: int):
+    def scan(ball: Ball, asked: pa.RecordBatch) -> pa.RecordBatch:
+        rid, q = asked.column("rid"), shards.matrix(asked.column("v"), asked.num_rows)
+        row, found, score = search(rid.to_numpy(), q, ball, k, asked.column("floor").to_numpy())
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([rid.take(at), asked.column("vec_id").take(at), pa.array(found), pa.array(score)], names=["rid", "query_id", "vec_id", "score"])
 
-def _rows(table: pa.Table) -> np.ndarray:
-    flat = table.column("v").combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return scan
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for every vector whose id is divisible by ``every``, against all others."""
-    v = stored(usable(vectors), "vectors")
-    sizes = v.groupBy("dims").agg(F.count("*").alias("rows"), F.count_if(F.col("vec_id") % every == 0).alias("queries"))
-    # broadcast: one row for each length of vector, so no more rows than the longest vector has components
-    v = v.join(F.broadcast(sizes.select("dims", F.ceil(F.col("rows") / SHARD).cast("int").alias("shards"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("blocks"))), "dims")
-    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    cands = v.where("blocks > 0").select("dims", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
-    queries = v.where(F.col("vec_id") % every == 0).select("dims", F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.col("blocks")).cast("int").alias("block"), "shards", "vec_id", "v")
-    queries = stored(queries, "queries")
-    out = "query_id long, vec_id long, score long"
-
-    def meet(queries, cands):
-        if not queries.num_rows or not cands.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        q_ids = queries.column("vec_id").to_numpy()
-        row, found, score = search(q_ids, _rows(queries), cands.column("vec_id").to_numpy(), _rows(cands), k, queries.column("floor").to_numpy())
-        return pa.table({"query_id": q_ids[row], "vec_id": found, "score": score})
-
-    keys = ["dims", "shard", "block"]
-    start = queries.withColumn("shard", F.lit(0)).withColumn("floor", F.lit(-LONG - 1))
-    first = start.groupBy(keys).cogroup(cands.where("shard = 0").groupBy(keys)).applyInArrow(meet, out)
-    first = stored(first, "first-shard")
-    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("s").alias("known"))
-    rest = queries.join(floors, "vec_id", "left").where("shards > 1").withColumn("floor", F.coalesce("known", F.lit(-LONG - 1))).withColumn("shard", F.explode(F.sequence(F.lit(1), F.col("shards") - 1))).drop("known")
-    other = rest.groupBy(keys).cogroup(cands.where("shard > 0").groupBy(keys)).applyInArrow(meet, out)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    v, sizes, count = shards.dealt(shards.integers(vectors), SHARD)
+    queries = v.where(F.col("vec_id") % every == 0).drop("shard").join(F.broadcast(sizes), "dims")  # one row for each length of vector
+    out = "rid long, query_id long, vec_id long, score long"
+    opening = queries.withColumn("shard", F.col("first")).drop("first", "shards").withColumn("floor", F.lit(-LONG - 1))
+    first = stored(shards.meet(v.join(F.broadcast(sizes.select(F.col("first").alias("shard"))), "shard"), opening, count, Ball, _scan(k), out), "first-shard")
+    floors = first.groupBy("rid").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).select("rid", F.col("s").alias("known"))
+    rest = queries.where("shards > 1").join(floors, "rid", "left").withColumn("floor", F.coalesce("known", F.lit(-LONG - 1)))
+    rest = rest.withColumn("shard", F.explode(F.sequence(F.col("first") + 1, F.col("first") + F.col("shards") - 1))).drop("first", "shards", "known")
+    other = shards.meet(v, rest, count, Ball, _scan(k), out)
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id"))
     return first.union(other).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def sql(every: int = 50, k: int = 5) -> str:
     """The same rows in DuckDB."""
     return f"""
-WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
-r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, c.rid AS other, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.rid <> q.rid AND len(c.v) = len(q.v)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other))::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

@@ -314,6 +314,25 @@ def test_top_k(spark, monkeypatch):
     assert ball_tree.top_k(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("shard", [8192, 3])
+def test_top_k_keeps_every_row_of_an_id(spark, monkeypatch, shard):
+    monkeypatch.setattr(ball_tree, "SHARD", shard)
+    rng = random.Random(1)
+    vecs = [(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [9.0, 0.0]), (2, [3.0, 0.0])] + [(rng.choice([50, 51, 52, 100]), [float(rng.randint(-3, 3)), 1.0]) for _ in range(40)]
+    got = sorted(tuple(r) for r in ball_tree.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(3)).collect())
+    want = []
+    for a, (i, v) in enumerate(vecs):
+        if i % 50 == 0:
+            s = sorted((-int(65536 * sum(x * y for x, y in zip(v, w))), j) for b, (j, w) in enumerate(vecs) if b != a)[:5]
+            want += [(i, r, j, -x) for r, (x, j) in enumerate(s, 1)]
+    assert got == sorted(want)
+    assert got[0] == (0, 1, 1, 589824)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", vecs)
+    assert got == sorted(con.sql(ball_tree.sql()).fetchall())
+
+
 def test_quality_rules(spark, docs, rows, nothing):
     model = quality_rules.train(docs, labels(spark, rows))
     got = by_id(quality_rules.judge(docs, model))
