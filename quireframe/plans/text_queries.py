@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireframe.operators import flow, history as H, markdown as M, metrics, paging
+from quireframe.operators import blocks, flow, history as H, markdown as M, metrics, paging
 from quireframe.plans.registry import COMMANDS, RUNS, WORDS, query
 from quireframe.sources import layout, ocr
 from quireframe.sources.tables import load, load_spread
@@ -59,6 +59,19 @@ def md_blocks(spark, sf_dir):
     return M.md_blocks(md_docs(spark, sf_dir)).select("doc_id", "line_no", "kind")
 
 
+#: What stands before the lines of a text, in turn: every line of the text is kept whole.
+MARKS = ["", "# ", "", "- [x] ", "  * ", "     1. ", "", "> ", "> > ", "> - ", "", "> ```", "> ", "", "    ", "- ", "  ", "", "| a | b |\n|---|:-:|\n| c | ", "", "***\n", "", "===\n", "```py\n", "", "```\n", "> > > ", "1) ", "\n2) ", "[^n]: ", "  ", "~~~~ "]
+
+
+@query("x10_md_tree")
+def md_tree(spark, sf_dir):
+    """The block tree of every text as it is, and of the same lines behind marks of all kinds."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = F.array(*map(F.lit, MARKS))
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda s, i: F.concat(F.get(marks, i % len(MARKS)), s)), "\n")
+    return blocks.block_tree(d).withColumn("marked", F.lit(False)).unionByName(blocks.block_tree(d.withColumn("text", marked)).withColumn("marked", F.lit(True)))
+
+
 @query("x10_md_headings", f"WITH {MD} SELECT doc_id, k AS line_no, CASE WHEN r = 0 THEN 1 ELSE 2 END AS level, trim(t) AS title FROM md WHERE r IN (0, 8)")
 def md_headings(spark, sf_dir):
     b = M.md_blocks(md_docs(spark, sf_dir)).filter("kind = 'heading'")
