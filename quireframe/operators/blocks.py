@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quireframe.functions.textcols import JS_SPACE, js_trim
-from quireframe.operators.markdown import FENCE, HEADING, QUOTE, RULE, _cells
+from quireframe.operators.markdown import FENCE, HEADING, NOTE_MORE, QUOTE, RULE, _cells
 from quireframe.session import checkpointed
 from quireframe.sources.layout import let
 
@@ -27,7 +27,6 @@ DEPTH, NESTED = 30, 3
 ITEM = r"^( {0,20})([-*+]|([0-9]{1,9})[.)]) +(.*)$"
 INDENTED = r"^( {4}|\t)"
 NOTE_DEF = r"^ {0,3}\[\^([^\]\s]{1,64})\]:[ \t]*(.*)$"
-NOTE_MORE = r"^( {2,}|\t)\S"
 REF_DEF = r"""^ {0,3}\[([^^\]\n][^\]\n]{0,199})\]:[ \t]*(<[^>\n]*>|\S+)(?:[ \t]+(?:"[^"]*"|'[^']*'|\([^)]*\)))?[ \t]*$"""
 EQUALS, DASHES = r"^ {0,3}=+ *$", r"^ {0,3}-+ *$"
 TASK = r"(?s)^\[( |x|X)\](?: +|$)(.*)$"

@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quireframe.operators import scale
 
@@ -29,14 +29,37 @@ def coalesce_commands(commands: DataFrame) -> DataFrame:
 
 
 def operation_lock(events: DataFrame) -> DataFrame:
-    """events(doc_id, seq, op): op is lock, unlock or any command; says which commands and locks a held lock turns away.
+    """events(doc_id, seq, op, owner): op is lock, unlock, undo, redo or any command; adds ``holder`` (who holds the lock before the event) and ``refused``.
 
-    Whether a lock is held is the last lock or unlock before the event, a running maximum.
+    A lock is refused while one is held, and only its owner's unlock opens it.  While it is held, commands of all others
+    and every undo and redo are refused; the owner's own commands pass.  Without an owner column all events are one owner's.
+    Each (document, chunk) is walked in its own task from the holder that it begins with.
     """
-    mark = F.when(F.col("op").isin("lock", "unlock"), F.struct("seq", "op"))
-    e = scale.running_max(_chunked(events), ["doc_id"], "_chunk", ["seq"], {"_m": mark}, exclusive=True)
-    held = F.coalesce(F.col("_m.op") == "lock", F.lit(False))
-    return e.withColumn("refused", held & (F.col("op") != "unlock")).drop("_m", "_chunk")
+    e = events if "owner" in events.columns else events.withColumn("owner", F.lit(None).cast("string"))
+    e = e.withColumn("chunk", F.floor(F.col("seq") / CHUNK).cast("long"))
+    e = e.join(_held(e).where("holder IS NOT NULL").withColumnRenamed("holder", "_from"), ["doc_id", "chunk"], "left").repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "seq")
+    out = T.StructType([*events.schema.fields, T.StructField("holder", T.StringType()), T.StructField("refused", T.BooleanType())])
+    return e.select(*events.columns, *([] if "owner" in events.columns else ["owner"]), "chunk", "_from").mapInPandas(_walk_locks(events.columns), out)
+
+
+def _walk_locks(columns: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, holder = None, None
+        for pdf in batches:
+            before, refused = [], []
+            for doc, chunk, start, op, owner in zip(pdf["doc_id"], pdf["chunk"], pdf["_from"], pdf["op"], pdf["owner"]):
+                if (doc, chunk) != place:
+                    place, holder = (doc, chunk), tuple(json.loads(start)) if isinstance(start, str) else None
+                before.append(holder and holder[0])
+                own = holder == (owner,)
+                refused.append(holder is not None and (op in ("lock", "undo", "redo") or not own) or op == "unlock" and not own)
+                if op == "lock" and holder is None:
+                    holder = (owner,)
+                elif op == "unlock" and own:
+                    holder = None
+            yield pdf[columns].assign(holder=before, refused=refused)
+
+    return run
 
 
 class Stacks:
@@ -235,6 +258,13 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame(out + rows())
 
 
+def _held(events: DataFrame) -> DataFrame:
+    """(doc_id, chunk, holder): who holds the lock where each chunk of events(doc_id, chunk, seq, op, owner) begins."""
+    locks = F.sort_array(F.collect_list(F.when(F.col("op").isin("lock", "unlock"), F.struct("seq", "op", "owner"))))
+    locks = events.groupBy("doc_id", "chunk").agg(locks.alias("locks")).mapInPandas(_lock_sums, "doc_id long, chunk long, sums string")
+    return locks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk").mapInPandas(_lock_merge, "doc_id long, chunk long, holder string")
+
+
 def undo_redo_state(commands: DataFrame) -> DataFrame:
     """The commands still applied at the end of each document's history, in order, and how many could be redone.
 
@@ -245,10 +275,7 @@ def undo_redo_state(commands: DataFrame) -> DataFrame:
     """
     extra = [F.col(c) if c in commands.columns else F.lit(None).cast("string").alias(c) for c in ("coalesce_key", "owner")]
     c = commands.select("doc_id", F.floor(F.col("seq") / CHUNK).cast("long").alias("chunk"), "seq", "op", *extra)
-    locks = F.sort_array(F.collect_list(F.when(F.col("op").isin("lock", "unlock"), F.struct("seq", "op", "owner"))))
-    locks = c.groupBy("doc_id", "chunk").agg(locks.alias("locks")).mapInPandas(_lock_sums, "doc_id long, chunk long, sums string")
-    held = locks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk").mapInPandas(_lock_merge, "doc_id long, chunk long, holder string")
-    c = c.join(held.where("holder IS NOT NULL"), ["doc_id", "chunk"], "left").repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "seq")
+    c = c.join(_held(c).where("holder IS NOT NULL"), ["doc_id", "chunk"], "left").repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "seq")
     steps = c.select("doc_id", "chunk", "seq", "op", "coalesce_key", "owner", "holder").mapInPandas(_fold, STEPS)
     left = steps.drop("seqs").repartition("doc_id").sortWithinPartitions("doc_id", "chunk", "step").mapInPandas(_merge, "doc_id long, chunk long, step int, left int, start long, redo_depth int")
     rows = steps.select("doc_id", "chunk", "step", "seqs").join(left, ["doc_id", "chunk", "step"])

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quireframe.functions.textcols import js_trim
+
 # Line patterns.
 FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
 RULE = r"^ {0,3}([-*_])( *\1){2,} *$"
@@ -16,6 +18,7 @@ QUOTE = r"^ {0,3}>( ?)"
 ITEM = r"^( *)([-*+]|[0-9]{1,9}[.)]) +(.*)$"
 SETEXT = r"^ {0,3}(=+|-+) *$"
 NOTE_DEF = r"^ {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$"
+NOTE_MORE = r"^( {2,}|\t)\S"
 REF_DEF = r"""^ {0,3}\[([^\]\n]+)\]:[ \t]*(<[^>\n]*>|\S+)(?:[ \t]+(?:"[^"]*"|'[^']*'|\([^)]*\)))?[ \t]*$"""
 # A bare destination may hold brackets in pairs, three deep.
 DEST = r"(?:[^\s()<>]|\((?:[^\s()<>]|\((?:[^\s()<>]|\([^\s()<>]*\))*\))*\))*"
@@ -177,23 +180,22 @@ def md_links(docs: DataFrame, text: str = "text") -> DataFrame:
 def md_definitions(docs: DataFrame, text: str = "text") -> DataFrame:
     """Link definitions and note definitions outside code: doc_id, line_no, kind (ref, note), label, value.
 
-    A note goes on over the lines that follow it with an indent, blank lines between them included.
+    A note goes on over the lines right after it that begin with two blanks or a tab and have ink next; their trimmed texts
+    follow after one blank each, and what looks like a definition there is part of the note.
     """
     d = with_lines(docs, text)
-    starts = f"l rlike {_sql(NOTE_DEF)} or l rlike {_sql(REF_DEF)}"
-    # where a note's text can go no further: a line with ink that is not indented
-    d = d.withColumn("_stops", F.expr("filter(transform(lines, (l, i) -> if(l rlike '^(?! {4}|\\t| {2,3}[^ ]).*[^ \\t]', i, null)), i -> i is not null)"))
-    row = F.expr(f"""filter(transform(lines, (l, i) -> if(({starts}) and not exists(fenced, s -> i >= s.from and i <= s.to),
-        struct(i as line_no, l as line, coalesce(get(filter(_stops, s -> s > i), 0), size(lines)) as stop), null)), r -> r is not null)""")
-    d = d.select("doc_id", "lines", F.explode(row).alias("r")).select("doc_id", "r.*", F.expr("slice(lines, r.line_no + 2, greatest(r.stop - r.line_no - 1, 0))").alias("more"))
+    # the lines that a note cannot take in; between two of them only the first may begin something
+    d = d.withColumn("_stops", F.expr(f"filter(transform(lines, (l, i) -> if(l rlike {_sql(NOTE_MORE)}, null, i)), i -> i is not null)"))
+    row = F.expr(f"""filter(transform(lines, (l, i) -> if((l rlike {_sql(NOTE_DEF)} or l rlike {_sql(REF_DEF)}) and not exists(fenced, s -> i >= s.from and i <= s.to),
+        struct(i as line_no, l as line, l rlike {_sql(NOTE_DEF)} as note, l rlike {_sql(NOTE_MORE)} as more, coalesce(array_min(filter(_stops, s -> s > i)), size(lines)) as stop), null)), r -> r is not null)""")
+    d = d.withColumn("_rows", row).select("doc_id", "lines", F.explode(F.expr("filter(_rows, r -> not r.more or not exists(_rows, q -> q.note and q.line_no < r.line_no and r.line_no < q.stop))")).alias("r"))
+    d = d.select("doc_id", "r.*", F.expr("slice(lines, r.line_no + 2, greatest(r.stop - r.line_no - 1, 0))").alias("rest"))
     c = F.col("line")
-    note = c.rlike(NOTE_DEF)
-    rest = F.rtrim(F.array_join(F.transform("more", lambda l: F.regexp_replace(l, r"^(?: {1,4}|\t)", "")), "\n"))
-    value = F.trim(F.concat(F.trim(F.regexp_extract(c, NOTE_DEF, 2)), F.when(F.trim(rest) != "", F.concat(F.lit("\n"), F.regexp_replace(rest, "\\n+$", ""))).otherwise("")))
+    value = F.trim(F.array_join(F.concat(F.array(F.regexp_extract(c, NOTE_DEF, 2)), F.transform("rest", js_trim)), " "))
     return d.select(
-        "doc_id", "line_no", F.when(note, "note").otherwise("ref").alias("kind"),
-        F.when(note, F.regexp_extract(c, NOTE_DEF, 1)).otherwise(_label(F.regexp_extract(c, REF_DEF, 1))).alias("label"),
-        F.when(note, value).otherwise(F.regexp_replace(F.regexp_extract(c, REF_DEF, 2), "^<|>$", "")).alias("value"),
+        "doc_id", "line_no", F.when(F.col("note"), "note").otherwise("ref").alias("kind"),
+        F.when(F.col("note"), F.regexp_extract(c, NOTE_DEF, 1)).otherwise(_label(F.regexp_extract(c, REF_DEF, 1))).alias("label"),
+        F.when(F.col("note"), value).otherwise(F.regexp_replace(F.regexp_extract(c, REF_DEF, 2), "^<|>$", "")).alias("value"),
     )
 
 

@@ -252,15 +252,18 @@ def undo_redo_state(spark, sf_dir):
 
 @query(
     "q02_operation_lock",
-    """WITH e AS (SELECT user_id AS doc_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'lock' WHEN 'purchase' THEN 'unlock' ELSE 'do' END AS op FROM events),
-m AS (SELECT *, last_value(CASE WHEN op <> 'do' THEN op END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lm FROM e)
-SELECT doc_id, count(*) FILTER (WHERE op = 'do' AND lm = 'lock') AS dropped, count(*) FILTER (WHERE op = 'lock' AND lm = 'lock') AS second_locks, count(*) AS n FROM m GROUP BY doc_id""",
+    """WITH RECURSIVE e AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'view' THEN 'lock' WHEN 'purchase' THEN 'unlock' WHEN 'error' THEN 'undo' ELSE 'do' END AS op, event_id % 2 AS owner FROM events),
+h(doc_id, k, holder) AS (SELECT DISTINCT doc_id, 1::BIGINT, -1::BIGINT FROM e UNION ALL SELECT h.doc_id, h.k + 1, CASE WHEN op = 'lock' AND holder < 0 THEN owner WHEN op = 'unlock' AND holder = owner THEN -1 ELSE holder END FROM h JOIN e ON e.doc_id = h.doc_id AND e.k = h.k)
+SELECT e.doc_id, count(*) FILTER (op = 'do' AND holder >= 0 AND holder <> owner) AS dropped, count(*) FILTER (op = 'do' AND holder = owner) AS passed, count(*) FILTER (op = 'undo' AND holder >= 0) AS undos,
+  count(*) FILTER (op = 'lock' AND holder >= 0) AS second_locks, count(*) FILTER (op = 'unlock' AND holder <> owner) AS vain_unlocks, count(*) AS n FROM e JOIN h ON e.doc_id = h.doc_id AND e.k = h.k GROUP BY e.doc_id""",
 )
 def operation_lock(spark, sf_dir):
+    """Two owners in turn on each document; recursive SQL follows the holder event by event."""
     e = load(spark, sf_dir, "events")
-    op = F.when(F.col("event_type") == "view", "lock").when(F.col("event_type") == "purchase", "unlock").otherwise("do")
-    r = H.operation_lock(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), op.alias("op")))
-    return r.groupBy("doc_id").agg(F.count_if(F.col("refused") & (F.col("op") == "do")).alias("dropped"), F.count_if(F.col("refused") & (F.col("op") == "lock")).alias("second_locks"), F.count(F.lit(1)).alias("n"))
+    op = F.when(F.col("event_type") == "view", "lock").when(F.col("event_type") == "purchase", "unlock").when(F.col("event_type") == "error", "undo").otherwise("do")
+    r = H.operation_lock(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 2).cast("string").alias("owner")))
+    n = lambda kind, refused=True: F.count_if((F.col("op") == kind) & (F.col("refused") == refused))
+    return r.groupBy("doc_id").agg(n("do").alias("dropped"), F.count_if((F.col("op") == "do") & (F.col("holder") == F.col("owner"))).alias("passed"), n("undo").alias("undos"), n("lock").alias("second_locks"), n("unlock").alias("vain_unlocks"), F.count(F.lit(1)).alias("n"))
 
 
 @query("q03_incremental_search", "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_index, CAST((length(text) - length(replace(text, 'en', ''))) // 2 AS BIGINT) AS hits FROM conversations WHERE contains(text, 'en')")
@@ -292,6 +295,14 @@ def progress_metrics(spark, sf_dir):
     return b.join(t, "doc_id")
 
 
+@query("q05_observed_progress", f"WITH {RUNS} SELECT count(*) AS done, max(page_index)::BIGINT AS step FROM runs WHERE run_id = 0")
+def observed_progress(spark, sf_dir):
+    """What the running job itself reports: the pages that passed, and the highest page number."""
+    pages, seen = jobs.observed(layout.page_meta(load(spark, sf_dir, "documents")), F.col("page_index"))
+    pages.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["done"], seen.get["step"])], "done long, step long")
+
+
 @query("q06_windowed_activity", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_activity(spark, sf_dir):
     a = jobs.activity(load(spark, sf_dir, "events"), "1 hour")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from quireframe.operators.history import latest_pages
@@ -124,17 +124,38 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return g.select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
+PROGRESS = "progress"
+
+
+def with_progress(df: DataFrame, step: Column | None = None) -> DataFrame:
+    """``df`` with the metrics that a progress bar needs, observed as the rows pass: done (rows) and step (the highest ``step`` seen)."""
+    return df.observe(PROGRESS, F.count(F.lit(1)).alias("done"), F.max(step if step is not None else F.lit(None).cast("long")).cast("long").alias("step"))
+
+
+def observed(df: DataFrame, step: Column | None = None) -> tuple[DataFrame, Observation]:
+    """The same for a batch job: the observation is filled by the first action that runs ``df``."""
+    seen = Observation(PROGRESS)
+    return df.observe(seen, F.count(F.lit(1)).alias("done"), F.max(step if step is not None else F.lit(None).cast("long")).cast("long").alias("step")), seen
+
+
 class ProgressLog(StreamingQueryListener):
-    """(rows so far) after every micro-batch, for a progress bar."""
+    """``done``: rows so far after every micro-batch; ``steps``: the highest step so far.
+
+    Both come from the metrics of ``with_progress`` where the query has them; else rows are those that the source gave.
+    """
 
     def __init__(self) -> None:
         self.done: list[int] = []
+        self.steps: list[int | None] = []
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.done.append((self.done[-1] if self.done else 0) + event.progress.numInputRows)
+        seen = event.progress.observedMetrics.get(PROGRESS)
+        self.done.append((self.done[-1] if self.done else 0) + (event.progress.numInputRows if seen is None else seen["done"]))
+        known = [s for s in (self.steps[-1] if self.steps else None, seen and seen["step"]) if s is not None]
+        self.steps.append(max(known, default=None))
 
     def onQueryIdle(self, event) -> None:
         pass

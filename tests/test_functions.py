@@ -187,7 +187,7 @@ def test_markdown_link_forms(spark):
     got = [(r["kind"], r["url"]) for r in M.md_links(d).orderBy("line_no", "nth").collect()]
     assert got == [("bare", "http://esc"), ("link", "http://x.y/A_(b)"), ("auto", "mailto:me@x.org"), ("reference", "http://d.e/"), ("reference", "http://d.e/"), ("image", "http://d.e/"), ("bare", "https://z.z")]
     defs = {(r["kind"], r["label"]): r["value"] for r in M.md_definitions(d).collect()}
-    assert defs == {("ref", "lab l"): "http://d.e/", ("note", "n"): "first\nmore text\n\nand more", ("ref", "x" * 300): "http://long"}
+    assert defs == {("ref", "lab l"): "http://d.e/", ("note", "n"): "first more text", ("ref", "x" * 300): "http://long"}
 
 
 def test_addresses_are_read_as_a_browser_reads_them(spark):

@@ -283,3 +283,40 @@ def test_transitive_footnotes(spark):
     notes = spark.createDataFrame([(1, "a", ["c"]), (1, "b", ["d", "a"]), (1, "c", ["b"]), (1, "d", ["e"]), (1, "e", []), (1, "un", [])], "doc_id long, note_id string, cites array<string>")
     got = {r["note_id"]: r["number"] for r in R.footnote_numbers(refs, notes, "chunk").collect()}
     assert got == {"b": 1, "a": 2, "d": 3, "c": 4, "e": 5}
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_operation_lock_by_owner(spark, monkeypatch, chunk):
+    monkeypatch.setattr(H, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    rows = [(d, k, rng.choice(["lock", "unlock", "do", "undo", "redo", "do"]), rng.choice(["a", "b", None])) for d in (1, 2) for k in range(120)]
+    want = {}
+    for d in (1, 2):
+        holder = None
+        for _, k, op, owner in [r for r in rows if r[0] == d]:
+            own = holder == (owner,)
+            if op == "lock":
+                refused, after = holder is not None, holder or (owner,)
+            elif op == "unlock":
+                refused, after = not own, None if own else holder
+            else:
+                refused, after = holder is not None and (op != "do" or not own), holder
+            want[d, k] = refused
+            holder = after
+    got = {(r["doc_id"], r["seq"]): r["refused"] for r in H.operation_lock(spark.createDataFrame(rows, "doc_id long, seq long, op string, owner string")).collect()}
+    assert got == want
+    alone = H.operation_lock(spark.createDataFrame([(1, 0, "lock"), (1, 1, "do"), (1, 2, "lock"), (1, 3, "unlock"), (1, 4, "unlock")], "doc_id long, seq long, op string")).orderBy("seq").collect()
+    assert [r["refused"] for r in alone] == [False, False, True, False, True] and "owner" not in alone[0].asDict()
+
+
+def test_notes_go_on_over_indented_lines(spark):
+    from quireframe.operators import markdown as M
+
+    text = "[^a]: one\n  two  \n\tthree\n\n  not\n[^b]: x\n  [^c]: inside\n  [r]: http://inside\n[s]: http://y\n  on\n[^d]:\n text"
+    got = {(r["kind"], r["label"]): r["value"] for r in M.md_definitions(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert got == {("note", "a"): "one two three", ("note", "b"): "x [^c]: inside [r]: http://inside", ("ref", "s"): "http://y", ("note", "d"): ""}
+
+
+def test_match_rollup(spark):
+    m = spark.createDataFrame([(1, 0), (1, 0), (1, 2), (2, 0)], "doc_id long, page_index int")
+    assert {tuple(r) for r in Q.match_rollup(m).collect()} == {(1, 0, 2), (1, 2, 1), (2, 0, 1), (1, None, 3), (2, None, 1), (None, None, 4)}

@@ -1,5 +1,6 @@
 """Stream jobs give what the batch jobs give."""
 
+import time
 import random
 
 from pyspark.sql import functions as F
@@ -29,6 +30,22 @@ def test_search_stream_appends_what_batch_finds(spark, tmp_path):
     assert got == sorted(map(tuple, jobs.incremental_search(c, "en").collect())) and got
 
 
+def test_progress_from_observed_metrics(spark, tmp_path):
+    c = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text")
+    log = jobs.ProgressLog()
+    spark.streams.addListener(log)
+    seen = jobs.with_progress(replay(spark, tmp_path, c, "watched").where("turn < 2"), F.col("turn"))
+    q = seen.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp5")).start()
+    q.processAllAvailable()
+    q.stop()
+    end = time.time() + 20
+    while (not log.done or log.done[-1] < c.where("turn < 2").count()) and time.time() < end:
+        time.sleep(0.2)
+    spark.streams.removeListener(log)
+    assert log.done[-1] == c.where("turn < 2").count() < c.count() and log.done == sorted(log.done)
+    assert log.steps[-1] == c.where("turn < 2").agg(F.max("turn")).first()[0]
+
+
 def test_page_upserts_keep_the_newest(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("page_index"), F.col("event_id").alias("version"), "event_type")
     target = str(tmp_path / "state")
