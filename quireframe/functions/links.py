@@ -5,6 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from quireframe.functions.addresses import canonical_url
+from quireframe.sources.layout import let
+
 # The schemes that may be opened, and the characters that hide or reorder text.
 ALLOWED = "(?i)^(https?|mailto):"
 HIDDEN = r"[\x{0}-\x{1F}\x{7F}-\x{9F}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
@@ -28,8 +31,8 @@ def has_hidden(c: Column) -> Column:
 
 def escape_hidden_chars(c: Column) -> Column:
     r"""Each control or direction mark as ``\uXXXX``; untouched text skips the character walk."""
-    chars = F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(f"^{HIDDEN}$"), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(ch)), 4, "0"))).otherwise(ch))
-    return F.when(has_hidden(c), F.array_join(chars, "")).otherwise(c)
+    one = lambda ch: F.when(ch.rlike(f"^{HIDDEN}$"), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(ch)), 4, "0"))).otherwise(ch)
+    return let(c, lambda v: F.when(has_hidden(v), F.array_join(F.transform(F.split(v, ""), one), "")).otherwise(v))
 
 
 def is_allowed_url(url: Column) -> Column:
@@ -71,26 +74,35 @@ def mail_domains(url: Column) -> Column:
     return F.when((F.size(domains) > 0) & ~bad, F.array_distinct(domains))
 
 
-def link_decision(url: Column, skipped_domain: Column | None = None) -> Column:
-    """struct<action, reason, domain, shown, hidden>.  ``skipped_domain``: the user asked not to be warned for it."""
+def _judged(url: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """(bare address, is it mail, mail domains, why it is blocked, domain)."""
     u = bare_url(url)
     mail = u.rlike("(?i)^mailto:")
     creds = _authority(u).contains("@") & ~_authority(u).rlike("^:?@")
     domains = mail_domains(u)
-    reason = (
-        F.when(~is_allowed_url(url), "scheme")
-        .when(~mail & creds, "credentials")
-        .when(mail & domains.isNull(), "address")
-    )
-    domain = F.when(reason.isNotNull(), "").when(mail, F.array_join(domains, ", ")).otherwise(url_host(url))
-    shown = F.when(mail, F.coalesce(F.try_url_decode(F.regexp_replace(u, r"\+", "%2B")), u)).otherwise(u)
-    hidden = has_hidden(url) | (mail & has_hidden(shown))
+    reason = F.when(~is_allowed_url(url), "scheme").when(~mail & creds, "credentials").when(mail & domains.isNull(), "address")
+    return u, mail, domains, reason, F.when(reason.isNotNull(), "").when(mail, F.array_join(domains, ", ")).otherwise(url_host(url))
+
+
+def link_domain(url: Column) -> Column:
+    """The domain that a link decision names, as written; empty where the link is blocked."""
+    return _judged(url)[4]
+
+
+def link_decision(url: Column, skipped_domain: Column | None = None) -> Column:
+    """struct<action, reason, domain, shown, hidden, url>: ``url`` is the canonical address, which opens and, for the web schemes, is shown.  ``skipped_domain``: the user asked not to be warned for it."""
+    u, mail, domains, reason, domain = _judged(url)
+    opens = canonical_url(url)
+    letter = F.coalesce(F.try_url_decode(F.regexp_replace(u, r"\+", "%2B")), u)
+    shown = F.when(mail, letter).otherwise(F.coalesce(opens, u))
+    hidden = has_hidden(url) | (mail & has_hidden(letter))
     simple = ~mail | ((F.size(domains) == 1) & ~u.contains("?"))
     skip = F.coalesce(skipped_domain, F.lit(False)) if skipped_domain is not None else F.lit(False)
     action = F.when(reason.isNotNull(), "blocked").when(skip & simple & ~hidden & (domain != ""), "open").otherwise("confirm")
     return F.struct(
         action.alias("action"), reason.alias("reason"), escape_hidden_chars(domain).alias("domain"),
         escape_hidden_chars(F.when(reason.isin("scheme", "credentials"), url).otherwise(shown)).alias("shown"), hidden.alias("hidden"),
+        F.when(reason.isNull(), opens).alias("url"),
     )
 
 

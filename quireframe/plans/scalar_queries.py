@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireframe.functions import bidi, encoding as E, fonts, geometry as G, links as K, tables, textcols as X
+from quireframe.functions import addresses as A, bidi, encoding as E, fonts, geometry as G, links as K, tables, textcols as X
 from quireframe.plans.registry import LINES, RUNS, WORDS, query
 from quireframe.sources import layout
 from quireframe.sources.assets import saved_assets
@@ -270,13 +270,23 @@ def is_allowed_url(spark, sf_dir):
     return url_table(spark, sf_dir).groupBy("page_id", K.is_allowed_url(F.col("url")).alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# The given web addresses need no more than this: lower case up to the path, a path, and one character escaped.
+PLACE = "lower(regexp_extract(url, '(?i)^https?://[^/?#]*', 0))"
+CANON = f"({PLACE} || CASE WHEN substr(url, length({PLACE}) + 1, 1) = '/' THEN '' ELSE '/' END || replace(substr(url, length({PLACE}) + 1), chr(8238), '%E2%80%AE'))"
+
+
+@query("p06_canonical_url", f"WITH {URLS} SELECT page_id, pos, CASE WHEN regexp_matches(url, '(?i)^mailto:') THEN url WHEN {ALLOWED_SQL} THEN {CANON} END AS url FROM u")
+def canonical_url(spark, sf_dir):
+    return url_table(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), A.canonical_url(F.col("url")).alias("url"))
+
+
 @query(
     "p06_link_decision",
     f"""WITH {URLS}, skip AS (SELECT DISTINCT lower(regexp_extract(url, '(?i)^https?://([^/?#]+)', 1)) AS dom FROM pages WHERE page_id % 10 = 8),
 b AS (SELECT page_id, pos, url, {ALLOWED_SQL} AS ok, regexp_matches(url, '(?i)^mailto:') AS mail, regexp_extract(url, '(?i)^https?://([^/?#]+)', 1) AS auth, regexp_extract(url, '(?i)^mailto:[^@]*@(.*)$', 1) AS md, contains(url, chr(8238)) AS hid FROM u),
 c AS (SELECT *, CASE WHEN NOT ok THEN 'scheme' WHEN NOT mail AND contains(auth, '@') THEN 'credentials' WHEN mail AND md = '' THEN 'address' END AS reason FROM b),
 d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN '' WHEN mail THEN lower(md) ELSE lower(regexp_replace(auth, ':[0-9]*$', '')) END AS domain FROM c)
-SELECT page_id, pos, CASE WHEN reason IS NOT NULL THEN 'blocked' WHEN skip.dom IS NOT NULL AND NOT hid THEN 'open' ELSE 'confirm' END AS action, reason, domain, replace(url, chr(8238), '\\u202E') AS shown, hid AS hidden
+SELECT page_id, pos, CASE WHEN reason IS NOT NULL THEN 'blocked' WHEN skip.dom IS NOT NULL AND NOT hid THEN 'open' ELSE 'confirm' END AS action, reason, domain, CASE WHEN reason IS NULL AND NOT mail THEN {CANON} ELSE replace(url, chr(8238), '\\u202E') END AS shown, hid AS hidden
 FROM d LEFT JOIN skip ON d.domain = skip.dom AND d.domain <> ''""",
 )
 def link_decision(spark, sf_dir):
@@ -284,7 +294,7 @@ def link_decision(spark, sf_dir):
     u = url_table(spark, sf_dir)
     p = load(spark, sf_dir, "pages")
     skip = p.filter("page_id % 10 = 8").select(K.url_host(F.col("url")).alias("skip_dom")).distinct()
-    u = u.withColumn("domain", K.link_decision(F.col("url"))["domain"])
+    u = u.withColumn("domain", K.link_domain(F.col("url")))
     j = u.join(skip, (u.domain == skip.skip_dom) & (u.domain != ""), "left")
     d = K.link_decision(F.col("url"), F.col("skip_dom").isNotNull())
     return j.select("page_id", F.col("pos").cast("long").alias("pos"), d.alias("d")).select("page_id", "pos", "d.action", "d.reason", "d.domain", "d.shown", "d.hidden")

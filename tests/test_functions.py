@@ -63,7 +63,7 @@ def test_link_decisions(spark, url, action, reason, domain):
 
 def test_trusted_domain_opens_unless_hidden(spark):
     d = values(spark, ["http://a.test/", "http://a.test/‮"], K.link_decision(F.col("v"), F.lit(True)))
-    assert [x["action"] for x in d] == ["open", "confirm"] and d[1]["shown"].endswith("\\u202E")
+    assert [x["action"] for x in d] == ["open", "confirm"] and d[1]["shown"].endswith("%E2%80%AE")
 
 
 @pytest.mark.parametrize(
