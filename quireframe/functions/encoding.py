@@ -66,7 +66,7 @@ SYMBOL = [(0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x3D1, 0x3D2), (0x3D5
           (0x2126, 0x2126), (0x2135, 0x2135), (0x2190, 0x2194), (0x21B5, 0x21B5), (0x21D0, 0x21D4), (0x2200, 0x2200), (0x2202, 0x2203), (0x2205, 0x2209), (0x220B, 0x220B),
           (0x220F, 0x220F), (0x2211, 0x2212), (0x2217, 0x2217), (0x221A, 0x221A), (0x221D, 0x221E), (0x2220, 0x2220), (0x2227, 0x222B), (0x2234, 0x2234), (0x223C, 0x223C),
           (0x2245, 0x2245), (0x2248, 0x2248), (0x2260, 0x2261), (0x2264, 0x2265), (0x2282, 0x2284), (0x2286, 0x2287), (0x2295, 0x2295), (0x2297, 0x2297), (0x22A5, 0x22A5),
-          (0x22C5, 0x22C5), (0x2320, 0x2321), (0x2329, 0x232A), (0x25CA, 0x25CA), (0x2660, 0x2660), (0x2663, 0x2663), (0x2665, 0x2666), (0x2206, 0x2206)]
+          (0x22C5, 0x22C5), (0x2320, 0x2321), (0x2329, 0x232A), (0x25CA, 0x25CA), (0x2660, 0x2660), (0x2663, 0x2663), (0x2665, 0x2666)]
 DINGBATS = [(0x2195, 0x2195), (0x2460, 0x2469), (0x25A0, 0x25A0), (0x25B2, 0x25B2), (0x25BC, 0x25BC), (0x25C6, 0x25C6), (0x25CF, 0x25CF), (0x25D7, 0x25D7), (0x2605, 0x2605),
             (0x260E, 0x260E), (0x261B, 0x261B), (0x261E, 0x261E), (0x2701, 0x2704), (0x2706, 0x2709), (0x270C, 0x2727), (0x2729, 0x274B), (0x274D, 0x274D), (0x274F, 0x2752),
             (0x2756, 0x2756), (0x2758, 0x275E), (0x2761, 0x2794), (0x2798, 0x27AF), (0x27B1, 0x27BE)]

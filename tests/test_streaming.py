@@ -1,7 +1,7 @@
 """Stream jobs give what the batch jobs give."""
 
-import time
 import random
+import time
 
 from pyspark.sql import functions as F
 
