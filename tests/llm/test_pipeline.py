@@ -88,7 +88,7 @@ def test_quality_rules_keep_labelled_documents(spark):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert QUERIES.keys() <= __spark_entry__.queries().keys() and "pipeline" in __spark_entry__.queries()
 
 
