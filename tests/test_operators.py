@@ -5,10 +5,10 @@ import re
 
 import pytest
 from pyspark.sql import Window as W, functions as F
+from stacks import Stacks
 
 from quireframe.operators import annotations as A, chars as C, flow, history as H, outline as O, pages as P, references as R, scale
 from quireframe.operators import search as Q
-from quireframe.operators.history import Stacks
 
 
 def hot(spark, n=400, seed=1):
@@ -159,9 +159,9 @@ def test_commands_merge_and_locks_hold(spark):
             (10, "do", "d", "x"), (11, "lock", None, "y"), (12, "unlock", None, "x"), (13, "do", "e", "y"), (14, "do", "e", "y"), (15, "undo", None, "y")]
     df = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, seq long, op string, coalesce_key string, owner string")
     assert sorted(tuple(r)[1:] for r in H.undo_redo_state(df).collect()) == [(0, 5, 1), (1, 10, 1)]
-    s = H.Stacks()
+    s = Stacks()
     for q, op, key, owner in rows:
-        s = H.Stacks.load(s.dump())
+        s = Stacks.load(s.dump())
         s.apply(op, q, key, owner)
     assert (s.undo, s.redo, s.holder) == ([5, 10], [14], None)
 

@@ -4,8 +4,8 @@ import random
 import time
 
 from pyspark.sql import functions as F
+from stacks import Stacks
 
-from quireframe.operators.history import Stacks
 from quireframe.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
