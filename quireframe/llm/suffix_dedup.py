@@ -304,31 +304,36 @@ def covered(size: int, ranges: list[dict] | None, n: int) -> tuple[np.ndarray, n
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, a.size - 1)]
 
 
-def dedup(docs: DataFrame, n: int = 400, family: int = FAMILY) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row: bytes covered by a repeated string of n bytes are removed."""
+def kept(docs: DataFrame, n: int = 400, family: int = FAMILY) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept) of every row: the removed runs as (a, b) byte offsets, b exclusive, and the remaining bytes."""
     if n <= K:
         raise ValueError(f"n must be larger than {K}")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     k1, k2 = text_key()
     d = d.select("doc_id", "text", k1, k2)
     marks = repeated_ranges(d.select("text", "k1", "k2"), n, family)
+    spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, spans, digest = [], [], [], []
+            sizes, spans, rest = [], [], []
             for text, ranges in zip(batch.column("text"), batch.column("ranges")):
                 data = (text.as_py() or "").encode()
                 a, b = covered(len(data), ranges.as_py(), n)
-                at, h = 0, hashlib.sha256()
-                for x, y in zip(a.tolist(), b.tolist()):
-                    h.update(data[at:x])
-                    at = y
-                h.update(data[at:])
+                cuts = list(zip(a.tolist(), b.tolist()))
                 sizes.append(len(data))
-                removed.append(int((b - a).sum()))
-                spans.append(a.size)
-                digest.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                spans.append([{"a": x, "b": y} for x, y in cuts])
+                rest.append(b"".join(data[y:x] for y, x in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(data)])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     joined = d.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<a: long, b: long>>, kept binary")
+
+
+def dedup(docs: DataFrame, n: int = 400, family: int = FAMILY) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row: bytes covered by a repeated string of n bytes are removed.
+
+    ``text`` is what is left, read as UTF-8; where a cut goes through a character its remaining bytes stand as U+FFFD.
+    """
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return kept(docs, n, family).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -156,6 +156,16 @@ def test_suffix_dedup(spark, docs, rows, nothing, family):
     assert suffix_dedup.dedup(nothing, 100).count() == 0
 
 
+def test_suffix_dedup_gives_spans_and_texts(spark, docs, rows):
+    text = dict(rows)
+    digests = by_id(suffix_dedup.dedup(docs, 100))
+    for i, r in by_id(suffix_dedup.kept(docs, 100)).items():
+        data, spans = (text[i] or "").encode(), [(s["a"], s["b"]) for s in r["spans"]]
+        assert all(a < b for a, b in spans) and all(b < c for (_, b), (c, _) in zip(spans, spans[1:])), i
+        assert bytes(r["kept"]) == bytes(c for k, c in enumerate(data) if not any(a <= k < b for a, b in spans)), i
+        assert digests[i]["text"] == bytes(r["kept"]).decode("utf-8", "replace"), i
+
+
 def test_interval_expansion_of_random_strings():
     rng = random.Random(1)
     for _ in range(150):
