@@ -40,6 +40,15 @@ PLAIN = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)])) - {"İ"}
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def byte_characters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, all others take the code points from 256 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 class Tokens(dict):
     """A mapping from words between ASCII white space to the bytes of their ids (uint32), which fills itself from the library."""
 
@@ -49,6 +58,7 @@ class Tokens(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.split = regex.compile(PIECE).findall
         self.pieces: dict[str, bytes] = {}
 
@@ -57,12 +67,14 @@ class Tokens(dict):
 
     def __missing__(self, word: str) -> bytes:
         if PLAIN.issuperset(word) and "<|" not in word:
-            out = b""
-            for piece in self.split(word.lower()):
+            out, low = b"", word.lower()
+            for piece in (low,) if low.isalpha() else self.split(low):
                 got = self.pieces.get(piece)
                 if got is None:
-                    # printable ASCII is its own byte-level form, so the library's model can take the piece as it is
-                    got = np.array([x.id for x in self.library.model.tokenize(piece)], np.uint32).tobytes() if piece.isascii() else self.encode(piece)
+                    # printable ASCII is its own byte-level form; of other pieces each byte becomes one character
+                    form = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                    ids = [x.id for x in self.model.tokenize(form)]
+                    got = struct.pack(f"<{len(ids)}I", *ids)
                     if len(piece) <= KEPT_LENGTH:
                         if len(self.pieces) >= KEPT_PIECES:
                             self.pieces.clear()
@@ -112,14 +124,15 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """All ids in order, by undoing the planes from the last to the first."""
-        a = np.zeros(self.n, np.uint32)
+        a = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level, (plane, z) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
             bit = np.unpackbits(plane, count=self.n).view(bool)
+            a[z:] |= a.dtype.type(1 << level)
             b = np.empty_like(a)
             b[~bit] = a[:z]
-            b[bit] = a[z:] | np.uint32(1 << level)
+            b[bit] = a[z:]
             a = b
-        return a
+        return a.astype(np.uint32)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones before position i of a plane: the mark before it, and the bits since."""
