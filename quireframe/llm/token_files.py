@@ -117,9 +117,9 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             bit = (a >> level) & 1 == 1
             planes.append(np.packbits(bit))
-            low = a[~bit]
+            low = np.compress(~bit, a)
             zeros.append(low.size)
-            a = np.concatenate([low, a[bit]])
+            a = np.concatenate([low, np.compress(bit, a)])
         return cls(ids.size, planes, zeros)
 
     def all(self) -> np.ndarray:
@@ -129,8 +129,8 @@ class WaveletMatrix:
             bit = np.unpackbits(plane, count=self.n).view(bool)
             a[z:] |= a.dtype.type(1 << level)
             b = np.empty_like(a)
-            b[~bit] = a[:z]
-            b[bit] = a[z:]
+            b[np.flatnonzero(~bit)] = a[:z]
+            b[np.flatnonzero(bit)] = a[z:]
             a = b
         return a.astype(np.uint32)
 
