@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quireframe.functions import addresses as A, bidi, encoding as E, fonts, geometry as G, links as K, tables, textcols as X
 from quireframe.plans.registry import LINES, RUNS, WORDS, query
-from quireframe.sources import layout
+from quireframe.session import checkpoint_root
+from quireframe.sources import layout, text_source
 from quireframe.sources.assets import saved_assets
 from quireframe.sources.tables import load, load_spread
 
@@ -18,6 +21,26 @@ def r4(c):
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
+@query(
+    "s01_text_corpus",
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang = 'en' THEN 'md' ELSE 'txt' END AS extension, regexp_matches(coalesce(text, ''), '[^\x00-\x7F\x{A0}-\x{FF}]') AS wide FROM documents)
+SELECT doc_id, extension, CASE WHEN wide THEN 3 + strlen(text) ELSE length(text) END AS length,
+CASE WHEN NOT wide AND NOT regexp_full_match(text, '(?s)[\x00-\x7F]*') THEN 'assumed-windows-1252' END AS warning, md5(text) AS digest FROM t""",
+)
+def text_corpus(spark, sf_dir):
+    """Every document written as a text file, in UTF-8 with a mark or in Latin-1, with its source in a file beside it; only the texts are opened again."""
+    text_source.register(spark)
+    folder = f"{checkpoint_root(spark).rstrip('/')}/text-corpus-{uuid.uuid4().hex}"
+    text = F.coalesce("text", F.lit(""))
+    content = F.when(text.rlike(r"[^\x{0}-\x{7F}\x{A0}-\x{FF}]"), F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "ISO-8859-1"))
+    files = F.array(F.struct(F.when(F.col("lang") == "en", "md").otherwise("txt").alias("extension"), content.alias("content")),
+                    F.struct(F.lit("json").alias("extension"), F.encode(F.to_json(F.struct("source")), "UTF-8").alias("content")))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.explode(files).alias("f"))
+    docs.select(F.concat_ws("", "doc_id", F.lit("."), "f.extension").alias("path"), "f.content").write.format("text_corpus").mode("append").save(folder)
+    texts = text_source.decoded(spark.read.format("text_corpus").load(folder).filter(F.col("extension").isin("md", "txt")))
+    return texts.select(F.regexp_extract("path", r"(-?\d+)\.[a-z]+$", 1).cast("long").alias("doc_id"), "extension", "length", "warning", F.md5("text").alias("digest"))
+
+
 @query(
     "s02_decode_bytes",
     r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 6 = 5 AND regexp_matches(text, '[^\x00-\x{FF}]') THEN 0 ELSE doc_id % 6 END AS k, text FROM documents)
