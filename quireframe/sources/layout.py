@@ -7,6 +7,9 @@ into lines and then runs without a shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORDS_PER_LINE = 12
@@ -91,6 +94,68 @@ def runs(documents: DataFrame) -> DataFrame:
     )
 
 
+def word_pages(documents: DataFrame) -> DataFrame:
+    """doc_id, page_index, words: the words of each page in one array."""
+    per = WORDS_PER_LINE * LINES_PER_PAGE
+
+    def cut(ws: Column) -> Column:
+        last = F.greatest(F.floor((F.size(ws) - 1) / per), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(p.alias("page_index"), F.slice(ws, p * per + 1, per).alias("words")))
+
+    pages = documents.select("doc_id", F.explode(let(words_of(F.col("text")), cut)).alias("p"))
+    return pages.select("doc_id", "p.page_index", "p.words").filter(F.size("words") > 0)
+
+
+CHARS = {"pos": pa.int32(), "line": pa.int32(), "ch": pa.string(), "x": pa.float64(), "y": pa.float64(), "w": pa.float64(), "h": pa.float64()}
+
+
+def _page_chars(words: pa.Array, page_index: np.ndarray, stride: int, boxless: bool) -> tuple[np.ndarray, dict[str, object]]:
+    """Offsets of each page in the characters of a batch, and their columns."""
+    edges = words.offsets.to_numpy()
+    flat = words.values.slice(edges[0], edges[-1] - edges[0])
+    edges = edges - edges[0]
+    page = np.repeat(np.arange(len(words)), np.diff(edges))
+    run = np.arange(len(flat)) - edges[page]
+    line, slot = run // WORDS_PER_LINE, run % WORDS_PER_LINE
+    size = np.where(line == 30, 15.0, np.where(line == 10, 14.0, 11.0))
+    size = np.where((line == 0) & (page_index[page] == 0), 18.0, size)
+    length = pc.utf8_length(flat).to_numpy()
+    ahead = np.cumsum(length + 1) - (length + 1)
+    before = ahead - ahead[np.arange(len(flat)) - slot]
+    x = 72.0 + before * PITCH_EM * size
+    led = pc.binary_join_element_wise(pc.if_else(pa.array(slot > 0), " ", "\n"), flat, "")
+    raw = np.frombuffer(led.buffers()[2], np.uint8, np.frombuffer(led.buffers()[1], np.int32)[len(led)])
+    starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), raw.size).astype(np.int32)
+    of = np.repeat(np.arange(len(flat)), length + 1)
+    k = np.arange(of.size) - (ahead[of] if of.size else 0)
+    shown, em = k > 0, (size * PITCH_EM)[of]
+    ch = pa.StringArray.from_buffers(of.size, pa.py_buffer(starts), pa.py_buffer(raw.tobytes()))
+    cols = {
+        "pos": run[of] * stride + k, "line": line[of], "ch": ch, "x": np.where(shown, x[of] + (k - 1) * em, 0.0),
+        "y": np.where(shown, (770.0 - 16.0 * line)[of], 0.0), "w": np.where(shown, em, 0.0), "h": np.where(shown, size[of], 0.0),
+    }
+    if not boxless:
+        cols = {c: v.filter(pa.array(shown)) if isinstance(v, pa.Array) else v[shown] for c, v in cols.items()}
+    return np.append(0, np.cumsum(length + boxless))[edges], cols
+
+
+def char_reader(stride: int, columns: list[str], boxless: bool = True):
+    """A function from batches of :func:`word_pages` to the characters of each page, every one of ``columns`` an array in order of ``pos``.
+
+    A boxless newline opens a line and a boxless blank every later word; pos = run_id * stride + place.  Without ``boxless``
+    these are left out.
+    """
+
+    def read(b: pa.RecordBatch) -> pa.RecordBatch:
+        edges, cols = _page_chars(b.column("words"), b.column("page_index").to_numpy(), stride, boxless)
+        offsets = pa.array(edges.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, cols[c] if isinstance(cols[c], pa.Array) else pa.array(cols[c], CHARS[c])) for c in columns]
+        names = [c for c in b.schema.names if c != "words"]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *lists], names=[*names, *columns])
+
+    return read
+
+
 def page_meta(documents: DataFrame) -> DataFrame:
     """doc_id, page_index and the page box of every derived page."""
     n_pages = F.expr(f"""greatest(int(ceil(size(filter(split(text, '[ \\n]'), t -> t <> '')) / {WORDS_PER_LINE * LINES_PER_PAGE}.0D)), 0)""")
