@@ -115,13 +115,14 @@ def clean(c: Column) -> Column:
     return out
 
 
-_DRAWN = _char_class(WINANSI + SYMBOL + DINGBATS)
+# A nested class is asked only about what the first range leaves open, and most text is ASCII.
+_UNDRAWN = f"[\\x{{0}}-\\x{{10FFFF}}&&[^\\t\\n\\x{{20}}-\\x{{7E}}]&&[^{_char_class(WINANSI + SYMBOL + DINGBATS)}]]"
 
 
 def _drawn(c: Column) -> Column:
     """Cleaned text as it is drawn: a mark for each missing glyph, symbol letters under the symbol font's code points."""
-    shown = F.regexp_replace(c, f"[^\\t\\n {_DRAWN}]", MISSING)
-    return F.translate(shown, "".join(SYMBOL_ALIASES), "".join(SYMBOL_ALIASES.values()))
+    shown = F.translate(F.regexp_replace(c, _UNDRAWN, MISSING), "".join(SYMBOL_ALIASES), "".join(SYMBOL_ALIASES.values()))
+    return F.when(c.rlike(r"[^\t\n\x{20}-\x{7E}]"), shown).otherwise(c)
 
 
 def sanitize_text(c: Column) -> Column:
@@ -132,11 +133,13 @@ def sanitize_text(c: Column) -> Column:
 def split_by_repertoire(c: Column) -> Column:
     """array<struct<repertoire, text, original, missing>> of cleaned text: what is drawn, what stood there, and whether a
     glyph is missing; spaces join their neighbours only if both sides agree."""
-    s, d = _char_class([r for r in SYMBOL]), _char_class(DINGBATS)
-    sym, din = f"[{s}&&[^{_char_class(WINANSI)}]]", f"[{d}&&[^{s}{_char_class(WINANSI)}]]"
-    other = f"[^{s}{d}]|[{_char_class(WINANSI)}]"
-    parts = F.regexp_extract_all(c, F.lit(f"{sym}+(?: +{sym}+)*|{din}+(?: +{din}+)*|(?:{other})+"), F.lit(0))
-    return F.transform(parts, lambda p: F.struct(F.when(p.rlike(f"^{sym}"), "symbol").when(p.rlike(f"^{din}"), "dingbats").otherwise("winansi").alias("repertoire"), _drawn(p).alias("text"), p.alias("original"), p.rlike(f"[^\\t\\n {_DRAWN}]").alias("missing")))
+    # no range lies across another one's end, so a range is drawn by the first font as a whole
+    drawn = lambda ranges, *before: _char_class([r for r in ranges if not any(a <= r[0] <= b for one in before for a, b in one)])
+    sym, din = drawn(SYMBOL, WINANSI), drawn(DINGBATS, SYMBOL, WINANSI)
+    first = min(lo for lo, _ in SYMBOL + DINGBATS)
+    other = f"[\\x{{0}}-\\x{{{first - 1:X}}}[^{sym}{din}]]"
+    parts = F.regexp_extract_all(c, F.lit(f"{other}++|[{sym}]+(?: +[{sym}]+)*|[{din}]+(?: +[{din}]+)*"), F.lit(0))
+    return F.transform(parts, lambda p: F.struct(F.when(p.rlike(f"^[{sym}]"), "symbol").when(p.rlike(f"^[{din}]"), "dingbats").otherwise("winansi").alias("repertoire"), _drawn(p).alias("text"), p.alias("original"), p.rlike(_UNDRAWN).alias("missing")))
 
 
 def char_counts(df: DataFrame, key: str, text: str) -> DataFrame:
