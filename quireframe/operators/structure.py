@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from quireframe.functions.textcols import (
     ends_blank, escape_line_start, escape_markdown, heading_level, is_bold, js_trim, list_prefix, starts_blank, without_list_mark,
 )
+from quireframe.operators.chars import Pages
 from quireframe.operators.lines import PAGE, lines
 
 # Thresholds in units of the font size, or fractions of the smaller extent.
@@ -31,6 +32,10 @@ def reading_units(line_table: DataFrame) -> DataFrame:
     )
 
 
+def units_of(runs: DataFrame | Pages) -> DataFrame:
+    return reading_units(lines(runs, ["line_id", "text", "x", "w", "origin_y", "size_pt", "spans"]))
+
+
 def reading_blocks(units: DataFrame) -> DataFrame:
     """Adds block_id (the block's first line_id), block_units and the block's extent bx0, bx1, top, bottom.
 
@@ -73,8 +78,8 @@ def _column_roots(x0, x1, top, bottom):
 
 def _row_openers(ids, y, size):
     """First-match clustering: each loose line joins the first row, from the top, whose opener is on its baseline."""
-    rows, out = [], {}
-    for k in np.lexsort((ids, -y)):
+    rows, out, y, size, order = [], {}, y.tolist(), size.tolist(), np.lexsort((ids, -y)).tolist()
+    for k in order:
         hit = next((r for r in rows if abs(y[r] - y[k]) <= ROW_TOLERANCE * max(size[r], size[k])), None)
         if hit is None:
             rows.append(k)
@@ -241,6 +246,6 @@ def to_markdown_ybucket(runs: DataFrame) -> DataFrame:
     return page.select(*PAGE, F.concat(head, F.coalesce("_body", F.lit(""))).alias("page_markdown"))
 
 
-def read_pages(runs: DataFrame) -> DataFrame:
+def read_pages(runs: DataFrame | Pages) -> DataFrame:
     """Runs to pieces in reading order: the shared front half of every export."""
-    return reading_pieces(reading_order(reading_units(lines(runs))))
+    return reading_pieces(reading_order(units_of(runs)))

@@ -109,8 +109,8 @@ def word_pages(documents: DataFrame) -> DataFrame:
 CHARS = {"pos": pa.int32(), "line": pa.int32(), "ch": pa.string(), "x": pa.float64(), "y": pa.float64(), "w": pa.float64(), "h": pa.float64()}
 
 
-def _page_chars(words: pa.Array, page_index: np.ndarray, stride: int, boxless: bool) -> tuple[np.ndarray, dict[str, object]]:
-    """Offsets of each page in the characters of a batch, and their columns."""
+def _page_words(words: pa.Array, page_index: np.ndarray) -> dict[str, object]:
+    """The words of a batch of pages, end to end, and where they stand: edges, flat, page, run, line, slot, size, length, ahead, x."""
     edges = words.offsets.to_numpy()
     flat = words.values.slice(edges[0], edges[-1] - edges[0])
     edges = edges - edges[0]
@@ -123,6 +123,12 @@ def _page_chars(words: pa.Array, page_index: np.ndarray, stride: int, boxless: b
     ahead = np.cumsum(length + 1) - (length + 1)
     before = ahead - ahead[np.arange(len(flat)) - slot]
     x = 72.0 + before * PITCH_EM * size
+    return {"edges": edges, "flat": flat, "page": page, "run": run, "line": line, "slot": slot, "size": size, "length": length, "ahead": ahead, "x": x}
+
+
+def _page_chars(words: pa.Array, page_index: np.ndarray, stride: int, boxless: bool) -> tuple[np.ndarray, dict[str, object]]:
+    """Offsets of each page in the characters of a batch, and their columns."""
+    edges, flat, _, run, line, slot, size, length, ahead, x = _page_words(words, page_index).values()
     led = pc.binary_join_element_wise(pc.if_else(pa.array(slot > 0), " ", "\n"), flat, "")
     raw = np.frombuffer(led.buffers()[2], np.uint8, np.frombuffer(led.buffers()[1], np.int32)[len(led)])
     starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), raw.size).astype(np.int32)
@@ -156,6 +162,33 @@ def char_reader(stride: int, columns: list[str], boxless: bool = True):
     return read
 
 
+def run_reader(moved=None):
+    """A function from batches of :func:`word_pages` to the runs of each page, every column of :func:`runs` that lines are built from an array.
+
+    ``moved`` may set the columns anew: it gets their arrays by name, with ``line_in_page`` and ``slot``.
+    """
+
+    def read(b: pa.RecordBatch) -> pa.RecordBatch:
+        w = _page_words(b.column("words"), page_index := b.column("page_index").to_numpy())
+        n, size, run = len(w["flat"]), w["size"], w["run"]
+        y, zero = 770.0 - 16.0 * w["line"], np.zeros(n)
+        width = w["length"] * PITCH_EM * size
+        cols = {
+            "run_id": run, "size_eff_pt": size, "x": w["x"], "y": y, "w": width, "h": size, "a": zero + 1.0, "b": zero, "e": w["x"], "f": y, "advance_pt": width, "line_in_page": w["line"], "slot": w["slot"],
+        }
+        cols = cols | (moved(cols) if moved else {})
+        bold = (page_index[w["page"]].astype(np.int64) * (WORDS_PER_LINE * LINES_PER_PAGE) + run) % 37 == 0
+        arrays = {c: pa.array(v, pa.int32() if c == "run_id" else pa.float64()) for c, v in cols.items() if c not in ("line_in_page", "slot")} | {
+            "text": w["flat"], "font_name": pc.if_else(pa.array(bold), "Helvetica-Bold", "Helvetica"), "color": pa.repeat("#000000", n), "virtual_space_before": pa.array(w["slot"] > 0),
+            "render_mode": pa.array(np.zeros(n, np.int32)),
+        }
+        offsets = pa.array(w["edges"].astype(np.int32))
+        names = [c for c in b.schema.names if c != "words"]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.ListArray.from_arrays(offsets, v) for v in arrays.values())], names=[*names, *arrays])
+
+    return read
+
+
 def page_meta(documents: DataFrame) -> DataFrame:
     """doc_id, page_index and the page box of every derived page."""
     n_pages = F.expr(f"""greatest(int(ceil(size(filter(split(text, '[ \\n]'), t -> t <> '')) / {WORDS_PER_LINE * LINES_PER_PAGE}.0D)), 0)""")
