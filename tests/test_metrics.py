@@ -69,6 +69,20 @@ def test_wrapped_lines(spark):
         assert sorted((r["line_no"], r["word"], r["piece"], r["text"]) for r in got if r["doc_id"] == d) == lines(ws, 100.0), d
 
 
+@pytest.mark.parametrize("kind", ["table", "function"])
+def test_documents_are_wrapped_in_their_rows(spark, kind):
+    """The same lines as from rows, one word after the other; nothing is shuffled."""
+    rng = random.Random(9)
+    docs = [(d, ("Text", "Wide")[d % 2], (10.0, 7.0)[d % 3 % 2], ["".join(rng.choices("abcdefghij" if d % 2 else "abcdefghijé𝒳", k=rng.choice([1, 2, 4, 7, 30 if rng.random() < 0.1 else 3]))) for _ in range(n)]) for d, n in ((1, 400), (2, 5), (3, 60), (4, 0), (5, 1), (6, 300))]
+    df = spark.createDataFrame([*docs, (7, None, 9.0, ["a"]), (8, "Text", 9.0, None)], "doc_id long, font string, size double, words array<string>").coalesce(2)
+    got = metrics.wrap_documents(df, table(spark) if kind == "table" else function, 100.0)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    got = got.collect()
+    for d, font, size, ws in docs:
+        assert [(r["line_no"], i["word"], i["piece"], i["text"]) for r in sorted(got, key=lambda r: r["line_no"]) if r["doc_id"] == d for i in r["items"]] == lines([(font, size, w) for w in ws], 100.0), d
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 5, 6}
+
+
 def test_page_range_functions(spark):
     from quireframe.functions import tables
 
