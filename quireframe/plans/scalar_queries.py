@@ -35,9 +35,10 @@ def text_corpus(spark, sf_dir):
     content = F.when(text.rlike(r"[^\x{0}-\x{7F}\x{A0}-\x{FF}]"), F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "ISO-8859-1"))
     files = F.array(F.struct(F.when(F.col("lang") == "en", "md").otherwise("txt").alias("extension"), content.alias("content")),
                     F.struct(F.lit("json").alias("extension"), F.encode(F.to_json(F.struct("source")), "UTF-8").alias("content")))
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.explode(files).alias("f"))
-    docs.select(F.concat_ws("", "doc_id", F.lit("."), "f.extension").alias("path"), "f.content").write.format("text_corpus").mode("append").save(folder)
-    texts = text_source.decoded(spark.read.format("text_corpus").load(folder).filter(F.col("extension").isin("md", "txt")))
+    docs = load_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", F.explode(files).alias("f"))
+    shelf = F.pmod(F.xxhash64("doc_id"), F.lit(1024))  # no folder holds all files, and no driver their names
+    docs.select(F.concat_ws("", shelf, F.lit("/"), "doc_id", F.lit("."), "f.extension").alias("path"), "f.content").write.format("text_corpus").mode("append").save(folder)
+    texts = text_source.decoded(spark.read.format("text_corpus").option("listing", "tasks").load(folder).filter(F.col("extension").isin("md", "txt")))
     return texts.select(F.regexp_extract("path", r"(-?\d+)\.[a-z]+$", 1).cast("long").alias("doc_id"), "extension", "length", "warning", F.md5("text").alias("digest"))
 
 

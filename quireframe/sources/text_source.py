@@ -1,15 +1,17 @@
 """Folders of text files as a Spark data source: ``spark.read.format("text_corpus").load(folder)``.
 
-The driver lists names and sizes only.  Conditions on ``extension``, ``path`` and ``length`` are answered by the listing
+The driver lists names and sizes only, or, with ``listing`` = ``tasks``, folders only: then each task lists some of them itself, so a
+corpus of many small files in many folders never stands in the driver's memory.  Conditions on ``extension``, ``path`` and ``length`` are answered by the listing
 (``spark.sql.python.filterPushdown.enabled``, which :func:`register` turns on), so files they leave out are never opened.
-What is left is packed into partitions by size, as Spark packs its own files; a file is read whole by one task.
+What is left is packed into partitions by size, as Spark packs its own files (folders that tasks list: in up to 256 equal parts); a
+file is read whole by one task.
 
 Written with ``df.write.format("text_corpus").mode("append").save(folder)``, a table (path, content) becomes one file a row, ``path``
 being relative to the folder.  A task writes each file under a name of its own and renames it, so what a lost or repeated
 task leaves is whole; names must not repeat within a table.
 
-Options: ``extensions`` (comma-separated; others are left out of every read), ``maxPartitionBytes`` (128 MiB),
-``openCostInBytes`` (4 MiB).  Folders are local paths or addresses that ``pyarrow.fs`` opens (``file:``, ``hdfs:``, ``s3:``).
+Options: ``extensions`` (comma-separated; others are left out of every read), ``listing`` (``driver``), ``maxPartitionBytes`` (128 MiB),
+``openCostInBytes`` (64 KiB: a small file costs far less than the start of a task).  Folders are local paths or addresses that ``pyarrow.fs`` opens (``file:``, ``hdfs:``, ``s3:``).
 
 Defined cases: an empty folder gives no rows, a missing one is an error; files and folders whose names begin with ``.``
 or ``_`` are left out; an empty file is one row with empty content; a file without an extension has an empty one; null
@@ -38,6 +40,7 @@ TESTS = {
     EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, StringStartsWith: str.startswith, StringEndsWith: str.endswith,
     GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b,
 }
+FOLDER_PARTS = 256
 LISTED = {("path",): 0, ("extension",): 1, ("length",): 2}
 
 
@@ -56,6 +59,11 @@ class Files(InputPartition):
     entries: list[Entry]
 
 
+@dataclass
+class Folders(InputPartition):
+    folders: list[str]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: int
@@ -89,7 +97,8 @@ def packed(entries: list[Entry], most: int, cost: int) -> list[Files]:
 class TextCorpusReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.address = options["path"]
-        self.most, self.cost = int(options.get("maxPartitionBytes", 128 << 20)), int(options.get("openCostInBytes", 4 << 20))
+        self.most, self.cost = int(options.get("maxPartitionBytes", 128 << 20)), int(options.get("openCostInBytes", 64 << 10))
+        self.in_tasks = options.get("listing", "driver") == "tasks"
         names = {x.strip().lower().lstrip(".") for x in options.get("extensions", "").split(",") if x.strip()}
         self.filters: list[Filter] = [In(("extension",), tuple(sorted(names)))] if names else []
 
@@ -103,23 +112,36 @@ class TextCorpusReader(DataSourceReader):
     def _wanted(self, e: Entry) -> bool:
         return all(f.value is not None and TESTS[type(f)](e.value(LISTED[f.attribute]), f.value) for f in self.filters)
 
-    def partitions(self) -> list[Files]:
+    def _listed(self, system, folder: str, recursive: bool = True) -> tuple[list[Entry], list[str]]:
+        """Wanted files of a folder, and the folders in it."""
         from pyarrow import fs
 
+        files, folders = [], []
+        for info in system.get_file_info(fs.FileSelector(folder, recursive=recursive)):
+            inside = info.path[len(folder) :].strip("/").split("/")
+            if any(p.startswith((".", "_")) for p in inside):
+                continue
+            if info.type == fs.FileType.Directory:
+                folders.append(info.path)
+            elif info.type == fs.FileType.File and self._wanted(e := Entry(info.path, extension_of(info.path), info.size)):
+                files.append(e)
+        return files, folders
+
+    def partitions(self) -> list[InputPartition]:
         system, root = open_folder(self.address)
-        found = []
-        for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
-            inside = info.path[len(root) :].strip("/").split("/")
-            if info.type == fs.FileType.File and not any(p.startswith((".", "_")) for p in inside):
-                found.append(Entry(info.path, extension_of(info.path), info.size))
-        return packed([e for e in found if self._wanted(e)], self.most, self.cost) or [Files([])]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
+        if not self.in_tasks:
+            return packed(self._listed(system, root)[0], self.most, self.cost) or [Files([])]
+        files, folders = self._listed(system, root, recursive=False)
+        each = -(-len(folders) // FOLDER_PARTS) or 1
+        return [*packed(files, self.most, self.cost), *(Folders(sorted(folders)[k : k + each]) for k in range(0, len(folders), each))] or [Files([])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
         system, _ = open_folder(self.address)
-        for e in partition.entries:
-            with system.open_input_stream(e.path, compression=None) as f:
-                data = f.read()
-            yield e.path, e.extension, len(data), data
+        for entries in [partition.entries] if isinstance(partition, Files) else (self._listed(system, f)[0] for f in partition.folders):
+            for e in entries:
+                with system.open_input_stream(e.path, compression=None) as f:
+                    data = f.read()
+                yield e.path, e.extension, len(data), data
 
 
 class TextCorpusWriter(DataSourceWriter):

@@ -74,3 +74,23 @@ def test_round_trip_and_names(spark, tmp_path):
         spark.createDataFrame([("../4.txt", b"")], "path string, content binary").write.format("text_corpus").mode("append").save(str(out))
     (tmp_path / "none").mkdir()
     assert spark.read.format("text_corpus").load(str(tmp_path / "none")).count() == 0
+
+
+def test_tasks_list_the_folders(spark, corpus):
+    (corpus / "sub" / "deep").mkdir()
+    (corpus / "sub" / "deep" / "f.txt").write_bytes(b"far")
+    (corpus / "sub" / ".no").mkdir()
+    (corpus / "sub" / ".no" / "g.txt").write_bytes(b"no")
+    reader = S.TextCorpusReader({"path": str(corpus), "listing": "tasks"})
+    assert [p.folders for p in reader.partitions() if isinstance(p, S.Folders)] == [[str(corpus / "sub")]]
+    read = lambda **options: spark.read.format("text_corpus").options(**options).load(str(corpus))
+    cols = ["path", "extension", "length", "content"]
+    assert sorted(read(listing="tasks").select(cols).collect()) == sorted(read().select(cols).collect())
+    assert sorted(r["content"] for r in read(listing="tasks").filter(F.col("extension").isin("txt", "md") & (F.col("length") <= 4)).collect()) == [b"", b"far", "über".encode("latin-1")]
+    reader = S.TextCorpusReader({"path": str(corpus), "listing": "tasks"})
+    list(reader.pushFilters([EqualTo(("extension",), "pdf")]))
+    assert [e[0].rsplit("/", 1)[1] for p in reader.partitions() for e in reader.read(p)] == ["d.pdf"]
+
+
+def test_small_files_share_a_task():
+    assert len(S.packed([S.Entry(f"/{k}", "txt", 2000) for k in range(10_000)], S.TextCorpusReader({"path": "/"}).most, S.TextCorpusReader({"path": "/"}).cost)) < 10
