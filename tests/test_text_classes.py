@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quireframe.functions import bidi, encoding as E
@@ -55,3 +56,24 @@ def test_parts_by_repertoire_hold_one_font_each(spark):
 
     for t, got in df.select("t", E.split_by_repertoire(F.col("t"))).collect():
         assert got is None if t is None else [tuple(p) for p in got] == parts(t)
+
+
+def test_lines_of_a_batch_are_ordered_as_one_by_one():
+    rng = np.random.default_rng(4)
+    alphabet = list("abאבגاب12٣٤ +-#$,.:/́\u0651\u200f\u200e!?(é") + ["𐤀", "𝒳"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 14))) for _ in range(4000)]
+    lines = bidi.Lines(texts)
+    kinds = [list(bidi.class_of(bidi._codes(t))) for t in texts]
+    bounds = list(zip(lines.edges[:-1], lines.edges[1:]))
+    for base in (np.zeros(len(texts), int), np.ones(len(texts), int), lines.base_of()):
+        levels = lines.levels(base)
+        painted = lines.visual_order(levels)
+        order, sure = lines.logical_order(base)
+        for k, (a, z) in enumerate(bounds):
+            lv = bidi.levels(kinds[k], int(base[k]))
+            assert levels[a:z].tolist() == lv, texts[k]
+            assert (painted[a:z] - a).tolist() == bidi.visual_order(lv)
+            one = bidi.logical_order(kinds[k], int(base[k]))
+            assert bool(sure[k]) == (one is not None) and (one is None or (order[a:z] - a).tolist() == one), texts[k]
+    assert lines.base_of().tolist() == [bidi.base_of(k) for k in kinds]
+    assert lines.texts(lines.here) == texts and 500 < sure.sum() < 4000
