@@ -178,7 +178,7 @@ class _Runs:
         here = np.arange(n)
         first = np.maximum.accumulate(np.where(joined, 0, here)) if n else here
         self.opened = first.copy()
-        self.rtl = _rtl(self.text)
+        self.rtl = bidi.holds_rtl(self.text)
         mixed = joined.copy()
         mixed[1:] &= (self.v[p] != self.v[q]) | (self.em[p] != self.em[q])
         # no run is cut off where all are on the first one's baseline even by the narrowest reckoning
@@ -291,13 +291,6 @@ def _matches(text: pa.Array, pattern: str) -> np.ndarray:
     return pc.match_substring_regex(text, pattern).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _rtl(text: pa.Array) -> np.ndarray:
-    out = np.zeros(len(text), bool)
-    wide = np.flatnonzero(~pc.string_is_ascii(text).to_numpy(zero_copy_only=False).astype(bool))
-    out[wide] = _matches(text.take(pa.array(wide)), bidi.RTL_PATTERN)
-    return out
-
-
 def _page_runs(runs: DataFrame | Pages) -> Pages:
     if isinstance(runs, Pages):
         return runs
