@@ -178,8 +178,12 @@ def paragraphs(rows: DataFrame) -> DataFrame:
 
 def body_font_size(pieces: DataFrame) -> DataFrame:
     """doc_id, body_pt: the size that carries most characters; on a tie, the one met first."""
-    first = F.struct("page_index", "row_no", "piece_no")
-    per = pieces.groupBy("doc_id", "size_eff_pt").agg(F.sum(F.greatest(F.lit(1), F.length("text"))).alias("chars"), F.min(first).alias("first"))
+    return body_of_sizes(pieces.withColumn("chars", F.greatest(F.lit(1), F.length("text"))))
+
+
+def body_of_sizes(sizes: DataFrame) -> DataFrame:
+    """The same from (doc_id, page_index, row_no, piece_no, size_eff_pt, chars)."""
+    per = sizes.groupBy("doc_id", "size_eff_pt").agg(F.sum("chars").alias("chars"), F.min(F.struct("page_index", "row_no", "piece_no")).alias("first"))
     best = F.struct("chars", *[-F.col(f"first.{c}") for c in ("page_index", "row_no", "piece_no")])
     return per.groupBy("doc_id").agg(F.max_by("size_eff_pt", best).alias("body_pt"))
 
@@ -207,12 +211,15 @@ def render_markdown(pieces: DataFrame, body: DataFrame, page_table: DataFrame) -
         F.first("row_y").alias("y"),
         F.first("row_size").alias("size_pt"),
     )
-    line = (
-        F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("_body")))
-        .when(F.col("_prefix") != "", F.concat("_prefix", "_body"))
-        .otherwise(escape_line_start(F.col("_body")))
+    return g.select(*PAGE, "row_no", "level", "y", "size_pt", markdown_line(F.col("level"), F.col("_prefix"), F.col("_body")).alias("markdown"))
+
+
+def markdown_line(level: Column, prefix: Column, body: Column) -> Column:
+    return (
+        F.when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), body))
+        .when(prefix != "", F.concat(prefix, body))
+        .otherwise(escape_line_start(body))
     )
-    return g.select(*PAGE, "row_no", "level", "y", "size_pt", line.alias("markdown"))
 
 
 def _per_page(rows: DataFrame, text: str, joint: Column, out: str, all_pages: DataFrame | None, divider: Column) -> DataFrame:
