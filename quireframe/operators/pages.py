@@ -3,8 +3,14 @@ with at most one row per document, so many documents are changed in one pass."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from quireframe.functions.fonts import STANDARD_FONTS
+from quireframe.operators.chars import Pages
+
 
 def _with_edit(pages: DataFrame, edits: DataFrame) -> DataFrame:
     return pages.join(edits, "doc_id", "left")
@@ -65,16 +71,41 @@ def upsert_marked(objects: DataFrame, new: DataFrame) -> DataFrame:
     return objects.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def transform_runs(runs: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits(doc_id, page_index, run_id, dx, dy, color, new_size, new_font): move, recolour, resize, change font.
+def _transformed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The runs of some pages after the edits that stand beside them."""
+    flat = {c: b.column(c).flatten() for c in b.schema.names if c not in ("doc_id", "page_index")}
+    offsets = b.column("x").offsets.to_numpy()
+    size, font, color, line = flat.pop("new_size"), flat.pop("new_font"), flat.pop("new_color"), flat["line_id"]
+    fits = pc.fill_null(pc.and_(pc.greater_equal(size, 1.0), pc.less_equal(size, 400.0)), True)
+    ok = pc.and_(fits, pc.or_(pc.is_null(font), pc.is_in(font, value_set=pa.array(STANDARD_FONTS)))).to_numpy(zero_copy_only=False)
+    line = line.dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+    lines, of = np.unique(np.repeat(np.arange(b.num_rows), np.diff(offsets)) * (line.max(initial=0) + 1) + line, return_inverse=True)
+    go = np.ones(lines.size, bool)
+    go[of[~ok]] = False
+    go = pa.array(go[of])
+    asked = lambda c: pc.and_(go, pc.is_valid(c))
+    for c, by in (("x", "dx"), ("y", "dy")):
+        flat[c] = pc.add(flat[c], pc.if_else(go, pc.fill_null(flat.pop(by), 0.0), 0.0))
+    k = pc.if_else(asked(size), pc.divide(size, flat["size_eff_pt"]), 1.0)
+    flat |= {c: pc.multiply(flat[c], k) for c in ("w", "h", "size_eff_pt")}
+    flat |= {c: pc.if_else(asked(new), new, flat[c]) for c, new in (("color", color), ("font_name", font))}
+    edges = pa.array((offsets - offsets[0]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page_index"), *(pa.ListArray.from_arrays(edges, v) for v in flat.values())], names=["doc_id", "page_index", *flat])
+
+
+def transform_runs(runs: DataFrame | Pages, edits: DataFrame | None = None) -> DataFrame | Pages:
+    """edits(doc_id, page_index, run_id, dx, dy, new_color, new_size, new_font): move, recolour, resize, change font.
 
     Null means leave alone.  Sizes outside 1..400 pt and fonts that are not standard are refused, and a line changes
     wholly or not at all: one refused run keeps its line as it was.
+
+    ``Pages`` hold the edits as arrays beside those of their runs (``edits`` is None) and become ``Pages``: lines are judged
+    where their page is read, and no run is moved.
     """
+    if isinstance(runs, Pages):
+        return Pages(runs.rows, lambda b, read=runs.read: _transformed(read(b)))
     from pyspark.sql import Window as W
 
-    from quireframe.functions.fonts import STANDARD_FONTS
-
     j = runs.join(edits, ["doc_id", "page_index", "run_id"], "left")
     ok = F.coalesce(F.col("new_size").between(1, 400), F.lit(True)) & F.coalesce(F.col("new_font").isin(STANDARD_FONTS), F.lit(True))
     j = j.withColumn("_ok", F.min(ok).over(W.partitionBy("doc_id", "page_index", "line_id")))

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quireframe.operators import annotations as A
+from quireframe.operators import pages as P
 from quireframe.operators.chars import Pages
 
 
@@ -43,3 +44,34 @@ def test_nearest_paths_in_pages(spark, monkeypatch):
 def test_nearest_path_moves_no_words(spark, tmp_path):
     plan = words_plan(spark, tmp_path, "j03_nearest_path")
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") <= 1 and "Join" not in plan
+
+
+def test_edits_of_runs_in_pages(spark):
+    """Refused sizes and fonts, sizes at the bounds, edits of nothing, runs without a line or a number, empty pages, pages that begin inside a batch."""
+    rng = random.Random(12)
+    asked = {"dx": [None, 5.0, -2.5], "dy": [None, -3.0], "new_size": [None, None, None, 20.0, 1.0, 400.0, 400.5, 0.5, float("nan")], "new_color": [None, "#ff0000"], "new_font": [None, None, None, "Times-Bold", "Symbol", "Arial"]}
+    rows = []
+    for d, p in [(d, p) for d in range(8) for p in range(3)]:
+        n = rng.choice([0, 1, 40])
+        edits = [[rng.choice(v) if rng.random() < 0.5 else None for _ in range(n)] for v in asked.values()]
+        rows.append((d, p, list(range(n)), [rng.choice([None, 0, 1, 2, 9, 70, 71, 72]) for _ in range(n)], *[[rng.choice([rng.uniform(1, 90)] * 30 + [None]) for _ in range(n)] for _ in range(5)], ["#000000"] * n, ["Helvetica"] * n, *edits))
+    runs = ["run_id", "line_id", "x", "y", "w", "h", "size_eff_pt", "color", "font_name"]
+    kind = lambda c: "int" if c.endswith("_id") else "string" if c in ("color", "font_name", "new_color", "new_font") else "double"
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, " + ", ".join(f"{c} array<{kind(c)}>" for c in [*runs, *asked]))
+    part = lambda t, cs: t.select("doc_id", "page_index", F.explode(F.arrays_zip(*cs)).alias("v")).select("doc_id", "page_index", "v.*")
+    edits = part(df, ["run_id", *asked]).where(" or ".join(f"{c} is not null" for c in asked))
+    want = sorted(map(repr, P.transform_runs(part(df, runs), edits).collect()))
+
+    def read(batches, change=P.transform_runs(Pages(df, lambda b: b)).read):
+        for b in batches:
+            for k in range(0, b.num_rows, 5):
+                yield change(b.slice(k, 5))
+
+    got = df.mapInArrow(read, "doc_id long, page_index int, " + ", ".join(f"{c} array<{kind(c)}>" for c in runs))
+    assert sorted(map(repr, part(got, runs).collect())) == want and len(want) > 200
+    assert sum("#ff0000" in r for r in want) > 5 and sum("Symbol" in r for r in want) > 1
+
+
+def test_transform_runs_moves_no_words(spark, tmp_path):
+    plan = words_plan(spark, tmp_path, "p31_transform_runs")
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") <= 1 and "Join" not in plan and "Window" not in plan
