@@ -8,14 +8,19 @@ document follows them from the longest down, and every stretch that is entered n
 
 A document of any length is spread over its stretches.  Nothing is keyed by document alone but one row for each stretch
 (its last page) and one for each chunk of items (its sums).
+
+Where a document is one row already (``Documents``), it is one stretch: its items are measured and its pages numbered in the
+task that reads the row, and nothing is shuffled or stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quireframe.operators import scale
@@ -25,6 +30,16 @@ STRETCH = 16
 CHUNK = 4096
 #: Heights are counted in thousandths of a point, so sums are exact.
 UNIT = 1000
+#: Documents that are worked on at once.
+SLICE = 256
+
+
+@dataclass
+class Documents:
+    """``read`` turns a batch of ``rows`` (doc_id, ...), one for each document, into one where every column of its items is an array in order."""
+
+    rows: DataFrame
+    read: Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
 def _measured(items: DataFrame, height: int, gap: int, most: int) -> DataFrame:
@@ -115,6 +130,20 @@ class Flow:
             to[i] = on
         return to, steps
 
+    def numbers(self, entry: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """The page of every item of stretches that ``entry`` enters as ``page``; -1 before the first page of one that none enters."""
+        number = np.full(self.item.size, -1, np.int64)
+        at = np.flatnonzero((self.item == entry[self.group]) & self.own) if self.item.size else np.zeros(0, np.int64)
+        no = page[self.group[at]]
+        number[self.begin[at]] = no - 1  # what stands before is on the page before
+        number[at] = no
+        while at.size:
+            on = ~self.last[at] & self.own[np.minimum(self.next[at], self.item.size - 1)]
+            at, no = self.next[at[on]], no[on] + 1
+            number[at] = no
+        seen = np.maximum.accumulate(np.where(number >= 0, np.arange(self.item.size), -1)) if self.item.size else number
+        return np.where(seen >= self.begin, number[np.maximum(seen, 0)], -1)
+
 
 JUMP = "item long, to long, stretch long, pages long"
 
@@ -145,18 +174,7 @@ def _numbered(height: int, gap: int, most: int):
         for batch in batches:
             f = Flow(batch.column("items"), height, gap, most)
             entry, page = (batch.column(c).fill_null(-1).to_numpy() for c in ("entry", "page"))
-            number = np.full(f.item.size, -1, np.int64)
-            at = np.flatnonzero((f.item == entry[f.group]) & f.own) if f.item.size else np.zeros(0, np.int64)
-            no = page[f.group[at]]
-            number[f.begin[at]] = no - 1  # what stands before is on the page before
-            number[at] = no
-            while at.size:
-                on = ~f.last[at] & f.own[np.minimum(f.next[at], f.item.size - 1)]
-                at, no = f.next[at[on]], no[on] + 1
-                number[at] = no
-            group_start = f.begin
-            seen = np.maximum.accumulate(np.where(number >= 0, np.arange(f.item.size), -1)) if f.item.size else number
-            value = np.where(seen >= group_start, number[np.maximum(seen, 0)], -1)
+            value = f.numbers(entry, page)
             own = np.flatnonzero(f.own)
             edges = np.append(0, np.cumsum(np.bincount(f.group[own], minlength=batch.num_rows))).astype(np.int32)
             known = value[own] >= 0
@@ -168,7 +186,73 @@ def _numbered(height: int, gap: int, most: int):
     return run
 
 
-def paginate(items: DataFrame, height_pt: float, notes_gap_pt: float = 0.0, notes_share: float = 0.5) -> DataFrame:
+def _running(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums; ``first`` is the place of the first item of each item's document."""
+    s = np.cumsum(value)
+    return s - (s - value)[first]
+
+
+def _highest(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running maxima inside documents, by doubling."""
+    value, here, step = value.copy(), np.arange(value.size), 1
+    while (i := np.flatnonzero(here - step >= first)).size:
+        value[i] = np.maximum(value[i], value[i - step])
+        step *= 2
+    return value
+
+
+def _whole(b: pa.RecordBatch, height: int, gap: int, most: int) -> pa.Array:
+    """:func:`_measured` for a batch of documents with arrays of items: each one a stretch of its own."""
+    names = b.schema.names
+    offsets = b.column("height").offsets.to_numpy().astype(np.int64)
+    edges = offsets - offsets[0]
+    first, end = (np.repeat(x, np.diff(edges)) for x in (edges[:-1], edges[1:]))
+    here = np.arange(first.size)
+
+    def unit(c: str) -> np.ndarray:
+        if c not in names:
+            return np.zeros(first.size, np.int64)
+        v = pc.fill_null(b.column(c).flatten().cast(pa.float64()), 0.0).to_numpy() * UNIT
+        a = np.abs(v)
+        return np.copysign(np.floor(a) + (a - np.floor(a) >= 0.5), v).astype(np.int64)
+
+    flag = lambda c: pc.fill_null(b.column(c).flatten(), False).to_numpy(zero_copy_only=False) if c in names else np.zeros(first.size, bool)
+    high, head, e = unit("height"), np.maximum(unit("header"), 0), np.maximum(unit("notes"), 0)
+    h, need = np.maximum(high, 0), np.maximum(np.maximum(unit("need") if "need" in names else high, high - height), 0)
+    if "notes" in names:
+        x = e - np.maximum(0, np.minimum(most, height - h - head) - gap)
+        s = _running(x, first)
+        left = s + np.maximum(_highest(-s, first), 0)
+        e = e + np.where(here > first, np.append(0, left)[: left.size], 0) - left
+    follows = here + 1 < end
+    after = lambda v: np.where(follows, np.append(v, 0)[1:], 0)
+    kept = flag("keep_next") & follows
+    asked = need + e + np.where(kept, h - need + after(need) + after(e), 0)
+    noted = np.sign(e)
+    before = lambda v: _running(v, first) - v
+    cols = {
+        "item": here - first, "h": h, "e": e, "head": head, "brk": flag("page_break"), "need": asked, "seen": np.maximum(noted, np.where(kept, after(noted), 0)), "p": before(h + e), "q": before(e),
+        "c": before(noted), "own": np.ones(first.size, bool), "home": np.zeros(first.size, np.int64),
+    }
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([pa.array(v) for v in cols.values()], list(cols)))
+
+
+def _paginate_rows(docs: Documents, height: int, gap: int, most: int) -> DataFrame:
+    rows, read = docs.rows.where("doc_id IS NOT NULL"), docs.read
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, SLICE):
+                some = read(b.slice(k, SLICE))
+                f = Flow(_whole(some, height, gap, most), height, gap, most)
+                none = np.zeros(some.num_rows, np.int64)
+                page = f.numbers(none, none)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(f.group)), *(pa.array(x.astype(np.int32)) for x in (f.item, page))], names=["doc_id", "item", "page"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item int, page int")
+
+
+def paginate(items: DataFrame | Documents, height_pt: float, notes_gap_pt: float = 0.0, notes_share: float = 0.5) -> DataFrame:
     """items(doc_id, item from 0, height, page_break, keep_next, header, notes) -> doc_id, item, page (from 0).
 
     A page takes items until the next one does not fit.  A break is ignored while nothing stands on the page; an item kept
@@ -178,8 +262,12 @@ def paginate(items: DataFrame, height_pt: float, notes_gap_pt: float = 0.0, note
     goes with the next item.  ``need`` (at most the height, and less than it by a page at most) is the room an item asks for where it is the last of its
     page (a word and the blank after it).  All columns but doc_id, item and height may be absent; null counts as nothing.  An item that
     is higher than a page has one to itself.  Items are numbered without gaps or repeats in each document.
+
+    The same from ``Documents``, whose items have the same columns as arrays and are numbered as they stand.
     """
     height, gap, most = round(height_pt * UNIT), round(notes_gap_pt * UNIT), round(notes_share * height_pt * UNIT)
+    if isinstance(items, Documents):
+        return _paginate_rows(items, height, gap, most)
     doc = f"doc_id {items.schema['doc_id'].dataType.simpleString()}, "
     reach = height * (2 if "need" in items.columns else 1)  # what a page may hold beyond its height: the part of its last item that is not asked for
     s = checkpointed(_stretches(_measured(items, height, gap, most), height, reach))

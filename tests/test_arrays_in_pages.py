@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quireframe.operators import annotations as A
 from quireframe.operators import pages as P
+from quireframe.operators import paging
 from quireframe.operators.chars import Pages
 
 
@@ -75,3 +77,29 @@ def test_edits_of_runs_in_pages(spark):
 def test_transform_runs_moves_no_words(spark, tmp_path):
     plan = words_plan(spark, tmp_path, "p31_transform_runs")
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") <= 1 and "Join" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("columns", [["height", "page_break", "keep_next", "header", "notes"], ["height", "need"]])
+def test_pages_of_documents(spark, columns):
+    """Short, long and empty documents, one without an id, items higher than a page, nulls, halves of a unit, queues of notes."""
+    rng = random.Random(13)
+    made = {
+        "height": lambda: rng.choice([0, 5, 10, 17.0005, 30, None]) if rng.random() < 0.97 else 250, "page_break": lambda: rng.choice([False] * 20 + [True, None]),
+        "keep_next": lambda: rng.choice([False] * 4 + [True, None]), "header": lambda: rng.choice([0.0, 0.0, 8.0, -3.0, None]), "notes": lambda: rng.choice([0, 0, 0, 0, 6, 40, None]) if rng.random() < 0.97 else 180,
+        "need": lambda: rng.choice([None, 3, 8]),
+    }
+    sizes = [*(rng.choice([0, 1, 2, 40, 200]) for _ in range(40)), 3000]
+    cols = {c: [[v if v is None or c in ("page_break", "keep_next") else float(v) for v in (made[c]() for _ in range(n))] for n in sizes] for c in columns}
+    if "need" in columns:  # what is asked for is at most the height
+        cols["need"] = [[h if h is None or n is not None and n > h else n for n, h in zip(*x)] for x in zip(cols["need"], cols["height"])]
+    kind = lambda c: "boolean" if c in ("page_break", "keep_next") else "double"
+    df = spark.createDataFrame([(None if d == 3 else d, *(cols[c][d] for c in columns)) for d in range(len(sizes))], "doc_id long, " + ", ".join(f"{c} array<{kind(c)}>" for c in columns))
+    rows = df.select("doc_id", F.posexplode(F.arrays_zip(*columns)).alias("item", "v")).select("doc_id", "item", "v.*")
+    want = sorted(map(tuple, paging.paginate(rows, 100.0, 3.0).collect()))
+    assert sorted(map(tuple, paging.paginate(paging.Documents(df, lambda b: b), 100.0, 3.0).collect())) == want and len(want) > 3000
+
+
+def test_paginate_shuffles_and_stores_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paging, "checkpointed", lambda df: pytest.fail("stored"))
+    plan = words_plan(spark, tmp_path, "l02_paginate")
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
