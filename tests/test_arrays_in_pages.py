@@ -103,3 +103,11 @@ def test_paginate_shuffles_and_stores_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(paging, "checkpointed", lambda df: pytest.fail("stored"))
     plan = words_plan(spark, tmp_path, "l02_paginate")
     assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_edits_reach_a_document_without_an_id(spark, tmp_path):
+    from quireframe.plans import QUERIES
+
+    spark.createDataFrame([(None, "a b c d e f g " * 3), (1, "a b c d e f g " * 3)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["p31_transform_runs"](spark, str(tmp_path)).collect()}
+    assert got[None] == got[1] and got[1][-2:] == (1, 1)  # the fifth word of the second line; the first is asked for 500 pt
